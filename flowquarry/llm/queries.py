@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import packing, spiece, substring, tokencount
+from flowquarry.llm import packing, quality, simhash, spiece, substring, tokencount
 from flowquarry.llm.stage import settled
 
 #: Fixed value: the end id of op4's contract.
@@ -33,6 +33,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(settled(small))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -44,6 +54,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 18  # bytes hashed at once: the work arrays then fit the processor's cache
 _U = np.uint64
 
 
