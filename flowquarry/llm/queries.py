@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import packing, quality, simhash, spiece, substring, tokencount
-from flowquarry.llm.stage import settled
+from flowquarry.llm import ann, html, license, packing, quality, simhash, spiece, substring, tokencount, warc
+from flowquarry.llm.stage import settled, shared_dir
 
 #: Fixed value: the end id of op4's contract.
 END_ID = 2
@@ -27,6 +29,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    index = warc.merge(warc.read_runs(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
     small = parts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -51,13 +64,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license.license_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_main_text": op2_main_text,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_nearest": op9_nearest,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
