@@ -16,6 +16,7 @@ Nulls count as empty texts (a document is then its end id alone). Repeated rows
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.stage import settled
-from flowquarry.llm.textcore import SPACE, DistinctTable, text_blocks, words
+from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, text_blocks, words
 from flowquarry.llm.tokencount import load
 
 SALTS = 256
@@ -33,46 +34,76 @@ WINDOW_TOKENS = 4096
 
 @functools.lru_cache(4)
 def words_are_separate(path: str) -> bool:
-    """Whether white space only separates: the tokens of 'a b' are those of 'a' and of 'b', for many kinds of words."""
+    """Whether white space, and punctuation after a letter, only separate words: shown on many kinds of words."""
     t = load(path)
     probes = ["Ab1", "'s", "é", "́x", "##", "中文", "İ", "ΑΣ", "1", "…", "x's"]
     alone = {p: t.encode(p, add_special_tokens=False).ids for p in probes}
-    return all(
+    whole = all(t.encode(f"{a}{c}{b}", add_special_tokens=False).ids == t.encode(a, add_special_tokens=False).ids + t.encode(f"{c}{b}", add_special_tokens=False).ids for a in ("ab", "é", "7", "ÀÖ") for c in ',.;:!?%&*$#")(' for b in ("", "x", "'s", ".", "́"))
+    return whole and all(
         t.encode(f"{a}{s}{b}", add_special_tokens=False).ids == alone[a] + alone[b] for a in probes for b in probes for s in (" ", "\n", " \t ")
     )
 
 
-def _flat(values: list[np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the slots in order, and how many each has."""
-    n = np.fromiter((len(v) for v in values), np.int64, len(values))
-    heads = np.concatenate([[0], np.cumsum(n)])
-    store = np.concatenate(values) if values else np.zeros(0, np.uint32)
-    lengths = n[slots]
-    ends = np.cumsum(lengths)
-    take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(heads[slots] - (ends - lengths), lengths)
-    return store[take], lengths
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Punctuation before which a word may be cut: no apostrophe, and nothing that special tokens hold.
+_CUT = byte_table(b',.;:!?%&*$#")(')
+_ASCII_WORD = byte_table(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
+
+
+class WordEncoder:
+    """Ids of words, each encoded by itself. Words of Latin letters are one pre-token, so many of them are
+    encoded at once and told apart by the vocabulary's word ends."""
+
+    def __init__(self, path: str, chunk: int = 500):
+        self.tokenizer, self.chunk = load(path), chunk
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words_]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        simple = [i for i, t in enumerate(texts) if LETTERS.fullmatch(t)]
+        groups = [simple[i : i + self.chunk] for i in range(0, len(simple), self.chunk)]
+        for own, ids in zip(groups, self._encode([" ".join([texts[i] for i in g]) for g in groups])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):  # else they are encoded one by one below
+                for i, part in zip(own, np.split(ids, ends[:-1])):
+                    out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
+            out[i] = ids
+        lengths = np.fromiter((len(x) for x in out), np.int64, len(out))
+        return np.concatenate(out), lengths
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut once more where punctuation follows a letter or digit: the pre-tokeniser cuts there too."""
+    starts, ends, first = words(data, offsets, SPACE)
+    if len(data) < 2:
+        return starts, ends, first
+    after = _ASCII_WORD[data[:-1]]
+    after[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7) & (data[1:-1] >= 0x80)  # Latin-1 letters
+    return cut(starts, ends, np.flatnonzero(after & _CUT[data[1:]]) + 1, first)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, start, length, doc_tokens, and ids (little-endian unsigned 32-bit, `length` of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table, separate = load(tokenizer), DistinctTable(150_000), words_are_separate(tokenizer)
-
-        def compute(chunks: list[bytes]) -> list[np.ndarray]:
-            found = t.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32) for e in found]
-
+        encoder, table, separate = WordEncoder(tokenizer), RunTable(), words_are_separate(tokenizer)
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 if separate:
-                    starts, ends, first = words(data, offsets, SPACE)
+                    starts, ends, first = word_parts(data, offsets)
                 else:
                     full = np.flatnonzero(np.diff(offsets))
                     starts, ends = offsets[full], offsets[full + 1]
                     first = np.searchsorted(full, np.arange(len(offsets)))
-                slots = table.lookup(data, starts, ends, compute)
-                flat, lengths = _flat(table.values, slots)
+                flat, lengths = table.joined(table.lookup(data, starts, ends, encoder))
                 heads = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
                 rows, start, size, total, ids = [], [], [], [], []
                 end = np.array([end_id], np.uint32)

@@ -75,7 +75,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
-        eos, by_word, table = sp.eos_id(), splits_at_markers(model), DistinctTable()
+        eos, by_word, table = sp.eos_id(), splits_at_markers(model), DistinctTable(600_000)
         end = str(eos).encode()
         compute = _segment(sp)
         for batch in batches:
@@ -87,7 +87,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool)
                     slots = table.lookup(data, starts, ends, compute)
                     values = table.values
                     lengths = np.fromiter((v[1] for v in values), np.int64, len(values))
-                    counts = (per_text(lengths[slots] if len(slots) else np.zeros(0, np.int64), first) + 1).tolist()
+                    counts = (per_text(lengths[slots], first) + 1).tolist()
                     at, bounds = slots.tolist(), first.tolist()
                     for x, y in zip(bounds, bounds[1:]):
                         own = [values[k] for k in at[x:y]]

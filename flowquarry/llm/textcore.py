@@ -178,29 +178,96 @@ def text_of(item: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class DistinctTable:
-    """Values by 64-bit key, kept over the blocks of a task; emptied when it holds `limit` keys, so memory is bounded."""
+    """Values by 64-bit key, kept over the blocks of a task; emptied beyond `limit` keys, so memory is bounded.
 
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.slots, self.values = limit, {}, []
+    Keys are two sorted arrays (key and slot). Subclasses say how values are stored.
+    """
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def extend(self, values) -> None:
+        self.values.extend(values)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute) -> np.ndarray:
         """The slot of each span; compute(list of bytes) gives values for the spans not seen before."""
         keys, at, back = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) > self.limit:
-            self.slots, self.values = {}, []
-        get = self.slots.get
-        slot = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
+        if len(self.keys) > self.limit:
+            self.clear()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        low = place < len(self.keys)
+        known[low] = self.keys[place[low]] == keys[low]
+        new = np.flatnonzero(~known)
+        slot = np.empty(len(keys), np.int64)
+        slot[known] = self.slots[place[known]]
         if len(new):
             raw = data.tobytes()
-            got = compute([raw[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            base = len(self.values)
-            self.values.extend(got)
-            slot[new] = np.arange(base, base + len(new))
-            self.slots.update(zip(keys[new].tolist(), range(base, base + len(new))))
+            own = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.extend(compute([raw[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]))
+            slot[new] = own
+            self.keys, self.slots = np.insert(self.keys, place[new], keys[new]), np.insert(self.slots, place[new], own)
         return slot[back]
 
 
+class CountTable(DistinctTable):
+    """A number for each key."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.values = np.zeros(0, np.int64)
+
+    def extend(self, values) -> None:
+        self.values = np.concatenate([self.values, np.asarray(values, np.int64)])
+
+
+class RunTable(DistinctTable):
+    """A run of numbers for each key; compute gives all numbers and the length of each run."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.lengths, self.heads, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def extend(self, values) -> None:
+        flat, lengths = values
+        self.heads = np.concatenate([self.heads, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+
+    def joined(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the slots one after another, and the length of each."""
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.heads[slots] - (ends - lengths), lengths)
+        return self.flat[take], lengths
+
+
+def cut(starts: np.ndarray, ends: np.ndarray, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans, cut in two at each point (sorted; points outside or at the start of spans do nothing)."""
+    i = np.searchsorted(starts, points, "right") - 1
+    ok = i >= 0
+    ok[ok] = (starts[i[ok]] < points[ok]) & (points[ok] < ends[i[ok]])
+    points, i = points[ok], i[ok]
+    if not len(points):
+        return starts, ends, first
+    at = i + 1 + np.arange(len(points))
+    new_starts, mask = np.empty(len(starts) + len(points), starts.dtype), np.zeros(len(starts) + len(points), bool)
+    mask[at] = True
+    new_starts[mask], new_starts[~mask] = points, starts
+    new_ends = np.empty_like(new_starts)
+    new_ends[:-1] = new_starts[1:]
+    whole = np.concatenate([i[1:] != i[:-1], [True]])  # the last piece of a span that was cut ends where the span did
+    new_ends[~mask] = ends
+    new_ends[at - 1] = points
+    new_ends[at[whole]] = ends[i[whole]]
+    inner = at[~whole]
+    new_ends[inner] = new_starts[inner + 1]
+    return new_starts, new_ends, np.searchsorted(new_starts, np.append(starts, np.iinfo(np.int64).max)[first])
+
+
 def units(data: np.ndarray, offsets: np.ndarray, mark: np.ndarray, unsafe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut each text before every run of `mark` bytes, except where the byte before the run is `unsafe`.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from flowquarry.llm.textcore import SPACE, DistinctTable, byte_table, per_text, text_blocks, units
+from flowquarry.llm.textcore import SPACE, CountTable, byte_table, per_text, text_blocks, units
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,14 +90,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """Per row: id, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, table = TokenCounter(tokenizer), DistinctTable()
+        counter, table = TokenCounter(tokenizer), CountTable()
         for batch in batches:
             sizes, tokens = [], []
             for _, _, data, offsets in text_blocks(batch.column(1)):
                 starts, ends, first = units(data, offsets, SPACE, WIDE_SPACE_END)
                 slots = table.lookup(data, starts, ends, counter)
                 sizes.append(np.diff(offsets))
-                tokens.append(per_text(np.asarray(table.values, np.int64)[slots] if len(slots) else np.zeros(0, np.int64), first))
+                tokens.append(per_text(table.values[slots], first))
             if sizes:
                 yield pa.record_batch([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tokens))], names=[id_col, "n_bytes", "n_tokens"])
 
