@@ -232,9 +232,10 @@ def merge(runs: DataFrame) -> DataFrame:
     names = runs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # a range of index lines
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)  # a range of index lines
         keys = list(zip(*(table.column(c).to_pylist() for c in ("url_key", "captured", "page_id"))))
         keys = [(k, t, p is not None, p or 0) for k, t, p in keys]
         parts: dict[str, list[int]] = {}
