@@ -34,7 +34,7 @@ from flowquarry.llm.textcore import SPACE, covered, inside, per_text, span_hash,
 
 WIDTH = 35
 BUCKET_BYTES = 4 << 20
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 _U = np.uint64
 
