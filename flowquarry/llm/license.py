@@ -65,13 +65,12 @@ class Automaton:
             elif mark == "]]":
                 self.free[opened.pop()].append(at)
             elif many:
-                start, gaps = at, []
+                gaps = []
                 for _ in range(int(many)):
                     gaps.append(at)
                     at = self._word(at, ANY)
                 for g in gaps:
                     self.free[g].append(at)
-                del start
             else:
                 at = self._word(at, word)
         if opened:

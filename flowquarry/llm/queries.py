@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
     index = warc.merge(warc.read_runs(spark, path))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,58 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SUBSTRING_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+win as (select r, i, array_to_string(w[i : i + 34], ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+marks as (select r, i from win where s in (select s from win group by s having count(*) > 1)),
+gone as (select r, list(distinct p) as ps from (select r, unnest(range(i, i + 35)) as p from marks) group by r),
+cut as (select doc_id, w, case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end as kept from d left join gone using (r))
+select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from cut
+"""
+
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    "((('0x' || substr(hex, (5 * j) // 4 + 1, 2))::int >> (3 - (5 * j) % 4)::int) & 31) + 1, 1)), '')"
+)
+WARC_SQL = f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(encode(coalesce(html, ''))) as hex from pages),
+q as (select *, max(page_id) over (partition by body) as best from p)
+select page_id, octet_length(encode(body)) as payload_bytes, {_BASE32} as payload_digest,
+  case when best = page_id then 'response' else 'revisit' end as record_type, case when best <> page_id then best end as refers_to from q
+"""
+
+
+def _template_pattern(markup: str) -> str:
+    """A template as a regular expression over words that each follow a blank."""
+    out = []
+    for mark, many, word in re.findall(r"(\[\[|\]\])|\{\{(\d+)\}\}|([^\s\[\]{}]+)", markup):
+        out.append("(?:" if mark == "[[" else ")?" if mark else f"(?: [^ ]+){{0,{many}}}" if many else f" {word}")
+    return "".join(out) + " "
+
+
+def _phrase_places(phrase: str) -> str:
+    own = phrase.split()
+    test = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(own))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {test})"
+
+
+def _license_sql() -> str:
+    places = {label: _phrase_places(p) for p, label in license.PHRASES.items()}
+    base = ", ".join(f"case when len({x}) > 0 then '{label}' end" for label, x in places.items())
+    found = ", ".join(f"case when regexp_matches(t, '{_template_pattern(m)}') then '{label}' end" for label, _, m in license.TEMPLATES)
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    tidy = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda y: y is not null))), ',')"
+    return f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+e as (select *, ' ' || array_to_string(w, ' ') || ' ' as t, {' || '.join(f'({x})' for x in places.values())} as places from d),
+f as (select *, [{base}] as base, [{found}] as found from e)
+select doc_id, len(w) as n_words, len(places) as n_base, list_min(places) - 1 as first_word, list_max(places) - 1 as last_word, {tidy('base')} as base_labels,
+  {tidy('base || found')} as labels, case when len(list_filter(found, lambda y: y is not null)) > 0 then 1.0::double when len(places) > 0 then 0.5::double else 0.0::double end as score from f
+"""
+
+
+#: The others tokenise, hash with XXH64, fit a score, search a graph or read markup; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_warc": WARC_SQL, "op10_licenses": _license_sql()}
