@@ -50,6 +50,26 @@ def _by_bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _in_place_order(h: np.ndarray, rows: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Order by bucket, then by place: inside a bucket places then compress well, and hashes need no order there."""
+    return np.lexsort((at, rows, h >> _U(64 - bits)))
+
+
+def _by_place(chosen: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Indices of the chosen entries, in the order of their places."""
+    found = np.flatnonzero(chosen)
+    return found[np.lexsort((at[found], rows[found]))]
+
+
+def _steps(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Each piece as differences between neighbours."""
+    return [np.diff(r, prepend=0) for r in rows]
+
+
+def _rows_of(batch: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(x.as_py() or b"", np.int64)) for x in batch.column(name)] or [np.zeros(0, np.int64)])
+
+
 def _suffix(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> _U(32 - bits)).astype(np.uint32)
 
@@ -84,8 +104,11 @@ def _anchors(width: int, bits: int, flush: int):
         head = np.ones(len(h), bool)
         head[2:] = h[2:] != h[:-2]
         probes, blocks, known = h[head], is_block & ~again, is_block & again
-        b = h[blocks]
+        b, b_rows, b_at = h[blocks], rows[blocks], at[blocks]
         cut_p, cut_b = _by_bucket(probes, bits), _by_bucket(b, bits)
+        order = _in_place_order(b, b_rows, b_at, bits)
+        b, b_rows, b_at = b[order], b_rows[order], b_at[order]
+        known = _by_place(known, rows, at)
         n = 1 << bits
         split = lambda x, cut: [x[cut[i] : cut[i + 1]] for i in range(n)]
         return pa.record_batch(
@@ -93,9 +116,9 @@ def _anchors(width: int, bits: int, flush: int):
                 pa.array(range(n), pa.int32()),
                 _blobs(split(_suffix(probes, bits), cut_p)),
                 _blobs(split(_suffix(b, bits), cut_b)),
-                _blobs(split(rows[blocks], cut_b)),
-                _blobs(split(at[blocks], cut_b)),
-                _blobs(np.array_split(rows[known], n)),
+                _blobs(_steps(split(b_rows, cut_b))),
+                _blobs(split(b_at, cut_b)),
+                _blobs(_steps(np.array_split(rows[known], n))),
                 _blobs(np.array_split(at[known], n)),
             ],
             names=["bucket", "probes", "blocks", "rows", "at", "known_rows", "known_at"],
@@ -128,10 +151,10 @@ def _hits(group: pa.Table) -> pa.Table:
     """Step 1, in a bucket: blocks whose words begin at two places or more."""
     probes = np.sort(_array(group, "probes", np.uint32))
     twice = probes[1:][probes[1:] == probes[:-1]]
-    blocks, rows, at = _array(group, "blocks", np.uint32), _array(group, "rows", np.int64), _array(group, "at", np.int32)
+    blocks, rows, at = _array(group, "blocks", np.uint32), _rows_of(group, "rows"), _array(group, "at", np.int32)
     found = np.isin(blocks, twice)
     return pa.table(
-        {"row": np.concatenate([rows[found], _array(group, "known_rows", np.int64)]), "at": np.concatenate([at[found], _array(group, "known_at", np.int32)])}
+        {"row": np.concatenate([rows[found], _rows_of(group, "known_rows")]), "at": np.concatenate([at[found], _array(group, "known_at", np.int32)])}
     )
 
 
@@ -153,18 +176,21 @@ def _candidates(width: int, bits: int, flush: int):
         head[1:] |= second[1:] & head[:-1]
         named, bare = ~again, again & head
         cut, cut_bare = _by_bucket(h[named], bits), _by_bucket(h[bare], bits)
+        by_place = np.flatnonzero(named)
+        by_place = by_place[_in_place_order(h[named], rows[named], at[named], bits)]
+        again = _by_place(again, rows, at)
         n = 1 << bits
         split = lambda x, cut: [x[cut[i] : cut[i + 1]] for i in range(n)]
         return pa.record_batch(
             [
                 pa.array(range(n), pa.int32()),
-                _blobs(split(h[named], cut)),
-                _blobs(split(g[named], cut)),
-                _blobs(split(rows[named], cut)),
-                _blobs(split(at[named], cut)),
+                _blobs(split(h[by_place], cut)),
+                _blobs(split(g[by_place], cut)),
+                _blobs(_steps(split(rows[by_place], cut))),
+                _blobs(split(at[by_place], cut)),
                 _blobs(split(h[bare], cut_bare)),
                 _blobs(split(g[bare], cut_bare)),
-                _blobs(np.array_split(rows[again], n)),
+                _blobs(_steps(np.array_split(rows[again], n))),
                 _blobs(np.array_split(at[again], n)),
             ],
             names=["bucket", "h", "g", "rows", "at", "bare_h", "bare_g", "known_rows", "known_at"],
@@ -212,9 +238,9 @@ def _repeats(group: pa.Table) -> pa.Table:
     again[order[1:]] |= same
     again[order[:-1]] |= same
     again = again[: len(named)]
-    rows, at = _array(group, "rows", np.int64), _array(group, "at", np.int32)
+    rows, at = _rows_of(group, "rows"), _array(group, "at", np.int32)
     return pa.table(
-        {"row": np.concatenate([rows[again], _array(group, "known_rows", np.int64)]), "at": np.concatenate([at[again], _array(group, "known_at", np.int32)])}
+        {"row": np.concatenate([rows[again], _rows_of(group, "known_rows")]), "at": np.concatenate([at[again], _array(group, "known_at", np.int32)])}
     )
 
 
