@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +28,14 @@ def in_scope(df: DataFrame, label: str) -> DataFrame:
 def dedup_keep_first(df: DataFrame, order: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
     """The first row, in `order`, of rows that are equal in all columns but `order` and `ignore`.
 
-    Rows meet by a hash of the key; the window compares whole keys, so equal hashes of different rows do no harm.
+    An aggregation over whole keys: tasks combine their own copies first, so a row with any number of
+    copies sends one per task.
     """
     key = [c for c in df.columns if c not in order and c not in ignore]
-    near = Window.partitionBy(F.xxhash64(*[q(c) for c in key]), *[q(c) for c in key]).orderBy(*[q(c) for c in order])
-    return df.withColumn("_first", F.row_number().over(near)).where("_first = 1").drop("_first")
+    rest = [*order, *[c for c in df.columns if c in ignore]]
+    first = df.groupBy(*[q(c) for c in key]).agg(F.min(F.struct(*[q(c).alias(f"_{i}") for i, c in enumerate(rest)])).alias("_first"))
+    at = {c: F.col(f"_first._{i}") for i, c in enumerate(rest)}
+    return first.select(*[(at[c] if c in at else q(c)).alias(c) for c in df.columns])
 
 
 def leakage_split(df: DataFrame, leakage: dict[str, str], extra: tuple[str, ...] = ("source_file",)) -> tuple[list[str], list[str]]:

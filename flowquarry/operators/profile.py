@@ -44,15 +44,22 @@ def raw_class_distribution(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.coalesce(q(label), F.lit("<missing>")).alias("raw_label")).agg(F.count("*").alias("n"))
 
 
+def _by_raw_label(df: DataFrame, label: str) -> DataFrame:
+    """(raw, n, mapped): the rules for labels then run once per distinct label and not once per row."""
+    n = df.groupBy(q(label).alias("raw")).agg(F.count("*").alias("n"))
+    return n.withColumn("mapped", map_label("raw"))
+
+
 def excluded_class_distribution(df: DataFrame, label: str) -> DataFrame:
-    return raw_class_distribution(df.where(map_label(q(label)).isNull()), label)
+    out = _by_raw_label(df, label).where("mapped is null")
+    return out.groupBy(F.coalesce("raw", F.lit("<missing>")).alias("raw_label")).agg(F.sum("n").alias("n"))
 
 
 def mapped_class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and share per class; every class has a row, 0 and 0.0 if need be."""
     # one aggregate row, unpivoted: dense without a join
-    mapped = map_label(q(label))
-    row = df.agg(*[F.count_if(mapped == c).alias(f"_{i}") for i, c in enumerate(CLASSES)], F.count(mapped).alias("total"))
+    per = [F.coalesce(F.sum(F.when(F.col("mapped") == c, F.col("n"))), F.lit(0)).cast("long").alias(f"_{i}") for i, c in enumerate(CLASSES)]
+    row = _by_raw_label(df, label).agg(*per, F.sum(F.when(F.col("mapped").isNotNull(), F.col("n"))).alias("total"))
     share = lambda i: F.coalesce(F.round(F.try_divide(100.0 * F.col(f"_{i}"), F.col("total")), 4), F.lit(0.0))
     rows = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"_{i}").alias("n"), share(i).alias("percentage")) for i, c in enumerate(CLASSES)])
     return row.select(F.explode(rows).alias("r")).select("r.*")
