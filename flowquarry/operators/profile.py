@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowquarry.functions.columns import finite, is_infinite, map_label
+from flowquarry.operators.quantiles import exact_quantiles
 from flowquarry.schema import CLASSES
 
 
@@ -83,19 +84,26 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def descriptive_statistics(df: DataFrame, names: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles and max of the finite values of each numeric column."""
+    """count, mean, std, min, quartiles and max of the finite values of each numeric column.
+
+    Quartiles are exact and interpolated (a few passes), or approximate in the one pass of the others.
+    """
     names = names or numeric_columns(df)
+    quartiles = [0.25, 0.5, 0.75]
 
     def measure(n: str) -> Column:
         c = finite(q(n).cast("double"))
-        quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) if approx else F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(
-            F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), quartiles.alias("quartiles"), F.max(c).alias("max")
-        )
+        base = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+        return F.struct(*base, *([F.percentile_approx(c, quartiles, 10_000).alias("q")] if approx else []))
 
     out = tidy(df.agg(*[measure(n).alias(f"_{i}") for i, n in enumerate(names)]), names, "s")
-    at = lambda i: F.get("s.quartiles", F.lit(i))
-    return out.select("column_name", "s.n", "s.mean", "s.std", "s.min", at(0).alias("p25"), at(1).alias("p50"), at(2).alias("p75"), "s.max")
+    if approx:
+        at = [F.get("s.q", F.lit(i)) for i in range(3)]
+    else:
+        exact = exact_quantiles(df, names, quartiles)
+        table = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.lit(v).cast("double") for v in exact[n]]))])
+        at = [F.get(F.element_at(table, F.col("column_name")), F.lit(i)) for i in range(3)]
+    return out.select("column_name", "s.n", "s.mean", "s.std", "s.min", at[0].alias("p25"), at[1].alias("p50"), at[2].alias("p75"), "s.max")
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.columns import finite, label_index, probability_map
 from flowquarry.operators import metrics
-from flowquarry.operators.profile import q, tidy
+from flowquarry.operators.profile import q
+from flowquarry.operators.quantiles import exact_quantiles
 from flowquarry.schema import CLASSES
 
 SEED, TREES = 42, 100
@@ -37,14 +38,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def medians(train: DataFrame, names: list[str]) -> DataFrame:
     """(column_name, median) of finite values, interpolated."""
-    return tidy(train.agg(*[F.percentile(finite(q(c).cast("double")), 0.5).alias(f"_{i}") for i, c in enumerate(names)]), names, "median")
+    found = exact_quantiles(train, names, [0.5])
+    return train.sparkSession.createDataFrame([(n, v[0]) for n, v in found.items()], "column_name string, median double")
 
 
 def impute(df: DataFrame, train: DataFrame, names: list[str]) -> DataFrame:
-    """Missing and non-finite values replaced by the training rows' medians (one broadcast row)."""
-    row = train.agg(*[F.percentile(finite(q(c).cast("double")), 0.5).alias(f"_m{i}") for i, c in enumerate(names)])
-    new = {c: F.coalesce(finite(q(c).cast("double")), F.col(f"_m{i}")) for i, c in enumerate(names)}
-    return df.crossJoin(F.broadcast(row)).select(*[new[c].alias(c) if c in new else q(c) for c in df.columns])
+    """Missing and non-finite values replaced by the training rows' medians."""
+    found = exact_quantiles(train, names, [0.5])
+    new = {c: F.coalesce(finite(q(c).cast("double")), F.lit(found[c][0]).cast("double")) for c in names}
+    return df.select(*[new[c].alias(c) if c in new else q(c) for c in df.columns])
 
 
 class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -57,8 +59,8 @@ class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParam
 
     def _fit(self, dataset: DataFrame) -> MedianImputerModel:
         names = self.getInputCols()
-        row = dataset.agg(*[F.percentile(finite(q(c).cast("double")), 0.5).alias(f"_{i}") for i, c in enumerate(names)]).first()
-        return MedianImputerModel(names, [0.0 if m is None else m for m in row])
+        found = exact_quantiles(dataset, names, [0.5])
+        return MedianImputerModel(names, [found[c][0] or 0.0 for c in names])
 
 
 class MedianImputerModel(Model):

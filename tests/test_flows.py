@@ -194,3 +194,22 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     for batch in (1, 2, 2):
         S.write_scored(df, str(tmp_path / "scored"), batch)
     assert spark.read.parquet(str(tmp_path / "scored")).count() == 4
+
+
+@pytest.mark.parametrize("bins, few", [(4, 2), (256, 2000)])
+def test_exact_quantiles(spark, bins, few):
+    import random
+
+    from flowquarry.operators.quantiles import exact_quantiles
+
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1) * 10 ** rng.randint(-3, 3), float(rng.randint(0, 3)), None, rng.choice([-1.7e308, 0.0, 1.7e308]), float("nan") if i % 3 else 2.0) for i in range(997)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    p = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = exact_quantiles(df, df.columns, p, bins, few)
+    expected = df.select(*[F.percentile(C.finite(c), F.array(*[F.lit(x) for x in p])).alias(c) for c in df.columns]).first()
+    for c in df.columns:
+        if expected[c] is None:
+            assert got[c] == [None] * len(p)
+        else:
+            assert all(abs(x - y) <= 1e-12 * max(abs(y), 1.0) for x, y in zip(got[c], expected[c])), c
