@@ -32,16 +32,15 @@ OTHER_PARTS = frozenset(
     "menu modal nav navbar navigation newsletter notice notification notifications popup promo promoted promotion related replies reply share sharing "
     "sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert search contentinfo complementary".split()
 )
+COMMENT_PARTS = frozenset("comment comments disqus replies reply".split())
 MAIN_PARTS = frozenset("article body content entry main page post story text".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 
 
-def _other_part(name: str, attributes: str) -> bool:
-    """Whether an element is no part of the article by its class, id, role or visibility."""
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+def _part_words(attributes: str) -> set[str] | None:
+    """Words of an element's class, id and role; None if it is hidden."""
     words: set[str] = set()
     for key, x, y, z, bare in ATTRIBUTE.findall(attributes):
         key = (key or bare).lower()
@@ -49,8 +48,28 @@ def _other_part(name: str, attributes: str) -> bool:
         if key in ("class", "id", "role", "aria-label"):
             words.update(re.split(r"[^a-z0-9]+", value))
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(words & OTHER_PARTS) and not words & MAIN_PARTS
+            return None
+    return words
+
+
+def _is_other(name: str, attributes: str, depth: int) -> tuple[bool, bool]:
+    """Whether an element is no part of the article, and whether it holds comments."""
+    if name in ("html", "body", "main"):
+        return False, False
+    words = _part_words(attributes) if attributes else set()
+    comments = bool(words and words & COMMENT_PARTS)
+    if name == "article":  # a reader's comment may be an article inside the article
+        return comments and depth > 0, comments
+    if name in DROPPED or name == "header" or words is None:
+        return True, comments
+    return bool(words & OTHER_PARTS) and not words & MAIN_PARTS, comments
+
+
+def _holds_article(name: str, held: list[str], articles: int, depth: int) -> bool:
+    """Whether an element that looks like another part wraps the article itself, or its title."""
+    if "main" in held or articles and held.count("article") == articles:
+        return True
+    return "h1" in held and (name == "header" and depth > 0 or name not in DROPPED and name != "header" and not articles or name == "form")
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -82,8 +101,8 @@ def _partner(tags: list, i: int) -> int | None:
 def lines(page: str) -> tuple[list[str], list[bool], bool]:
     """The page's lines, which of them lie in an article element, and whether it has one with text."""
     tags = _tags(page)
-    has = any(t[2] == "article" and not t[3] for t in tags)
-    holder = "article" if has else "main"
+    articles = sum(t[2] == "article" and not t[3] for t in tags)
+    holder = "article" if articles else "main"
     out, inside, buffer, depth, at, i = [], [], [], 0, 0, 0
 
     def end_line() -> None:
@@ -95,12 +114,12 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
         start, stop, name, closes, attributes = tags[i]
         buffer.append(page[at:start])
         at = stop
-        if not closes and name and name not in VOID and (name in DROPPED or name == "header" or _other_part(name, attributes)):
-            j = _partner(tags, i)
+        if not closes and name and name not in VOID:
+            other, comments = _is_other(name, attributes, depth)
+            j = _partner(tags, i) if other else None
             if j is not None:
-                held = {t[2] for t in tags[i + 1 : j]}
-                titled = depth > 0 and "h1" in held and name not in DROPPED
-                if not held & {"article", "main"} and not titled:
+                held = [t[2] for t in tags[i + 1 : j] if not t[3]]
+                if comments or not _holds_article(name, held, articles, depth):
                     if name not in INLINE:
                         end_line()
                         end_line()

@@ -32,6 +32,11 @@ def test_main_text_of_test_pages(spark):
         ("<body><div class=menu>m</div><div id=content><p>" + "long text " * 20 + "</p><p>Of.</p></div></div></div></div></div><p>x</p>", ("long text " * 20).strip() + " Of."),
         ("<article><p>1 &lt; 2</p><!-- no --><script>var a='</p>';</script><form><p>mail</p></form></article>", "1 < 2"),
         ("<article><div class='ad'>unclosed <p>text</p></article>", "unclosed text"),
+        ("<article><p>main text</p><section id='comments'><article class='comment'><p>reader</p></article></section></article>", "main text"),
+        ("<article><p>main text</p><article class='comment'>reader</article></article><section class='comments'><article>more</article></section>", "main text"),
+        ("<div class='has-sidebar'><article><p>one</p></article></div><div class='related'><p>two</p></div>", "one"),
+        ("<form id='all'><main><p>" + "words of it " * 10 + "</p></main></form>", ("words of it " * 10).strip()),
+        ("<article><header><h1>Title</h1></header><p>a&nbsp;b</p><div style='display:none'>x</div></article>", "Title a b"),
     ],
 )
 def test_main_text(page, text):
