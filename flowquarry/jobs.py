@@ -186,9 +186,9 @@ def stream_dedup(s, d):
 
 @query("select count(*) as n, count(distinct source_ip) as accepted from stored")
 def stream_fifo_dedup(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     f = V.stored_flows(s, d).select(F.col("flow_id").alias("seq"), F.col("source_ip").alias("fingerprint"))
-    out = G.drain(G.fifo_dedup(_stream(s, d, "fifo", f)), new_folder(s, "out"), new_folder(s, "ck"))
+    with G.rocksdb(s):
+        out = G.drain(G.fifo_dedup(_stream(s, d, "fifo", f)), new_folder(s, "out"), new_folder(s, "ck"))
     return out.agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
 
 

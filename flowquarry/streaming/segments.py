@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -61,6 +62,18 @@ class LastSeen(StatefulProcessor):
         pass
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fifo_dedup(stream: DataFrame, capacity: int = 50_000) -> DataFrame:
     """(capture_session_id, seq, fingerprint, accepted); exact, one state per session. Needs the RocksDB state store."""
     return stream.groupBy("capture_session_id").transformWithStateInPandas(

@@ -179,11 +179,11 @@ def test_medians_and_forest(spark):
 
 
 def test_fifo_dedup(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     df = spark.createDataFrame([(i, fp) for i, fp in enumerate("aaba")], "seq long, fingerprint string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = G.read_segments(spark, str(tmp_path / "in"), df.schema, "s", "parquet")
-    out = G.drain(G.fifo_dedup(stream, 1), str(tmp_path / "out"), str(tmp_path / "ck"))
+    with G.rocksdb(spark):
+        out = G.drain(G.fifo_dedup(stream, 1), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert [r["accepted"] for r in out.orderBy("seq").collect()] == [True, False, True, True]
     with pytest.raises(ValueError):
         G.LastSeen(0)
