@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.textcore import LOWER, byte_table, per_text, span_hash, text_blocks, text_of, words
+from flowquarry.llm.textcore import LOWER, byte_table, giving_back, per_text, span_hash, text_blocks, text_of, words
 
 NOT_WORD = byte_table(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -181,7 +181,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(
-        run,
+        giving_back(run),
         f"`{id_col}` long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "matches array<struct<label:string,start:long,end:long>>",
     )

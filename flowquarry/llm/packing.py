@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.stage import settled
-from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, text_blocks, words
+from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, giving_back, text_blocks, words
 from flowquarry.llm.tokencount import load
 
 SALTS = 256
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW_TO
                 )
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` long, start long, length long, doc_tokens long, ids binary")
 
 
 class TightestFit:

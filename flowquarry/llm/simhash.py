@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.graph import components
 from flowquarry.llm.stage import settled
-from flowquarry.llm.textcore import LOWER, SPACE, text_blocks, text_of, words
+from flowquarry.llm.textcore import LOWER, SPACE, giving_back, text_blocks, text_of, words
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate(fps).view(np.int64))], names=["row", "id", "fp"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string"))
-    return rows.mapInArrow(run, "row long, id long, fp long")
+    return rows.mapInArrow(giving_back(run), "row long, id long, fp long")
 
 
 def _entries(max_bits: int) -> list[tuple[int, ...]]:
@@ -185,9 +185,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     """(src, dst) over the distinct fingerprints in fps (fp: long), enough to join all that differ in at most max_bits bits."""
     keys = _keys(fps, max_bits)
     dealt = keys.repartition("set", "bytes").sortWithinPartitions("set", "bytes", "fp")
-    work = dealt.mapInArrow(_search(max_bits, block), "work int, a binary, b binary")
+    work = dealt.mapInArrow(giving_back(_search(max_bits, block)), "work int, a binary, b binary")
     spread = work.repartition(F.xxhash64("a", "b"))
-    return spread.mapInArrow(_finish(max_bits), "src long, dst long")
+    return spread.mapInArrow(giving_back(_finish(max_bits)), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

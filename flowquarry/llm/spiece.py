@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowquarry.llm.textcore import DistinctTable, byte_table, per_text, text_blocks, units
+from flowquarry.llm.textcore import DistinctTable, byte_table, giving_back, per_text, text_blocks, units
 
 MARK = "▁"
 _BLANK = byte_table(b" ")
@@ -102,7 +102,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, n_tokens long, `{names[2]}` string, `{names[3]}` string")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` long, n_tokens long, `{names[2]}` string, `{names[3]}` string")
 
 
 def _with_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.llm.textcore import SPACE, covered, inside, per_text, span_hash, text_blocks, text_of, window_hash, words
+from flowquarry.llm.textcore import SPACE, covered, giving_back, inside, per_text, span_hash, text_blocks, text_of, window_hash, words
 
 WIDTH = 35
 BUCKET_BYTES = 4 << 20
@@ -290,18 +290,18 @@ def substring_dedup(
     text = docs[text_col].cast("string").alias("_text")
     bits = _bits(docs, text_col, bucket_bytes)
     index = docs.select(place, text).mapInArrow(
-        _anchors(width, bits, flush), "bucket int, probes binary, blocks binary, rows binary, at binary, known_rows binary, known_at binary"
+        giving_back(_anchors(width, bits, flush)), "bucket int, probes binary, blocks binary, rows binary, at binary, known_rows binary, known_at binary"
     )
     hits = index.groupBy("bucket").applyInArrow(_hits, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_hits"))
     # both joins below read the same columns, so that Spark deals the texts out once
     base = docs.select(place, text, *[docs[c].alias(n) for c, n in zip(keep, names)])
     near = base.join(hits, base["_row"] == hits["row"]).select("_row", "_text", "_hits", *names)
     windows = near.mapInArrow(
-        _candidates(width, bits, flush), "bucket int, h binary, g binary, rows binary, at binary, bare_h binary, bare_g binary, known_rows binary, known_at binary"
+        giving_back(_candidates(width, bits, flush)), "bucket int, h binary, g binary, rows binary, at binary, bare_h binary, bare_g binary, known_rows binary, known_at binary"
     )
     repeats = windows.groupBy("bucket").applyInArrow(_repeats, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_repeats"))
     none = F.array().cast("array<int>")
     both = base.join(repeats, base["_row"] == repeats["row"], "left").select("_row", "_text", F.coalesce("_repeats", none).alias("_repeats"), *names)
     schema = T.StructType([base.schema[n] for n in names]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    out = both.mapInArrow(_strip(width, names), schema)
+    out = both.mapInArrow(giving_back(_strip(width, names)), schema)
     return out.toDF(*keep, "kept_text", "n_words", "n_removed")

@@ -7,18 +7,42 @@ the UTF-8 bytes of a block with numpy, never per character.
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _SEGMENT = 1 << 18  # bytes hashed at once: the work arrays then fit the processor's cache
 _U = np.uint64
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, as workers live on and wait for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that releases memory when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
+
+
 def byte_table(members: bytes | range) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(members)] = True

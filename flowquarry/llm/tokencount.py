@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from flowquarry.llm.textcore import SPACE, CountTable, byte_table, per_text, text_blocks, units
+from flowquarry.llm.textcore import SPACE, CountTable, byte_table, giving_back, per_text, text_blocks, units
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,5 +102,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
                 yield pa.record_batch([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tokens))], names=[id_col, "n_bytes", "n_tokens"])
 
     ids = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    out = ids.mapInArrow(count, f"`{id_col}` long, n_bytes long, n_tokens long")
+    out = ids.mapInArrow(giving_back(count), f"`{id_col}` long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", out["n_tokens"] > limit)
