@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     classes = settled(rows.groupBy("fp").agg(least))
     found = components(links(classes.select("fp"), max_bits))
     placed = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = placed.groupBy("root").agg(F.min("least").alias("best")).withColumnRenamed("root", "_root")
+    # written, so that the join below deals out both sides anew and Spark can split a component's many fingerprints
+    best = settled(placed.groupBy("root").agg(F.min("least").alias("best")).withColumnRenamed("root", "_root"))
     by_fp = placed.join(best, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "best")
     return rows.join(by_fp, F.col("fp") == F.col("_fp")).select(
         "row", "id", "fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("keeper")
