@@ -6,9 +6,11 @@ put back on ids at the end, and for k neighbours the k + 1 smallest ids of a nod
 nearness symmetric, a node's vector gets one more coordinate that gives all the same length; inner products
 with a query, which has zero there, are unchanged.
 
-Building. Rough blocks of random projections start the graph. Then, round by round, joins bring every
-node's neighbours and reverse neighbours together (neighbours of neighbours), and each of them keeps the
-`degree` nearest it has met. Vectors travel in 8-bit form while the graph is built.
+Building. Rough blocks, by planes halfway between pairs of nodes, start the graph. Then, round by round,
+joins bring every node's neighbours and reverse neighbours together (neighbours of neighbours), and each of
+them keeps the `degree` nearest it has met. Vectors travel whole: as floats where that loses nothing, else as
+doubles. Candidates are picked by distances around the node in the middle, so that neither a far-off member
+nor a common offset takes digits away, and what is kept is the sum of squared differences, in double precision.
 
 Searching. A query holds a pool of the `width` best nodes it has seen. Each round joins its best nodes not yet
 opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the
@@ -32,7 +34,6 @@ from flowquarry.llm.stage import settled
 DEGREE, REVERSE, ROUNDS = 24, 16, 5
 WIDTH, OPENED, STEPS = 64, 16, 6
 TREES, BLOCK = 4, 96
-SEED = 7
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -65,62 +66,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _codes(blobs: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.int8) for b in blobs.to_pylist()]).astype(np.float32)
+def _whole(blobs: pa.Array, size: int, longest: float) -> np.ndarray:
+    """Lengthened vectors, in double precision, of what _coded has packed."""
+    found = blobs.to_pylist()
+    narrow = np.fromiter((len(b) == 4 * size for b in found), bool, len(found))
+    v = np.empty((len(found), size + 1))
+    for own, kind in ((narrow, np.float32), (~narrow, np.float64)):
+        v[own, :size] = np.frombuffer(b"".join(b for b, o in zip(found, own) if o), kind).reshape(-1, size)
+    v[:, size] = np.sqrt(np.maximum(0.0, longest**2 - (v[:, :size] ** 2).sum(axis=1)))
+    return v
 
 
-def _coded(distinct: DataFrame, longest: float, trees: int) -> DataFrame:
-    """(node, code, places): the lengthened vector in 8 bits, and the side of each random plane, per tree."""
+def _coded(distinct: DataFrame, size: int, trees: int) -> DataFrame:
+    """(node, code, places): the vector's bytes, and which node of each pair it is nearer to, per tree."""
+    # a fixed number of rows
+    ends = distinct.orderBy(F.xxhash64("node", F.lit(-1)), "node").limit(2 * 24 * trees).select("vec").collect()
+    ends = np.array([r["vec"] for r in ends] or np.zeros((1, size)), float)
+    pairs = np.arange(24 * trees)
+    x, y = ends[2 * pairs % len(ends)], ends[(2 * pairs + 1) % len(ends)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _matrix(batch.column(1)) / longest
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1)))
-            v = np.column_stack([v, rest])
-            code = np.clip(np.rint(v * 127.0), -127, 127).astype(np.int8)
-            planes = np.random.default_rng(SEED).standard_normal((v.shape[1], 24 * trees))
-            side = (v @ planes > 0).astype(np.int64).reshape(len(v), trees, 24)
+            v = _matrix(batch.column(1))
+            short = v.astype(np.float32)
+            fits = (short == v).all(axis=1)
+            code = [(s if f else w).tobytes() for s, w, f in zip(short, v, fits)]
+            side = np.column_stack([(v - (a + b) / 2) @ (a - b) > 0 for a, b in zip(x, y)]).astype(np.int64).reshape(len(v), trees, 24)
             places = (side << np.arange(24)).sum(axis=2)
-            yield pa.record_batch([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(places.tolist(), pa.list_(pa.int64()))], names=["node", "code", "places"])
+            yield pa.record_batch([batch.column(0), pa.array(code, pa.binary()), pa.array(places.tolist(), pa.list_(pa.int64()))], names=["node", "code", "places"])
 
     return distinct.select("node", "vec").mapInArrow(run, "node long, code binary, places array<long>")
 
 
 def _best(pairs: DataFrame, degree: int) -> DataFrame:
-    """(node, near): each node's best `degree` of (node, other, score), as sorted structs; partial sorting keeps groups small."""
-    met = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("far"), F.col("other").alias("other"))))
+    """(node, near): each node's best `degree` of (node, other, far), as sorted structs; partial sorting keeps groups small."""
+    met = F.array_sort(F.collect_set(F.struct("far", "other")))
     return pairs.groupBy("node").agg(F.slice(met, 1, degree).alias("near"))
 
 
-def _local(degree: int, limit: int):
-    """Rows (place, node, code, bar) sorted by place: for each place, what its members are to each other, if above their bar."""
+def _local(degree: int, limit: int, size: int, longest: float):
+    """Rows (place, node, code, bar) sorted by place: for each place, how far its members are from each other, if under their bar."""
 
-    def search(ids: np.ndarray, codes: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, ...]:
-        scores = codes @ codes.T
-        np.fill_diagonal(scores, -np.inf)
+    def search(ids: np.ndarray, v: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, ...]:
+        c = v - v[0]
+        squares = (c * c).sum(axis=1)
+        rough = squares[:, None] + squares[None, :] - 2.0 * (c @ c.T)
+        np.fill_diagonal(rough, np.inf)
         take = min(degree, len(ids) - 1)
-        top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+        top = np.argpartition(rough, take - 1, axis=1)[:, :take]
         own = np.repeat(np.arange(len(ids)), take)
         other = top.ravel()
-        s = scores[own, other]
-        ok = s > bars[own]
-        return ids[own[ok]], ids[other[ok]], s[ok]
+        # the same for a pair wherever it meets, so that it is one entry of a list
+        far = ((v[own] - v[other]) ** 2).sum(axis=1)
+        ok = far < bars[own]
+        return ids[own[ok]], ids[other[ok]], far[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, codes, bars = np.zeros(0, np.int64), np.zeros(0, np.int64), None, np.zeros(0, np.float32)
+        place, ids, codes, bars = np.zeros(0, np.int64), np.zeros(0, np.int64), None, np.zeros(0)
 
         def emit(place, ids, codes, bars):
             edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
             out = [search(ids[i:j], codes[i:j], bars[i:j]) for a, b in zip(edges, edges[1:]) for i in range(a, b, limit) for j in [min(i + limit, b)] if j - i > 1]
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-            return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float32))], names=["node", "other", "score"])
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], names=["node", "other", "far"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _codes(batch.column(2))
+            new = _whole(batch.column(2), size, longest)
             place, ids = np.concatenate([place, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
             codes = new if codes is None else np.concatenate([codes, new])
             bars = np.concatenate([bars, batch.column(3).to_numpy()])
@@ -134,34 +149,35 @@ def _local(degree: int, limit: int):
     return run
 
 
-_PAIRS = "node long, other long, score float"
+_PAIRS = "node long, other long, far double"
 
 
 def build(distinct: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
     """(node, near: array of node ids, nearest first)."""
-    top = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.count("*").alias("n")).first()
-    longest, total = float(top["m"] or 1.0) ** 0.5, top["n"]
-    coded = settled(_coded(distinct, longest, trees))
+    top = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.count("*").alias("n"), F.max(F.size("vec")).alias("size")).first()
+    longest, total, size = float(top["m"] or 1.0) ** 0.5, top["n"], top["size"] or 1
+    coded = settled(_coded(distinct, size, trees))
     bits = min(24, max(0, (total // BLOCK).bit_length()))
     low = F.lit((1 << bits) - 1)
     spots = coded.select("node", "code", F.posexplode("places").alias("tree", "place"))
-    # members of a block come in hash order, so a block over the limit is cut into random parts
+    # members of a block come in the order of its further planes, which cut a block over the limit
     place = F.xxhash64("tree", F.col("place").bitwiseAND(low))
-    spots = spots.select(place.alias("place"), "node", "code", F.lit(float("-inf")).cast("float").alias("bar"), F.xxhash64("node").alias("h"))
-    first = spots.repartition("place").sortWithinPartitions("place", "h").drop("h").mapInArrow(_local(degree, BLOCK * 2), _PAIRS)
+    further = F.shiftright("place", bits)
+    spots = spots.select(place.alias("place"), "node", "code", F.lit(float("inf")).alias("bar"), further.alias("further"), F.xxhash64("node").alias("h"))
+    first = spots.repartition("place").sortWithinPartitions("place", "further", "h").drop("further", "h").mapInArrow(_local(degree, BLOCK * 2, size, longest), _PAIRS)
     graph = settled(_best(first, degree))
     for turn in range(rounds):
-        pairs = graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.other").alias("other"), (-F.col("x.far")).cast("float").alias("score"))
+        pairs = graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.other").alias("other"), F.col("x.far").alias("far"))
         ranked = Window.partitionBy("other", "salt").orderBy("h")
         back = pairs.select("other", "node", F.xxhash64("node", F.lit(turn)).alias("h")).withColumn("salt", F.pmod("h", F.lit(16)))
         back = back.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= reverse)  # at most 16 * reverse of a hub go on
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("h"))).where(F.col("n") <= reverse)
         around = pairs.select(F.col("node").alias("place"), F.col("other").alias("who")).union(back.select(F.col("other").alias("place"), F.col("node").alias("who")))
         around = around.union(graph.select(F.col("node").alias("place"), F.col("node").alias("who"))).distinct()
-        bars = graph.select("node", F.when(F.size("near") >= degree, -F.element_at("near", -1)["far"]).otherwise(float("-inf")).cast("float").alias("bar"))
-        known = coded.select("node", "code").join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(float("-inf")).cast("float")).alias("bar"))
+        bars = graph.select("node", F.when(F.size("near") >= degree, F.element_at("near", -1)["far"]).otherwise(float("inf")).alias("bar"))
+        known = coded.select("node", "code").join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(float("inf"))).alias("bar"))
         met = around.join(known, F.col("who") == F.col("node")).select("place", "node", "code", "bar")
-        found = met.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_local(degree, 1 << 20), _PAIRS)
+        found = met.repartition("place").sortWithinPartitions("place", F.col("node") != F.col("place"), "node").mapInArrow(_local(degree, 1 << 20, size, longest), _PAIRS)
         graph = settled(_best(pairs.union(found), degree))
     return graph.select("node", F.transform("near", lambda x: x["other"]).alias("near"))
 

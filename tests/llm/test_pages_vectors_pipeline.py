@@ -104,6 +104,28 @@ def test_nearest_edges(spark):
     assert ann.nearest(empty, F.col("id") % 20 == 0).isEmpty()
 
 
+def _recall(spark, v, k=20):
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    hits, asked = 0, range(0, len(v), 20)
+    bar = {q: np.sort(np.delete(v @ v[q], q))[-k] for q in asked}
+    for r in ann.nearest(table, F.col("id") % 20 == 0, k=k).collect():
+        hits += r["score"] >= bar[r["query_id"]] - 1e-13 * abs(bar[r["query_id"]])
+    return hits / (k * len(asked))
+
+
+@pytest.mark.parametrize("kind", ["near-equal", "large norm"])
+def test_nearest_of_near_equal_and_large_vectors(spark, kind):
+    rng = np.random.default_rng(3)
+    if kind == "near-equal":
+        v = rng.standard_normal((1, 64)) + 1e-3 * rng.standard_normal((2000, 64))
+    else:
+        v = rng.standard_normal((2000, 8)) @ rng.standard_normal((8, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "large norm":
+        v = np.vstack([v, 900 * v[0] + 100 * v[1]])
+    assert _recall(spark, v) >= 0.9
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
