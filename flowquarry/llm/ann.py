@@ -8,13 +8,13 @@ with a query, which has zero there, are unchanged.
 
 Building. Rough blocks, by planes halfway between pairs of nodes, start the graph. Then, round by round,
 joins bring every node's neighbours and reverse neighbours together (neighbours of neighbours), and each of
-them keeps the `degree` nearest it has met. Vectors travel whole: as floats where that loses nothing, else as
+them keeps the `degree` nearest it has met, until few lists change. Vectors travel whole: as floats where that loses nothing, else as
 doubles. Candidates are picked by distances around the node in the middle, so that neither a far-off member
 nor a common offset takes digits away, and what is kept is the sum of squared differences, in double precision.
 
 Searching. A query holds a pool of the `width` best nodes it has seen. Each round joins its best nodes not yet
 opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the
-best. Queries start at given nodes; rows of the table start at their own.
+best, until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own.
 
 Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the
 method does, so a hub is no hot key. Nothing is collected; rounds are written tables.
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.stage import settled
 
-DEGREE, REVERSE, ROUNDS = 24, 16, 5
-WIDTH, OPENED, STEPS = 64, 16, 6
+DEGREE, REVERSE, ROUNDS = 24, 16, 40
+WIDTH, OPENED, STEPS = 64, 16, 100
+#: Rounds and steps end when at most this share of all lists' or pools' entries is new; ROUNDS and STEPS only bound them.
+DONE = 0.001
 TREES, BLOCK = 4, 96
 
 
@@ -178,7 +180,11 @@ def build(distinct: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rou
         known = coded.select("node", "code").join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(float("inf"))).alias("bar"))
         met = around.join(known, F.col("who") == F.col("node")).select("place", "node", "code", "bar")
         found = met.repartition("place").sortWithinPartitions("place", F.col("node") != F.col("place"), "node").mapInArrow(_local(degree, 1 << 20, size, longest), _PAIRS)
-        graph = settled(_best(pairs.union(found), degree))
+        before, graph = graph, settled(_best(pairs.union(found), degree))
+        old = before.select(F.col("node").alias("_node"), F.col("near.other").alias("old"))
+        new = F.size(F.array_except("near.other", F.coalesce("old", F.array().cast("array<bigint>"))))
+        if (graph.join(old, F.col("node") == F.col("_node"), "left").agg(F.sum(new).alias("n")).first()["n"] or 0) <= DONE * degree * total:
+            break
     return graph.select("node", F.transform("near", lambda x: x["other"]).alias("near"))
 
 
@@ -214,6 +220,9 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
         ahead = ahead.join(pool.select("query", "node"), ["query", "node"], "left_anti")
         grown = turn.select("query", "node", "score", (F.col("open") & ~now).alias("open")).union(scored(ahead).withColumn("open", F.lit(True)))
         pool = settled(grown.withColumn("n", F.row_number().over(best)).where(F.col("n") <= width).drop("n"))
+        left = pool.agg(F.count_if("open").alias("open"), F.count("*").alias("n")).first()
+        if left["open"] <= DONE * left["n"]:
+            break
     return pool.select("query", "node", "score")
 
 
