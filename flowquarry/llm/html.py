@@ -2,11 +2,15 @@
 
 Method. Markup is stripped into lines: every border of a block element ends a line, so that borders
 between blocks leave empty lines. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles count as markup, and so does everything outside the page's article element where it
-has one. Text lengths are summed over sliding windows of `WINDOW` lines. A surge point is where the sum
-rises from nothing, a dive point where it falls back to nothing; the text between them is a stretch.
-With an article element every stretch is kept; else those whose largest sum is at least `SHARE` of the
-page's largest. Within a stretch nothing is dropped.
+scripts and styles count as markup. Text lengths are summed over sliding windows of `WINDOW` lines. A surge
+point is where the sum rises from nothing, a dive point where it falls back to nothing; the text between them
+is a stretch. Dense stretches are those whose largest sum is at least `SHARE` of the page's largest. The region
+goes from the first dense stretch's surge to the last one's dive, and starts at the nearest h1 before it if
+there is one; every stretch between is kept, however short, and nothing in the region is dropped.
+
+The article element (main, where there is none) is a prior: its text is kept whole and the rest is dropped,
+unless the region that line blocks find outside it holds more text than all of it, as with teasers beside a
+body; then line blocks decide over the whole page.
 
 A null page or a page without text gives an empty text. Rows never meet.
 """
@@ -98,16 +102,17 @@ def _partner(tags: list, i: int) -> int | None:
     return None
 
 
-def lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """The page's lines, which of them lie in an article element, and whether it has one with text."""
+def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """The page's lines, which of them lie in an article element, and which in an h1."""
     tags = _tags(page)
     articles = sum(t[2] == "article" and not t[3] for t in tags)
     holder = "article" if articles else "main"
-    out, inside, buffer, depth, at, i = [], [], [], 0, 0, 0
+    out, inside, titles, buffer, depth, title, at, i = [], [], [], [], 0, False, 0, 0
 
     def end_line() -> None:
         out.append(" ".join(html.unescape("".join(buffer)).split()))
         inside.append(depth > 0)
+        titles.append(title)
         buffer.clear()
 
     while i < len(tags):
@@ -131,17 +136,16 @@ def lines(page: str) -> tuple[list[str], list[bool], bool]:
             end_line()
         if name == holder:
             depth = max(0, depth + (-1 if closes else 1))
+        if name == "h1":
+            title = not closes
         i += 1
     buffer.append(page[at:])
     end_line()
-    return out, inside, any(x and y for x, y in zip(out, inside))
+    return out, inside, titles
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found, inside, article = lines(page)
-    size = [len(x) if y or not article else 0 for x, y in zip(found, inside)]
+def _region(size: list[int], titles: list[bool]) -> tuple[int, int]:
+    """The lines from the first surge to the last dive of the dense stretches, with the title before them."""
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     stretches, start = [], None
     for i, s in enumerate([*sums, 0]):
@@ -150,8 +154,27 @@ def main_text(page: str | None) -> str:
         elif not s and start is not None:
             stretches.append((start, i, max(sums[start:i])))  # dive
             start = None
-    least = 0 if article else SHARE * max((m for _, _, m in stretches), default=0)
-    return " ".join(found[k] for a, b, m in stretches if m >= least for k in range(a, b) if size[k])
+    least = SHARE * max((m for _, _, m in stretches), default=0)
+    dense = [(a, b) for a, b, m in stretches if m >= least]
+    if not dense:
+        return 0, 0
+    first, last = dense[0][0], dense[-1][1]
+    return max((i for i in range(first) if titles[i] and size[i]), default=first), last
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    found, inside, titles = lines(page)
+    size = [len(x) for x in found]
+    within = [n if y else 0 for n, y in zip(size, inside)]
+    outside = [0 if y else n for n, y in zip(size, inside)]
+    a, b = _region(outside, titles)
+    if sum(within) and sum(outside[a:b]) <= sum(within):
+        size, a, b = within, 0, len(size)
+    else:
+        a, b = _region(size, titles)
+    return " ".join(found[k] for k in range(a, b) if size[k])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -43,6 +43,20 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # teasers are articles, the body is none
+        ("<div><p>" + "body text " * 60 + "</p></div><div></div><div></div><article><p>teaser one</p></article><article><p>teaser two</p></article>", ("body text " * 60).strip()),
+        # empty lines split off the title, and a short part between two long ones
+        ("<body><div><h1>Title</h1></div><div></div><div><p>" + "long text " * 200 + "</p></div></body>", "Title " + ("long text " * 200).strip()),
+        ("<div><p>" + "aa " * 200 + "</p></div><div></div><div><p>short</p></div><div></div><div><p>" + "bb " * 200 + "</p></div>", " ".join(["aa"] * 200 + ["short"] + ["bb"] * 200)),
+    ],
+)
+def test_main_text_by_line_blocks(page, text):
+    assert html.main_text(page) == text
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://h{i % 3}.example.com/p{i % 5}?q={i}", f"<p>é {i % 7}</p>") for i in range(200)]
     pages += [(500, None, None), (501, "x y\nz", ""), (None, "http://a", "<p>é 1</p>"), (-3, "HTTP://www.B.org:8080/A", "WARC/1.1\r\n\r\n\r\nContent-Length: 9"), (7, "http://again", "<p>é 0</p>"), (7, "http://again", "<p>é 0</p>")]
