@@ -61,6 +61,8 @@ def scored_flows_write(s, d):
 
 # -- training
 
+#: Rows that a search sees at most, and its folds.
+TUNING_ROWS, FOLDS = 50_000, 5
 FEATURES = ["flow_duration", "packets", "fwd_header_length", "value_per_packet", "destination_port"]
 
 
@@ -77,7 +79,7 @@ def _training(s, d) -> DataFrame:
 
 def _fitted(s, d):
     train = _training(s, d)
-    return train, ml.fit(train.where("split = 'train'"), FEATURES, numTrees=10, maxDepth=5)
+    return train, ml.fit(train.where("split = 'train'"), FEATURES)
 
 
 @query()
@@ -89,16 +91,16 @@ def rf_baseline_metrics(s, d):
 @query()
 def rf_scenario_metrics(s, d):
     rows = splits.blocks(_training(s, d).drop("split"), "label", "seq", 200)
-    model = ml.fit(rows.where("split = 'train'"), FEATURES, numTrees=10, maxDepth=5)
+    model = ml.fit(rows.where("split = 'train'"), FEATURES)
     return metrics.classification_report(ml.named_predictions(model.transform(rows.where("split = 'test'"))))
 
 
 def _search(s, d) -> DataFrame:
     rows = _training(s, d).where("split = 'train'")
     path = new_folder(s, "sample")
-    splits.stratified_folds(splits.stratified_sample(rows, "label", "seq", 2000), "label", "seq", 2).write.parquet(path)
+    splits.stratified_folds(splits.stratified_sample(rows, "label", "seq", TUNING_ROWS), "label", "seq", FOLDS).write.parquet(path)
     sample = s.read.parquet(path)
-    return ml.search(sample, FEATURES, {"numTrees": [5, 8], "maxDepth": [3, 5]}, 2)
+    return ml.search(sample, FEATURES)
 
 
 @query()
@@ -110,7 +112,7 @@ def cv_results(s, d):
 def rf_tuned_cv(s, d):
     """Search on a sample, refit the best on all training rows, evaluate once on the test rows."""
     best = ml.cv_results(_search(s, d)).orderBy(F.desc("mean_test_f1"), "candidate").first()
-    params = ml.candidates({"numTrees": [5, 8], "maxDepth": [3, 5]}, 2)[best["candidate"]]
+    params = ml.candidates(ml.SPACE, ml.CANDIDATES)[best["candidate"]]
     rows = _training(s, d)
     model = ml.fit(rows.where("split = 'train'"), FEATURES, **params)
     return metrics.overall(ml.named_predictions(model.transform(rows.where("split = 'test'"))))

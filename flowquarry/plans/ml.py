@@ -20,7 +20,7 @@ from flowquarry.operators.profile import q
 from flowquarry.operators.quantiles import exact_quantiles
 from flowquarry.schema import CLASSES
 
-SEED, TREES = 42, 100
+SEED, TREES, CANDIDATES = 42, 100, 20
 
 #: The search space.
 SPACE = {
@@ -140,7 +140,7 @@ def candidates(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     return grid[:n]
 
 
-def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = 20) -> DataFrame:
+def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES) -> DataFrame:
     """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column."""
     spark, scorer, rows = train.sparkSession, MacroF1(), []
     folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]

@@ -213,3 +213,20 @@ def test_exact_quantiles(spark, bins, few):
             assert got[c] == [None] * len(p)
         else:
             assert all(abs(x - y) <= 1e-12 * max(abs(y), 1.0) for x, y in zip(got[c], expected[c])), c
+
+
+def test_registered_models_use_the_whole_job(monkeypatch):
+    from unittest import mock
+
+    from flowquarry import jobs
+
+    fit, search, folds, sample = mock.MagicMock(), mock.MagicMock(), mock.MagicMock(), mock.MagicMock()
+    for module, name, new in [(jobs.ml, "fit", fit), (jobs.ml, "search", search), (jobs.splits, "stratified_folds", folds), (jobs.splits, "stratified_sample", sample)]:
+        monkeypatch.setattr(module, name, new)
+    for name in ("_training", "new_folder"):
+        monkeypatch.setattr(jobs, name, mock.MagicMock())
+    jobs._fitted(mock.MagicMock(), "")
+    jobs._search(mock.MagicMock(), "")
+    assert fit.call_args.kwargs == {} and len(search.call_args.args) == 2 and search.call_args.kwargs == {}
+    assert sample.call_args.args[-1] == 50_000 and folds.call_args.args[-1] == 5
+    assert (jobs.ml.TREES, jobs.ml.CANDIDATES) == (100, 20)
