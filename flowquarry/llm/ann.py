@@ -1,23 +1,24 @@
 """Approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
 
-Vectors. Null, zero, empty and non-finite vectors take no part, nor do those whose length is not the most
-frequent one. Equal vectors are one node of the graph, so any number of copies is one node; results are
-put back on ids at the end, and for k neighbours the k + 1 smallest ids of a node always suffice. To make
-nearness symmetric, a node's vector gets one more coordinate that gives all the same length; inner products
-with a query, which has zero there, are unchanged.
-
-Building. Rough blocks, by planes halfway between pairs of nodes, start the graph. Then, round by round,
-joins bring every node's neighbours and reverse neighbours together (neighbours of neighbours), and each of
-them keeps the `degree` nearest it has met, until few lists change. Vectors travel whole: as floats where that loses nothing, else as
-doubles. Candidates are picked by distances around the node in the middle, so that neither a far-off member
-nor a common offset takes digits away, and what is kept is the sum of squared differences, in double precision.
-
-Searching. A query holds a pool of the `width` best nodes it has seen. Each round joins its best nodes not yet
-opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the
-best, until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own.
-
-Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the
-method does, so a hub is no hot key. Nothing is collected; rounds are written tables.
+Vectors. Null, zero, empty and non-finite vectors take no part; vectors of different lengths are an error. Equal
+vectors are one node of the graph, so any number of copies is one node; results are put back on ids at the end,
+and for k neighbours the k + 1 smallest ids of a node always suffice.
+
+Building. A node has two lists: the `degree` nodes of least angle to it, and the `degree` nodes of largest inner
+product with it. The first makes the graph one of neighbourhoods whatever the norms are; the second is what is
+asked for, and a node's neighbours by angle have nearly the same one. Where all norms are equal the two agree and
+one is kept. Rough blocks, by planes halfway between pairs of nodes, start the lists. Then, round by round, joins
+bring the neighbours and reverse neighbours of a node together (neighbours of neighbours); entries are flagged new
+until they have taken part, pairs of old ones are passed over, and so are nodes without a new one. Rounds end when
+few lists change. Vectors travel whole, as floats where that loses nothing, and are compared in double precision.
+
+Searching. A query holds a pool of the `width` best nodes it has seen. Each step joins its best nodes not yet
+opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the best,
+until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own.
+
+Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the method
+does, so a hub is no hot key. Nothing is collected but a fixed number of vectors for the planes; rounds are written
+tables, and each is deleted when the next is there. Repeated ids with different vectors are rows like any other.
 """
 
 from __future__ import annotations
@@ -28,64 +29,65 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowquarry.llm.stage import settled
+from flowquarry.llm.stage import dropped, settled
 
-DEGREE, REVERSE, ROUNDS = 24, 16, 40
-WIDTH, OPENED, STEPS = 64, 16, 100
+DEGREE, JOINED, REVERSE, ROUNDS = 24, 12, 8, 40
+WIDTH, OPENED, STEPS = 32, 16, 100
 #: Rounds and steps end when at most this share of all lists' or pools' entries is new; ROUNDS and STEPS only bound them.
-DONE = 0.001
-TREES, BLOCK = 4, 96
+DONE = 0.02
+#: Rough blocks: how often nodes are dealt into blocks of about BLOCK, and how many a node keeps of each of its blocks.
+TREES, BLOCK, FIRST, PLANES = 28, 1024, 10, 24
+#: The two orders of a node's lists.
+ANGLE, PRODUCT = 0, 1
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, vec) of the rows that take part; ids are made long and vectors arrays of double."""
-    rows = table.select(table[id_col].cast("long").alias("id"), table[vec_col].cast("array<double>").alias("vec")).where("id is not null and size(vec) > 0")
+    """(id, vec) of the rows that take part; ids are made long and vectors arrays of float, if they are such, or of double."""
+    kind = table.schema[vec_col].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    rows = table.select(table[id_col].cast("long").alias("id"), table[vec_col].cast(f"array<{kind}>").alias("vec")).where("id is not null and size(vec) > 0")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.forall("vec", fine) & F.exists("vec", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     # -0.0 is made 0.0, so that equal vectors are one node
-    return rows.where(F.size("vec") == (lengths["n"] if lengths else 0)).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
+    return rows.select("id", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)).alias("vec"))
 
 
 def nodes(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(node, vec) of distinct vectors, node being the smallest id, and (node, id) with the `keep` smallest ids of each."""
-    rows = settled(rows)
+    """(node, vec) of distinct vectors, node being the smallest id, and (node, ids) with the `keep` smallest ids of each."""
     distinct = settled(rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", "vec"))
-    key = F.xxhash64("vec")
-    salted = rows.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    by_salt = Window.partitionBy("key", "vec", "salt").orderBy("id")
-    by_node = Window.partitionBy("key", "vec").orderBy("id")
-    few = salted.withColumn("n", F.row_number().over(by_salt)).where(F.col("n") <= keep)
-    few = few.withColumn("n", F.row_number().over(by_node)).where(F.col("n") <= keep)
-    members = few.select(F.min("id").over(Window.partitionBy("key", "vec")).alias("node"), "id")
-    return distinct, settled(members)
+    known = rows.join(distinct.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select("node", "id")
+    # Spark limits a hot node's rows in every task before it deals them out
+    few = known.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("n") <= keep)
+    return distinct, settled(few.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _whole(blobs: pa.Array, size: int, longest: float) -> np.ndarray:
-    """Lengthened vectors, in double precision, of what _coded has packed."""
+def _unpacked(blobs: pa.Array, size: int) -> np.ndarray:
+    """The vectors that _coded has packed, in double precision."""
     found = blobs.to_pylist()
     narrow = np.fromiter((len(b) == 4 * size for b in found), bool, len(found))
-    v = np.empty((len(found), size + 1))
+    v = np.empty((len(found), size))
     for own, kind in ((narrow, np.float32), (~narrow, np.float64)):
-        v[own, :size] = np.frombuffer(b"".join(b for b, o in zip(found, own) if o), kind).reshape(-1, size)
-    v[:, size] = np.sqrt(np.maximum(0.0, longest**2 - (v[:, :size] ** 2).sum(axis=1)))
+        v[own] = np.frombuffer(b"".join(b for b, o in zip(found, own) if o), kind).reshape(-1, size)
     return v
 
 
 def _coded(distinct: DataFrame, size: int, trees: int) -> DataFrame:
-    """(node, code, places): the vector's bytes, and which node of each pair it is nearer to, per tree."""
+    """(node, code, places): the vector's bytes, and on which side of each plane its direction lies, per tree."""
     # a fixed number of rows
-    ends = distinct.orderBy(F.xxhash64("node", F.lit(-1)), "node").limit(2 * 24 * trees).select("vec").collect()
-    ends = np.array([r["vec"] for r in ends] or np.zeros((1, size)), float)
-    pairs = np.arange(24 * trees)
+    ends = distinct.orderBy(F.xxhash64("node", F.lit(-1)), "node").limit(2 * PLANES * trees).select("vec").collect()
+    ends = np.array([r["vec"] for r in ends] or np.ones((1, size)), float)
+    ends /= np.linalg.norm(ends, axis=1, keepdims=True)
+    pairs = np.arange(PLANES * trees)
     x, y = ends[2 * pairs % len(ends)], ends[(2 * pairs + 1) % len(ends)]
+    normals, middles = (x - y).T, ((x + y) / 2 * (x - y)).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,97 +97,125 @@ def _coded(distinct: DataFrame, size: int, trees: int) -> DataFrame:
             short = v.astype(np.float32)
             fits = (short == v).all(axis=1)
             code = [(s if f else w).tobytes() for s, w, f in zip(short, v, fits)]
-            side = np.column_stack([(v - (a + b) / 2) @ (a - b) > 0 for a, b in zip(x, y)]).astype(np.int64).reshape(len(v), trees, 24)
-            places = (side << np.arange(24)).sum(axis=2)
+            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            side = (unit @ normals > middles).astype(np.int64).reshape(len(v), trees, PLANES)
+            places = (side << np.arange(PLANES)).sum(axis=2)
             yield pa.record_batch([batch.column(0), pa.array(code, pa.binary()), pa.array(places.tolist(), pa.list_(pa.int64()))], names=["node", "code", "places"])
 
     return distinct.select("node", "vec").mapInArrow(run, "node long, code binary, places array<long>")
 
 
+_PAIRS = "node long, kind int, other long, far double"
+
+
 def _best(pairs: DataFrame, degree: int) -> DataFrame:
-    """(node, near): each node's best `degree` of (node, other, far), as sorted structs; partial sorting keeps groups small."""
-    met = F.array_sort(F.collect_set(F.struct("far", "other")))
-    return pairs.groupBy("node").agg(F.slice(met, 1, degree).alias("near"))
-
-
-def _local(degree: int, limit: int, size: int, longest: float):
-    """Rows (place, node, code, bar) sorted by place: for each place, how far its members are from each other, if under their bar."""
-
-    def search(ids: np.ndarray, v: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, ...]:
-        c = v - v[0]
-        squares = (c * c).sum(axis=1)
-        rough = squares[:, None] + squares[None, :] - 2.0 * (c @ c.T)
-        np.fill_diagonal(rough, np.inf)
-        take = min(degree, len(ids) - 1)
-        top = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        own = np.repeat(np.arange(len(ids)), take)
-        other = top.ravel()
-        # the same for a pair wherever it meets, so that it is one entry of a list
-        far = ((v[own] - v[other]) ** 2).sum(axis=1)
-        ok = far < bars[own]
-        return ids[own[ok]], ids[other[ok]], far[ok]
+    """(node, kind, near): the best `degree` of each node's (kind, other, far), nearest first, new unless a row with `old` names it."""
+    met = F.array_sort(F.collect_set(F.struct("far", "other"))).alias("met")
+    known = F.collect_set(F.when(F.col("old"), F.col("other"))).alias("known")
+    near = F.transform(F.slice("met", 1, degree), lambda x: F.struct(x["far"].alias("far"), x["other"].alias("other"), (~F.array_contains("known", x["other"])).alias("new")))
+    return pairs.groupBy("node", "kind").agg(met, known).select("node", "kind", near.alias("near"))
+
+
+def _local(degree: int, limit: int, size: int, kinds: tuple[int, ...]):
+    """Rows (place, node, code, new, bar, reach) sorted by place: each place's members as neighbours of each other, if under the bar of their list."""
+
+    def search(ids: np.ndarray, v: np.ndarray, new: np.ndarray, bars: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        out, n = [], len(ids)
+        take = min(degree, n - 1)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        passed = ~(new[:, None] | new[None, :])
+        for kind in kinds:
+            if kind == ANGLE:
+                c = unit - unit[0]  # a common offset takes no digits away
+                squares = (c * c).sum(axis=1)
+                rough = squares[:, None] + squares[None, :] - 2.0 * (c @ c.T)
+            else:
+                rough = -(v @ (v - v[0]).T)
+            rough[passed] = np.inf
+            np.fill_diagonal(rough, np.inf)
+            top = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            own, other = np.repeat(np.arange(n), take), top.ravel()
+            ok = ~passed[own, other] & (own != other)
+            own, other = own[ok], other[ok]
+            # the same for a pair wherever it meets, so that it is one entry of a list
+            far = ((unit[own] - unit[other]) ** 2).sum(axis=1) if kind == ANGLE else -(v[own] * v[other]).sum(axis=1)
+            ok = far < bars[kind][own]
+            out.append((ids[own[ok]], np.full(int(ok.sum()), kind, np.int32), ids[other[ok]], far[ok]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, codes, bars = np.zeros(0, np.int64), np.zeros(0, np.int64), None, np.zeros(0)
+        held = None
 
-        def emit(place, ids, codes, bars):
+        def emit(place, ids, v, new, bar, reach):
             edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-            out = [search(ids[i:j], codes[i:j], bars[i:j]) for a, b in zip(edges, edges[1:]) for i in range(a, b, limit) for j in [min(i + limit, b)] if j - i > 1]
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], names=["node", "other", "far"])
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                for i in range(a, b, limit):
+                    j = min(i + limit, b)
+                    if j - i > 1:
+                        out += search(ids[i:j], v[i:j], new[i:j], (bar[i:j], reach[i:j]))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.record_batch([pa.array(c) for c in cols], names=["node", "kind", "other", "far"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _whole(batch.column(2), size, longest)
-            place, ids = np.concatenate([place, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
-            codes = new if codes is None else np.concatenate([codes, new])
-            bars = np.concatenate([bars, batch.column(3).to_numpy()])
-            cut = int(np.searchsorted(place == place[-1], True)) if (place == place[-1]).any() else len(place)
+            place, ids, bar, reach = (batch.column(i).to_numpy() for i in (0, 1, 4, 5))
+            fresh = (place, ids, _unpacked(batch.column(2), size), batch.column(3).to_numpy(zero_copy_only=False), bar, reach)
+            held = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh))
+            cut = int(np.argmax(held[0] == held[0][-1]))
             if cut:
-                yield emit(place[:cut], ids[:cut], codes[:cut], bars[:cut])
-                place, ids, codes, bars = place[cut:], ids[cut:], codes[cut:], bars[cut:]
-        if len(place):
-            yield emit(place, ids, codes, bars)
+                yield emit(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if held is not None:
+            yield emit(*held)
 
     return run
 
 
-_PAIRS = "node long, other long, far double"
-
-
-def build(distinct: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """(node, near: array of node ids, nearest first)."""
-    top = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.count("*").alias("n"), F.max(F.size("vec")).alias("size")).first()
-    longest, total, size = float(top["m"] or 1.0) ** 0.5, top["n"], top["size"] or 1
+def build(distinct: DataFrame, degree: int = DEGREE, joined: int = JOINED, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
+    """(node, near: array of node ids of both lists)."""
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    facts = distinct.agg(F.min(norm).alias("low"), F.max(norm).alias("high"), F.count("*").alias("n"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("size")).first()
+    if facts["least"] != facts["size"]:
+        raise ValueError(f"vectors of {facts['least']} and of {facts['size']} components")
+    total, size = facts["n"], facts["size"] or 1
+    kinds = (ANGLE,) if not total or facts["high"] <= facts["low"] * (1 + 1e-5) else (ANGLE, PRODUCT)
     coded = settled(_coded(distinct, size, trees))
-    bits = min(24, max(0, (total // BLOCK).bit_length()))
-    low = F.lit((1 << bits) - 1)
+    far_off = F.lit(float("inf"))
+    bits = min(PLANES, max(0, (total // BLOCK).bit_length()))
     spots = coded.select("node", "code", F.posexplode("places").alias("tree", "place"))
     # members of a block come in the order of its further planes, which cut a block over the limit
-    place = F.xxhash64("tree", F.col("place").bitwiseAND(low))
-    further = F.shiftright("place", bits)
-    spots = spots.select(place.alias("place"), "node", "code", F.lit(float("inf")).alias("bar"), further.alias("further"), F.xxhash64("node").alias("h"))
-    first = spots.repartition("place").sortWithinPartitions("place", "further", "h").drop("further", "h").mapInArrow(_local(degree, BLOCK * 2, size, longest), _PAIRS)
-    graph = settled(_best(first, degree))
+    place = F.xxhash64("tree", F.col("place").bitwiseAND(F.lit((1 << bits) - 1)))
+    spots = spots.select(place.alias("place"), "node", "code", F.lit(True).alias("new"), far_off.alias("bar"), far_off.alias("reach"), F.shiftright("place", bits).alias("further"), F.xxhash64("node").alias("h"))
+    first = spots.repartition("place").sortWithinPartitions("place", "further", "h").drop("further", "h").mapInArrow(_local(FIRST, BLOCK * 2, size, kinds), _PAIRS)
+    graph = settled(_best(first.withColumn("old", F.lit(False)), degree))
+    codes = coded.select("node", "code")
     for turn in range(rounds):
-        pairs = graph.select("node", F.explode("near").alias("x")).select("node", F.col("x.other").alias("other"), F.col("x.far").alias("far"))
-        ranked = Window.partitionBy("other", "salt").orderBy("h")
-        back = pairs.select("other", "node", F.xxhash64("node", F.lit(turn)).alias("h")).withColumn("salt", F.pmod("h", F.lit(16)))
-        back = back.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= reverse)  # at most 16 * reverse of a hub go on
-        back = back.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("h"))).where(F.col("n") <= reverse)
-        around = pairs.select(F.col("node").alias("place"), F.col("other").alias("who")).union(back.select(F.col("other").alias("place"), F.col("node").alias("who")))
-        around = around.union(graph.select(F.col("node").alias("place"), F.col("node").alias("who"))).distinct()
-        bars = graph.select("node", F.when(F.size("near") >= degree, F.element_at("near", -1)["far"]).otherwise(float("inf")).alias("bar"))
-        known = coded.select("node", "code").join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(float("inf"))).alias("bar"))
-        met = around.join(known, F.col("who") == F.col("node")).select("place", "node", "code", "bar")
-        found = met.repartition("place").sortWithinPartitions("place", F.col("node") != F.col("place"), "node").mapInArrow(_local(degree, 1 << 20, size, longest), _PAIRS)
-        before, graph = graph, settled(_best(pairs.union(found), degree))
-        old = before.select(F.col("node").alias("_node"), F.col("near.other").alias("old"))
-        new = F.size(F.array_except("near.other", F.coalesce("old", F.array().cast("array<bigint>"))))
-        if (graph.join(old, F.col("node") == F.col("_node"), "left").agg(F.sum(new).alias("n")).first()["n"] or 0) <= DONE * degree * total:
+        # the nearest `joined` entries of a list take part; what has taken part is old from then on
+        pairs = graph.select("node", "kind", F.posexplode("near").alias("at", "x")).select("node", "kind", "at", "x.*")
+        pairs = pairs.withColumn("part", F.col("at") < joined)
+        part = pairs.where("part")
+        back = part.where("new").select(F.col("other").alias("place"), F.col("node").alias("who"), F.xxhash64("node", F.lit(turn)).alias("h"))
+        back = back.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("h"))).where(F.col("n") <= reverse)
+        around = part.select(F.col("node").alias("place"), F.col("other").alias("who"), "new").union(back.select("place", "who", F.lit(True).alias("new")))
+        around = around.union(graph.where(F.col("kind") == ANGLE).select(F.col("node").alias("place"), F.col("node").alias("who"), F.lit(False).alias("new")))
+        # at most 2 * degree + reverse + 1 members; a node that has nothing new is passed over
+        around = around.groupBy("place").agg(F.collect_set(F.struct("who", "new")).alias("m")).where(F.exists("m", lambda x: x["new"]))
+        around = around.select("place", F.explode("m").alias("m")).select("place", "m.who", "m.new")
+        ends = graph.withColumn("end", F.when(F.size("near") >= degree, F.element_at("near", -1)["far"]).otherwise(far_off))
+        bars = ends.groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("end"))), far_off).alias(n) for k, n in ((ANGLE, "bar"), (PRODUCT, "reach"))])
+        known = codes.join(bars.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "code", F.coalesce("bar", far_off).alias("bar"), F.coalesce("reach", far_off).alias("reach"))
+        met = around.join(known, F.col("who") == F.col("node")).select("place", "node", "code", "new", "bar", "reach")
+        found = met.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_local(degree, 1 << 20, size, kinds), _PAIRS)
+        both = pairs.select("node", "kind", "other", "far", (F.col("part") | ~F.col("new")).alias("old")).union(found.withColumn("old", F.lit(False)))
+        before, graph = graph, settled(_best(both, degree))
+        dropped(before)
+        fresh = F.size(F.filter(F.slice("near", 1, joined), lambda x: x["new"]))
+        if (graph.agg(F.sum(fresh).alias("n")).first()["n"] or 0) <= DONE * joined * total * len(kinds):
             break
-    return graph.select("node", F.transform("near", lambda x: x["other"]).alias("near"))
+    near = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda x: x["other"])))).alias("near"))
+    return near
 
 
 def _score(rows: DataFrame) -> DataFrame:
@@ -209,7 +239,8 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
     edges = graph.withColumnRenamed("node", "_from")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return _score(pairs.join(vec, F.col("node") == F.col("_node")).join(queries.select(F.col("query").alias("_q"), "qvec"), F.col("query") == F.col("_q")).select("query", "node", "qvec", "vec"))
+        met = pairs.join(vec, F.col("node") == F.col("_node")).select("query", "node", "vec")
+        return _score(met.join(queries.select(F.col("query").alias("_q"), "qvec"), F.col("query") == F.col("_q")).select("query", "node", "qvec", "vec"))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     pool = settled(scored(queries.select("query", F.col("start").alias("node"))).withColumn("open", F.lit(True)))
@@ -219,7 +250,8 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
         ahead = turn.where(now).join(edges, F.col("node") == F.col("_from")).select("query", F.explode("near").alias("node")).distinct()
         ahead = ahead.join(pool.select("query", "node"), ["query", "node"], "left_anti")
         grown = turn.select("query", "node", "score", (F.col("open") & ~now).alias("open")).union(scored(ahead).withColumn("open", F.lit(True)))
-        pool = settled(grown.withColumn("n", F.row_number().over(best)).where(F.col("n") <= width).drop("n"))
+        before, pool = pool, settled(grown.withColumn("n", F.row_number().over(best)).where(F.col("n") <= width).drop("n"))
+        dropped(before)
         left = pool.agg(F.count_if("open").alias("open"), F.count("*").alias("n")).first()
         if left["open"] <= DONE * left["n"]:
             break
@@ -228,12 +260,15 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
 
 def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of `table` that `is_query` (on column id) picks, itself left out."""
-    rows = vectors(table, id_col, vec_col)
+    rows = settled(vectors(table, id_col, vec_col))
     distinct, members = nodes(rows, k + 1)
     graph = settled(build(distinct, **options))
     asked = rows.where(is_query).groupBy("id", "vec").count().select("id", "vec")
     queries = settled(asked.join(distinct.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select(F.col("id").alias("query"), F.col("vec").alias("qvec"), F.col("node").alias("start")))
-    pool = search(queries, distinct, graph, max(WIDTH, k + 1))
-    found = pool.join(members.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m")).where("id <> query")
+    pool = search(queries, distinct, graph, max(WIDTH, k + 12))
+    # nodes that the k + 1 members of better ones leave no place for go before members are put back; ties stay
+    held = pool.join(members.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m")).select("query", "score", "ids", F.size("ids").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score"))) - F.sum("n").over(Window.partitionBy("query", "score"))
+    found = held.withColumn("better", upto).where(F.col("better") <= k).select("query", "score", F.explode("ids").alias("id")).where("id <> query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -127,7 +127,7 @@ def _recall(spark, v, k=20):
     return hits / (k * len(asked))
 
 
-@pytest.mark.parametrize("kind", ["near-equal", "large norm"])
+@pytest.mark.parametrize("kind", ["near-equal", "large norm", "log-normal norms", "log-normal norms and a large one"])
 def test_nearest_of_near_equal_and_large_vectors(spark, kind):
     rng = np.random.default_rng(3)
     if kind == "near-equal":
@@ -135,11 +135,20 @@ def test_nearest_of_near_equal_and_large_vectors(spark, kind):
     else:
         v = rng.standard_normal((2000, 8)) @ rng.standard_normal((8, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    if kind == "large norm":
-        v = np.vstack([v, 900 * v[0] + 100 * v[1]])
+    large = 900 * v[0] + 100 * v[1]
+    if "log-normal" in kind:
+        v = v * rng.lognormal(0, 1, (len(v), 1))
+    if "large" in kind:
+        v = np.vstack([v, large])
     assert _recall(spark, v) >= 0.9
 
 
+def test_nearest_needs_one_length(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        ann.nearest(table, F.col("id") % 20 == 0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
