@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.stage import settled
+from flowquarry.llm.stage import dropped, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         a, b = moves.toDF("a", "a_to"), moves.toDF("b", "b_to")
         moved = links.join(a, F.col("src") == F.col("a")).join(b, F.col("dst") == F.col("b"))
         pair = moved.select(F.least("a_to", "b_to").alias("src"), F.greatest("a_to", "b_to").alias("dst"))
-        links = settled(pair.where("src <> dst").distinct())
+        before, links = links, settled(pair.where("src <> dst").distinct())
+        dropped(before)
         turn += 1
     return found

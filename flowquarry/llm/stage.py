@@ -39,21 +39,22 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def file_place(table: DataFrame) -> Column:
-    """A long that is another one for each row of a table read straight from Parquet files (no join or explode above it).
+def file_place(table: DataFrame) -> tuple[Column, int]:
+    """A long that is another one for each row of a table read straight from Parquet files (no join or explode above it), and the files' bytes.
 
     It is a hash of the file's path plus the row's number in the file, so it is the same in every scan, however the
     files are cut into tasks then. That no two files' numbers overlap is checked on the files' row counts; another seed
     is taken if they do.
     """
     meta = table.metadataColumn("_metadata")
-    files = table.select(meta["file_path"].alias("f"), meta["row_index"].alias("i")).groupBy("f").agg(F.max("i").alias("last"))
-    width = (files.agg(F.max("last")).first()[0] or 0).bit_length()
+    files = table.select(meta["file_path"].alias("f"), meta["row_index"].alias("i"), meta["file_size"].alias("s")).groupBy("f").agg(F.max("i").alias("last"), F.max("s").alias("size"))
+    whole = files.agg(F.max("last").alias("last"), F.sum("size").alias("size")).first()
+    width = (whole["last"] or 0).bit_length()
     for seed in range(64):
         start = F.xxhash64("f", F.lit(seed))
         # files whose numbers overlap share a cell; the highest cell is left out, so that no number runs over
         cells = files.select(F.explode(F.array_distinct(F.array(F.shiftright(start, width), F.shiftright(start, width) + 1))).alias("cell"))
         worst = cells.groupBy("cell").count().agg(F.max("count").alias("n"), F.max("cell").alias("top")).first()
         if (worst["n"] or 0) <= 1 and (worst["top"] or 0) < 1 << (63 - width):
-            return F.xxhash64(meta["file_path"], F.lit(seed)) + meta["row_index"]
+            return F.xxhash64(meta["file_path"], F.lit(seed)) + meta["row_index"], whole["size"] or 0
     raise ValueError("the files' rows can't be numbered")

@@ -7,17 +7,21 @@ window elsewhere holds the same words at some place. So
 1. every rolling block-length window probes the index of reference blocks; a block whose words begin at
    two or more places is a hit;
 2. hits are extended: only windows that hold a hit block can repeat, and those are compared over all
-   their words (96 bits of two independent hashes), which yields exactly the maximal repeats;
+   their words, by 96 bits of two independent hashes, which yields the maximal repeats. Among n windows two
+   different ones are taken as equal with a chance of about n * n / 2**97: 10**-3 at 10**13 windows;
 3. words covered by a repeating window go.
 
 Scale. Probes and blocks meet in buckets of their hash, whose number follows the input's size. A task
 first drops repeats of its own, so a bucket gets at most two entries for a window from each run of
 `flush` words, however often a passage occurs. A probe travels as 4 bytes (the bucket is the rest of its
-hash); a false match there only costs a comparison in step 2. No pairs are ever formed.
-
-Rows are told apart by their place in the input, which must therefore be a table or another plan that
-gives the same rows on each run; repeated rows (equal ids, equal texts) are so many places. Null texts
-have no words. Texts under `width` words are kept whole.
+hash); a false match there only costs a comparison in step 2. No pairs are ever formed. Only buckets that hold
+something are sent, and beyond 2**`COARSE` buckets entries are dealt out twice, first by their hash's first bits,
+so a row sent never holds just a few entries and rows grow no faster than the input.
+
+Rows are told apart by the Parquet file they lie in and their number there, which no scan changes. A table read
+straight from Parquet files may be passed as `stored`; anything else is written first. Repeated rows (equal ids,
+equal texts) are so many places. Null texts have no words. Texts under `width` words are kept whole. Long texts are
+hashed block by block of about 2 MB, a longer text as one block.
 """
 
 from __future__ import annotations
@@ -30,31 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowquarry.llm.stage import file_place, settled
 from flowquarry.llm.textcore import SPACE, covered, giving_back, inside, per_text, span_hash, text_blocks, text_of, window_hash, words
 
 WIDTH = 35
 BUCKET_BYTES = 4 << 20
 FLUSH = 1_500_000
+COARSE = 14
 
 _U = np.uint64
 
 
-def _bits(docs: DataFrame, text: str, bucket_bytes: int) -> int:
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(4, int(size // bucket_bytes).bit_length())
-
-
-def _by_bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the buckets 0 .. 2**bits in sorted hashes."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def _in_place_order(h: np.ndarray, rows: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """Order by bucket, then by place: inside a bucket places then compress well, and hashes need no order there."""
-    return np.lexsort((at, rows, h >> _U(64 - bits)))
-
-
 def _by_place(chosen: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Indices of the chosen entries, in the order of their places."""
     found = np.flatnonzero(chosen)
@@ -70,10 +60,6 @@ def _rows_of(batch: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(x.as_py() or b"", np.int64)) for x in batch.column(name)] or [np.zeros(0, np.int64)])
 
 
-def _suffix(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> _U(32 - bits)).astype(np.uint32)
-
-
 def _array(batch: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py() or b"", dtype) for x in batch.column(name)] or [np.zeros(0, dtype)])
 
@@ -82,6 +68,78 @@ def _blobs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
+#: Sides of a packed row: arrays that start with a hash, and end with places (rows, at) or not; known places need no hash.
+ANCHORS = (("probes",), ("blocks", "rows", "at"))
+WINDOWS = (("h", "g", "rows", "at"), ("bare_h", "bare_g"))
+KNOWN = ("known_rows", "known_at")
+_KIND = {"g": np.uint32, "bare_g": np.uint32, "at": np.int32, "known_at": np.int32}
+
+
+def _schema(sides: tuple[tuple[str, ...], ...]) -> str:
+    return ", ".join(["bucket int", *(f"{n} binary" for side in sides for n in side), *(f"{n} binary" for n in KNOWN)])
+
+
+def _pack(sides: tuple, arrays: list[tuple], known: tuple, bits: int, suffix: bool) -> pa.RecordBatch:
+    """A row for each bucket (the first `bits` of a hash) that holds something; known places are shared out over the rows.
+
+    In a bucket, entries with places come in their order, so that differences are small. suffix: of a hash
+    only the 32 bits after the bucket's are sent.
+    """
+    where, placed = [], []
+    for side in arrays:
+        w = (side[0] >> _U(64 - bits)).astype(np.int64)
+        order = np.lexsort((side[-1], side[-2], w)) if len(side) > 2 else np.argsort(side[0], kind="stable")
+        where.append(w[order])
+        placed.append([x[order] for x in side])
+    own = np.unique(np.concatenate(where))
+    columns, names = [pa.array(own.astype(np.int32))], ["bucket"]
+    for side, w, found in zip(sides, where, placed):
+        cuts = list(zip(np.searchsorted(w, own).tolist(), np.searchsorted(w, own, "right").tolist()))
+        if suffix:
+            found[0] = (found[0] >> _U(32 - bits)).astype(np.uint32)
+        for name, x in zip(side, found):
+            pieces = [x[i:j] for i, j in cuts]
+            columns.append(_blobs(_steps(pieces) if name == "rows" else pieces))
+            names.append(name)
+    n = max(1, len(own))
+    columns += [_blobs(_steps(np.array_split(known[0], n))[: len(own)]), _blobs(np.array_split(known[1], n)[: len(own)])]
+    return pa.record_batch(columns, names=[*names, *KNOWN])
+
+
+def _unpack(batch: pa.Table, name: str, hashes: type = np.uint64) -> np.ndarray:
+    return _rows_of(batch, name) if name.endswith("rows") else _array(batch, name, _KIND.get(name, hashes))
+
+
+def _refine(sides: tuple, bits: int, suffix: bool, flush: int):
+    """Rows of coarse buckets, sorted by bucket, to rows of the 2**bits buckets."""
+
+    def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        return _pack(sides, [tuple(_unpack(rows, n) for n in side) for side in sides], tuple(_unpack(rows, n) for n in KNOWN), bits, suffix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if held and (n >= flush or held[0].column(0)[0] != row.column(0)[0]):
+                    yield emit(held)
+                    held, n = [], 0
+                held.append(row)
+                n += sum(len(row.column(side[0])[0].as_py()) for side in sides) // 8
+        if held:
+            yield emit(held)
+
+    return run
+
+
+def _dealt(rows: DataFrame, sides: tuple, bits: int, coarse: int, suffix: bool, flush: int) -> DataFrame:
+    if bits <= coarse:
+        return rows
+    sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return sorted_.mapInArrow(giving_back(_refine(sides, bits, suffix, flush)), rows.schema)
+
+
 def _repeated(sorted_keys: np.ndarray) -> np.ndarray:
     """Which of the sorted keys have an equal neighbour."""
     same = sorted_keys[1:] == sorted_keys[:-1]
@@ -91,7 +149,7 @@ def _repeated(sorted_keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(width: int, bits: int, flush: int):
+def _anchors(width: int, bits: int, coarse: int, flush: int):
     """Step 1, in tasks: probes and blocks of each bucket; blocks that repeat within the task as they are."""
     block = (width + 1) // 2
 
@@ -103,26 +161,9 @@ def _anchors(width: int, bits: int, flush: int):
         # of a repeated window two entries suffice: the first and the second of its run
         head = np.ones(len(h), bool)
         head[2:] = h[2:] != h[:-2]
-        probes, blocks, known = h[head], is_block & ~again, is_block & again
-        b, b_rows, b_at = h[blocks], rows[blocks], at[blocks]
-        cut_p, cut_b = _by_bucket(probes, bits), _by_bucket(b, bits)
-        order = _in_place_order(b, b_rows, b_at, bits)
-        b, b_rows, b_at = b[order], b_rows[order], b_at[order]
+        blocks, known = is_block & ~again, is_block & again
         known = _by_place(known, rows, at)
-        n = 1 << bits
-        split = lambda x, cut: [x[cut[i] : cut[i + 1]] for i in range(n)]
-        return pa.record_batch(
-            [
-                pa.array(range(n), pa.int32()),
-                _blobs(split(_suffix(probes, bits), cut_p)),
-                _blobs(split(_suffix(b, bits), cut_b)),
-                _blobs(_steps(split(b_rows, cut_b))),
-                _blobs(split(b_at, cut_b)),
-                _blobs(_steps(np.array_split(rows[known], n))),
-                _blobs(np.array_split(at[known], n)),
-            ],
-            names=["bucket", "probes", "blocks", "rows", "at", "known_rows", "known_at"],
-        )
+        return _pack(ANCHORS, [(h[head],), (h[blocks], rows[blocks], at[blocks])], (rows[known], at[known]), min(bits, coarse), bits <= coarse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = ([], [], [], []), 0
@@ -158,7 +199,7 @@ def _hits(group: pa.Table) -> pa.Table:
     )
 
 
-def _candidates(width: int, bits: int, flush: int):
+def _candidates(width: int, bits: int, coarse: int, flush: int):
     """Step 2, in tasks: windows that hold a hit block, with two hashes of all their words."""
     block = (width + 1) // 2
 
@@ -175,26 +216,8 @@ def _candidates(width: int, bits: int, flush: int):
         head = ~second
         head[1:] |= second[1:] & head[:-1]
         named, bare = ~again, again & head
-        cut, cut_bare = _by_bucket(h[named], bits), _by_bucket(h[bare], bits)
-        by_place = np.flatnonzero(named)
-        by_place = by_place[_in_place_order(h[named], rows[named], at[named], bits)]
         again = _by_place(again, rows, at)
-        n = 1 << bits
-        split = lambda x, cut: [x[cut[i] : cut[i + 1]] for i in range(n)]
-        return pa.record_batch(
-            [
-                pa.array(range(n), pa.int32()),
-                _blobs(split(h[by_place], cut)),
-                _blobs(split(g[by_place], cut)),
-                _blobs(_steps(split(rows[by_place], cut))),
-                _blobs(split(at[by_place], cut)),
-                _blobs(split(h[bare], cut_bare)),
-                _blobs(split(g[bare], cut_bare)),
-                _blobs(_steps(np.array_split(rows[again], n))),
-                _blobs(np.array_split(at[again], n)),
-            ],
-            names=["bucket", "h", "g", "rows", "at", "bare_h", "bare_g", "known_rows", "known_at"],
-        )
+        return _pack(WINDOWS, [(h[named], g[named], rows[named], at[named]), (h[bare], g[bare])], (rows[again], at[again]), min(bits, coarse), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = ([], [], [], []), 0
@@ -282,23 +305,27 @@ def _strip(width: int, names: list[str]):
 
 
 def substring_dedup(
-    docs: DataFrame, width: int = WIDTH, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH, keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, width: int = WIDTH, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH, keep: tuple[str, ...] = ("doc_id",), stored: bool = False, coarse: int = COARSE
 ) -> DataFrame:
-    """Per row: the `keep` columns, kept_text, n_words and n_removed. `width` must be odd and at least 3."""
+    """Per row: the `keep` columns, kept_text, n_words and n_removed. `width` must be odd and at least 3.
+
+    stored: docs is read straight from Parquet files. bucket_bytes: of those files, for each bucket.
+    """
     names = [f"_keep_{i}" for i in range(len(keep))]
-    place = F.monotonically_increasing_id().alias("_row")
-    text = docs[text_col].cast("string").alias("_text")
-    bits = _bits(docs, text_col, bucket_bytes)
-    index = docs.select(place, text).mapInArrow(
-        giving_back(_anchors(width, bits, flush)), "bucket int, probes binary, blocks binary, rows binary, at binary, known_rows binary, known_at binary"
-    )
-    hits = index.groupBy("bucket").applyInArrow(_hits, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_hits"))
+    columns = [docs[text_col].cast("string").alias("_text"), *[docs[c].alias(n) for c, n in zip(keep, names)]]
+    if not stored:
+        docs = settled(docs.select(*columns))
+        columns = [docs[c] for c in ("_text", *names)]
+    place, size = file_place(docs)
+    bits = max(4, int(size // bucket_bytes).bit_length())
     # both joins below read the same columns, so that Spark deals the texts out once
-    base = docs.select(place, text, *[docs[c].alias(n) for c, n in zip(keep, names)])
+    base = docs.select(place.alias("_row"), *columns)
+    index = base.select("_row", "_text").mapInArrow(giving_back(_anchors(width, bits, coarse, flush)), _schema(ANCHORS))
+    index = _dealt(index, ANCHORS, bits, coarse, True, flush)
+    hits = index.groupBy("bucket").applyInArrow(_hits, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_hits"))
     near = base.join(hits, base["_row"] == hits["row"]).select("_row", "_text", "_hits", *names)
-    windows = near.mapInArrow(
-        giving_back(_candidates(width, bits, flush)), "bucket int, h binary, g binary, rows binary, at binary, bare_h binary, bare_g binary, known_rows binary, known_at binary"
-    )
+    windows = near.mapInArrow(giving_back(_candidates(width, bits, coarse, flush)), _schema(WINDOWS))
+    windows = _dealt(windows, WINDOWS, bits, coarse, False, flush)
     repeats = windows.groupBy("bucket").applyInArrow(_repeats, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_repeats"))
     none = F.array().cast("array<int>")
     both = base.join(repeats, base["_row"] == repeats["row"], "left").select("_row", "_text", F.coalesce("_repeats", none).alias("_repeats"), *names)

@@ -45,10 +45,10 @@ def key(rows):
     return sorted(rows, key=lambda r: (r[0] is None, str(r)))
 
 
-@pytest.mark.parametrize("width", [3, 5, 35])
-def test_substring(edges, documents, width):
+@pytest.mark.parametrize("width, stored, coarse", [(3, False, 14), (5, True, 14), (35, True, 14), (3, True, 2), (35, False, 1)])
+def test_substring(edges, documents, width, stored, coarse):
     for docs in (edges, documents):
-        out = substring.substring_dedup(docs, width=width, bucket_bytes=1 << 14, flush=3000)
+        out = substring.substring_dedup(docs, width=width, bucket_bytes=1 << 12, flush=3000, stored=stored, coarse=coarse)
         got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()]
         assert key(got) == key(brute.substring(rows_of(docs), width))
 
@@ -58,6 +58,37 @@ def test_substring_keeps_columns_and_types(edges):
     assert out.columns[:3] == ["doc_id", "n_words", "_text"] and out.count() == edges.count()
 
 
+def test_places_survive_another_cut_of_the_scan(spark, tmp_path):
+    """Rows keep their places when the scan is cut into other tasks between a plan's making and its run."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).repartition(23).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    cut = substring.substring_dedup(docs, stored=True)
+    once = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    expected = {d: k for d, _, _, k in brute.substring(rows_of(docs))}
+    own = brute.classes({d: brute.fingerprint(t) for d, t in rows_of(docs)})
+    try:
+        for key, value in zip(keys, ("13", "1")):
+            spark.conf.set(key, value)
+        assert {r["doc_id"]: r["kept_text"] for r in cut.collect()} == expected
+        assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(own.values()))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_file_place(spark, tmp_path):
+    from flowquarry.llm.stage import file_place
+
+    spark.range(1000).withColumn("_metadata", F.lit("clash")).repartition(7).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    place, size = file_place(table)
+    assert table.select(place.alias("p")).distinct().count() == 1000 and size > 0
+
+
 def test_substring_query(spark):
     import hashlib
 
@@ -165,14 +196,15 @@ def test_simhash(edges, documents):
         assert all(len(k) == 1 for k in keepers.values())
 
 
-def test_simhash_blocks_of_a_large_group(spark):
+@pytest.mark.parametrize("block, length", [(32, 64), (1 << 14, 64), (100, 1), (7, 4096)])
+def test_simhash_blocks_of_a_large_group(spark, block, length):
     rng = random.Random(1)
     base, fps = 0x0123456789ABCDEF, set()
     for _ in range(400):
         fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    links = simhash.links(spark.createDataFrame(signed, "fp long"), block=32)
+    links = simhash.links(spark.createDataFrame(signed, "fp long"), block=block, list_length=length)
     found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     got = {f: found.get(f, f) for (f,) in signed}
     expected = brute.classes({f: f % (1 << 64) for (f,) in signed})
@@ -180,6 +212,25 @@ def test_simhash_blocks_of_a_large_group(spark):
     assert len({(got[f], expected[f]) for f in got}) == len(set(got.values()))
 
 
+def test_simhash_search_over_batches():
+    """Lists that go on over many small batches, among them ones of exactly a block."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted((0, lst, fp) for lst, n in enumerate([1, 8, 16, 3, 8, 40, 1, 1, 9]) for fp in rng.sample(range(1 << 40), n))
+    for size in (1, 3, 8, 100):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array([r[0] for r in p], pa.int32()), pa.array([r[1] for r in p], pa.int64()), pa.array([r[2] for r in p], pa.int64())], names=["set", "bytes", "fp"]) for p in parts]
+        found = {}
+        for batch in simhash._search(4, 8)(iter(batches)):
+            for r in batch.to_pylist():
+                if r["part"] >= 0:
+                    found.setdefault(r["bytes"], {})[r["part"]] = np.frombuffer(r["a"], np.int64).tolist()
+        assert {k: [x for i in range(len(v)) for x in v[i]] for k, v in found.items()} == {k: [r[2] for r in rows if r[1] == k] for k in (2, 5, 8)}
+        assert all(len(x) <= 8 for v in found.values() for x in v.values())
+
+
 def test_licenses(edges, documents):
     for docs in (edges, documents):
         out = license.license_scan(docs).collect()
