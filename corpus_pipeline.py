@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm import packing, quality, simhash, substring
 from flowquarry.llm.queries import END_ID, tokenizer_path
-from flowquarry.llm.stage import settled
+from flowquarry.llm.stage import file_place, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the row with the smallest id stays."""
-    keep = simhash.near_duplicates(docs).where("row = keeper").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, "_row", "left_semi").select(*docs.columns)
+    place, _ = file_place(docs)
+    keep = simhash.near_duplicates(docs, place=place).where("row = keeper").select(F.col("row").alias("_keep"))
+    rows = docs.select(place.alias("_place"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    return rows.join(keep, F.col("_place") == F.col("_keep"), "left_semi").select("_doc.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; every document stays, its text rewritten."""
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    out = substring.substring_dedup(docs, keep=others)
+    out = substring.substring_dedup(docs, keep=others, stored=True)
     out = out.withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnRenamed("kept_text", "text").select(*docs.columns)
 
