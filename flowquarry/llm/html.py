@@ -8,16 +8,19 @@ is a stretch. Dense stretches are those whose largest sum is at least `SHARE` of
 goes from the first dense stretch's surge to the last one's dive, and starts at the nearest h1 before it if
 there is one; every stretch between is kept, however short, and nothing in the region is dropped.
 
-The article element (main, where there is none) is a prior: its text is kept whole and the rest is dropped,
-unless the region that line blocks find outside it holds more text than all of it, as with teasers beside a
-body; then line blocks decide over the whole page.
+An article element (main, where there is none) is a prior: where its text is no less than that of the region that line
+blocks find outside it, its lines weigh `PRIOR` times as much in the sums, all of them are kept, and of the lines
+outside it those of dense stretches. Elsewhere, as with teasers beside a body, it has no weight.
 
-A null page or a page without text gives an empty text. Rows never meet.
+A page is read in one pass of its tags, in time proportional to its length, whatever is left unclosed in it. A null
+page or a page without text gives an empty text. Rows never meet: repeated rows each get their own result, and
+extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SHARE = 0.2
+PRIOR = 20
 
 #: Elements that hold no article text, inline elements, and words of class, id or role that mark other page parts.
 DROPPED = frozenset("head script style noscript template svg math iframe object canvas nav footer aside form button select textarea dialog menu audio video map".split())
@@ -39,7 +43,10 @@ OTHER_PARTS = frozenset(
 COMMENT_PARTS = frozenset("comment comments disqus replies reply".split())
 MAIN_PARTS = frozenset("article body content entry main page post story text".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+UNQUOTED = re.compile(r"[^\"'>]*")
+#: Elements whose content is no markup, and their ends.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title")}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 
 
@@ -69,43 +76,87 @@ def _is_other(name: str, attributes: str, depth: int) -> tuple[bool, bool]:
     return bool(words & OTHER_PARTS) and not words & MAIN_PARTS, comments
 
 
-def _holds_article(name: str, held: list[str], articles: int, depth: int) -> bool:
+def _holds_article(name: str, mains: int, held: int, titles: int, articles: int, depth: int) -> bool:
     """Whether an element that looks like another part wraps the article itself, or its title."""
-    if "main" in held or articles and held.count("article") == articles:
+    if mains or articles and held == articles:
         return True
-    return "h1" in held and (name == "header" and depth > 0 or name not in DROPPED and name != "header" and not articles or name == "form")
+    return titles > 0 and (name == "header" and depth > 0 or name not in DROPPED and name != "header" and not articles or name == "form")
+
+
+def _tag_end(page: str, at: int) -> int | None:
+    """The place after the > that ends a tag, which is not one between quotes; a quote that no other follows is none."""
+    while (at := UNQUOTED.match(page, at).end()) < len(page):
+        if page[at] == ">":
+            return at + 1
+        at = max(at, page.find(page[at], at + 1)) + 1
+    return None
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
     """Start, end, name, whether it closes, attributes; what scripts and styles hold is passed over."""
-    out, at = [], 0
-    while m := TAG.search(page, at):
-        at = m.end()
-        name = (m[2] or "").lower()
-        out.append((m.start(), at, name, bool(m[1]), m[3] or ""))
-        if name in ("script", "style", "textarea", "title") and not m[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if end:
+    out, at, last, quoted, open_ended = [], 0, page.rfind(">"), True, set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            out.append((start, at, "", False, ""))
+            continue
+        if start > last:  # only an unclosed comment may follow
+            at = page.find("<!--", start)
+            if at < 0:
+                break
+            continue
+        if page.startswith("<![CDATA[", start) and "<![CDATA[" not in open_ended:
+            end = page.find("]]>", start)
+            if end >= 0:
+                out.append((start, at := end + 3, "", False, ""))
+                continue
+            open_ended.add("<![CDATA[")
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            out.append((start, at, "", False, ""))
+            continue
+        m = NAME.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        stop = _tag_end(page, m.end()) if quoted else None
+        if stop is None:  # quotes do not pair up to the page's end, so they are plain characters from here on
+            quoted, stop = False, page.find(">", m.end()) + 1
+        name, at = m[2].lower(), stop
+        out.append((start, stop, name, bool(m[1]), page[m.end() : stop - 1]))
+        if name in RAW and not m[1] and name not in open_ended:
+            if end := RAW[name].search(page, at):
                 out.append((end.start(), end.end(), name, True, ""))
                 at = end.end()
+            else:
+                open_ended.add(name)
     return out
 
 
-def _partner(tags: list, i: int) -> int | None:
-    """The tag that closes element i."""
-    depth, name = 0, tags[i][2]
-    for j in range(i, len(tags)):
-        if tags[j][2] == name:
-            depth += -1 if tags[j][3] else 1
-            if not depth:
-                return j
-    return None
+def _partners(tags: list) -> list[int | None]:
+    """The tag that closes each element."""
+    opened: dict[str, list[int]] = {}
+    out: list[int | None] = [None] * len(tags)
+    for j, (_, _, name, closes, _) in enumerate(tags):
+        if not closes:
+            opened.setdefault(name, []).append(j)
+        elif opened.get(name):
+            out[opened[name].pop()] = j
+    return out
+
+
+def _upto(tags: list, name: str) -> list[int]:
+    """How many elements of this name open before each tag."""
+    return list(itertools.accumulate((t[2] == name and not t[3] for t in tags), initial=0))
 
 
 def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
     """The page's lines, which of them lie in an article element, and which in an h1."""
     tags = _tags(page)
-    articles = sum(t[2] == "article" and not t[3] for t in tags)
+    partner = _partners(tags)
+    opens = [_upto(tags, name) for name in ("main", "article", "h1")]
+    articles = opens[1][-1]
     holder = "article" if articles else "main"
     out, inside, titles, buffer, depth, title, at, i = [], [], [], [], 0, False, 0, 0
 
@@ -121,10 +172,9 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         at = stop
         if not closes and name and name not in VOID:
             other, comments = _is_other(name, attributes, depth)
-            j = _partner(tags, i) if other else None
+            j = partner[i] if other else None
             if j is not None:
-                held = [t[2] for t in tags[i + 1 : j] if not t[3]]
-                if comments or not _holds_article(name, held, articles, depth):
+                if comments or not _holds_article(name, *(n[j] - n[i + 1] for n in opens), articles, depth):
                     if name not in INLINE:
                         end_line()
                         end_line()
@@ -144,18 +194,24 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
     return out, inside, titles
 
 
-def _region(size: list[int], titles: list[bool]) -> tuple[int, int]:
-    """The lines from the first surge to the last dive of the dense stretches, with the title before them."""
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    stretches, start = [], None
+def _stretches(size: list[int]) -> list[tuple[int, int, bool]]:
+    """From each surge to its dive, and whether the stretch between is dense."""
+    total = list(itertools.accumulate(size, initial=0))
+    sums = [total[min(i + WINDOW, len(size))] - total[i] for i in range(len(size))]
+    out, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
             start = i  # surge
         elif not s and start is not None:
-            stretches.append((start, i, max(sums[start:i])))  # dive
+            out.append((start, i, max(sums[start:i])))  # dive
             start = None
-    least = SHARE * max((m for _, _, m in stretches), default=0)
-    dense = [(a, b) for a, b, m in stretches if m >= least]
+    least = SHARE * max((m for _, _, m in out), default=0)
+    return [(a, b, m >= least) for a, b, m in out]
+
+
+def _region(stretches: list[tuple[int, int, bool]], size: list[int], titles: list[bool]) -> tuple[int, int]:
+    """The lines from the first surge to the last dive of the dense stretches, with the title before them."""
+    dense = [(a, b) for a, b, d in stretches if d]
     if not dense:
         return 0, 0
     first, last = dense[0][0], dense[-1][1]
@@ -167,14 +223,18 @@ def main_text(page: str | None) -> str:
         return ""
     found, inside, titles = lines(page)
     size = [len(x) for x in found]
-    within = [n if y else 0 for n, y in zip(size, inside)]
     outside = [0 if y else n for n, y in zip(size, inside)]
-    a, b = _region(outside, titles)
-    if sum(within) and sum(outside[a:b]) <= sum(within):
-        size, a, b = within, 0, len(size)
+    a, b = _region(_stretches(outside), outside, titles)
+    within = sum(size) - sum(outside)
+    if within and sum(outside[a:b]) <= within:
+        dense = [d for d in _stretches([n * (PRIOR if y else 1) for n, y in zip(size, inside)]) if d[2]]
+        keep = inside[:]
+        for x, y, _ in dense:
+            keep[x:y] = [True] * (y - x)
     else:
-        a, b = _region(size, titles)
-    return " ".join(found[k] for k in range(a, b) if size[k])
+        a, b = _region(_stretches(size), size, titles)
+        keep = [a <= k < b for k in range(len(size))]
+    return " ".join(x for x, k in zip(found, keep) if k and x)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,10 +3,14 @@
 Method. A template is licence wording with markup: `[[words]]` may be missing, `{{n}}` stands for up to n
 words of any kind, and all else is mandatory. Templates are compiled into token automata over lower-case
 words, so case, punctuation and layout do not matter; a text is accepted where its words run through an
-automaton, so mandatory wording must match word for word. An automaton is started only in texts that hold
-its rarest mandatory word and only at words it can begin with. Base phrases are looked for beside this.
-
-A null text has no words. Every row gets a result of its own; no rows meet.
+automaton, so mandatory wording must match word for word: a licence whose conditions or disclaimer were changed is not
+accepted. The texts of short licences are whole templates; one-line notices are templates of their own. An automaton
+is started only in texts that hold its rarest mandatory word and only at words it can begin with. Base phrases are
+looked for beside this.
+
+A null or empty text has no words and no labels. Labels found more than once are named once; every match is listed.
+Every row gets a result of its own, repeated rows too; no rows meet, and extra columns are ignored. A very long text is
+one block of its own, whose words are kept only if it holds some template's rarest word.
 """
 
 from __future__ import annotations
@@ -31,14 +35,43 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = (
     ("apache-2.0", "apache", "licensed under [[the terms of]] the apache license version 2 [[0]] [[the license]]"),
     ("mit", "mit", "[[this {{3}} is]] [[released]] [[licensed]] under [[the terms of]] the mit license"),
-    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    (
+        "mit", "sublicense",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and [[noninfringement]] [[non infringement]] in no event shall {{8}} be liable for any claim damages or other liability whether in an "
+        "action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     ("gpl-3.0", "gnu", "[[this {{3}} is]] licensed under the [[terms of the]] gnu general public license version 3 [[0]] [[or later]]"),
     ("gpl-2.0", "gnu", "[[this {{3}} is]] licensed under the [[terms of the]] gnu general public license version 2 [[0]] [[or later]]"),
-    ("gpl-notice", "gnu", "{{4}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{2}} of the license or [[at your option]] any later version"),
+    (
+        "gpl-notice", "gnu",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{2}} of the "
+        "license or [[at your option]] any later version {{6}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details",
+    ),
     ("lgpl", "lesser", "licensed under the [[terms of the]] gnu lesser general public license [[version {{2}}]]"),
-    ("bsd", "redistributions", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice"),
+    (
+        "bsd", "redistributions",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[ [[3]] neither the name of {{12}} nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission ]] this software is provided by {{10}} as is and any "
+        "express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{10}} be "
+        "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+        "profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+        "of the use of this software even if advised of the possibility of such damage",
+    ),
     ("bsd", "bsd", "[[released]] [[licensed]] under [[the terms of]] the bsd [[2 clause]] [[3 clause]] license"),
-    ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "isc", "fee",
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and "
+        "fitness in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+        "action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
     ("cc-by-4.0", "cc", "licensed under [[a]] [[creative commons]] cc by 4 0"),
     ("cc-by-sa-4.0", "cc", "licensed under [[a]] [[creative commons]] cc by sa 4 0"),
     ("cc-by-nc-4.0", "cc", "licensed under [[a]] [[creative commons]] cc by nc 4 0"),

@@ -5,11 +5,14 @@ records with equal payloads the one with the largest page id is the response; th
 records that refer to it and carry no payload. Payloads smaller than `least` bytes are always responses.
 Archives are written by Spark as gzip files (a record ends with the two line ends that separate them), so
 a lost executor's files are written again. The records of an archive are sorted by URL key and timestamp.
+Archives are rolled by bytes: one holds at most `CHUNKS` chunks, and a chunk about `CHUNK_BYTES` or a single longer
+record. A page is held in memory once in a task, however long.
 
 Reading. Each archive gives its index lines in file order, a locally sorted run. The runs are dealt out by
-ranges of (URL key, timestamp, page id), so that one URL with many captures is spread over tasks, and a
-task merges its parts of all runs with a loser tree. The tasks' outputs follow each other in the global
-order, which makes every URL's captures one history.
+ranges of (URL key, timestamp, page id, archive, place), so that one URL with many captures and even equal lines are
+spread over tasks; the number of ranges follows the number of lines, so that a task holds about `RANGE_ROWS` of them.
+It merges its parts of all runs with a loser tree. The tasks' outputs follow each other in the global order, which
+makes every URL's captures one history.
 
 Nulls: a null page is an empty payload, a null URL the empty one. Records without a page id are always
 responses, and nothing refers to them. Rows with equal ids and payloads are all responses. An empty table
@@ -30,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.llm.stage import settled
+
 EOL = "\r\n"
 EPOCH = datetime.datetime(2024, 1, 1)
-RECORDS_PER_FILE = 4000
+CHUNK_BYTES, CHUNKS = 4 << 20, 64
+RANGE_ROWS = 200_000
 INDEX = "url_key string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, place long"
 
 
@@ -96,10 +102,18 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
             yield pa.record_batch([*batch.columns, *out], names=["page_id", "url", "html", "size", "digest", "key", "captured"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        chunk = lambda: pa.record_batch([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["value"])
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")))
-            made = [record(p, u or "", (x or "").encode(), d, r) for p, u, x, d, r in rows]
-            yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
+            for p, u, x, d, r in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to"))):
+                made = record(p.as_py(), u.as_py() or "", (x.as_py() or "").encode(), d.as_py(), r.as_py())
+                if held and size + len(made) > CHUNK_BYTES:
+                    yield chunk()
+                    held, size = [], 0
+                held.append(made)
+                size += len(made)
+        if held:
+            yield chunk()
 
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     rows = rows.mapInArrow(digests, "page_id long, url string, html string, size long, digest string, key string, captured string")
@@ -110,7 +124,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     joined = rows.join(best, same, "left").withColumn("refers_to", F.when(again, F.col("response")))
     runs = joined.sortWithinPartitions("key", "captured", "page_id").select("page_id", "url", "html", "digest", "refers_to")
     out = runs.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", CHUNKS).text(path)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -227,9 +241,11 @@ class LoserTree:
             self.winner = i
 
 
-def merge(runs: DataFrame) -> DataFrame:
+def merge(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The globally ordered capture index: partitions follow each other, each merged from its parts of the runs."""
     names = runs.columns
+    runs = settled(runs)  # index lines alone: ranges are drawn from them and then filled
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -248,4 +264,4 @@ def merge(runs: DataFrame) -> DataFrame:
         taken = pa.array([i for _, i in found], pa.int64())
         yield from table.take(taken).select(names).to_batches(max_chunksize=10_000)
 
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(run, runs.schema)
+    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "place").mapInArrow(run, runs.schema)

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -100,3 +101,54 @@ def phrases(text):
                 places.append(i)
                 labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+class LogRatio:
+    """The log-likelihood ratio of hashed words and pairs, with the hash written out on whole numbers.
+
+    A word's hash is a polynomial in a base over a value for each byte, plus its length times a constant, mixed; a
+    pair's is a polynomial over its words' hashes, mixed.
+    """
+
+    MASK = (1 << 64) - 1
+
+    def __init__(self, table, base, pair_base, buckets):
+        self.table, self.base, self.pair_base, self.buckets = [int(x) for x in table], base, pair_base, buckets
+
+    def mix(self, x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & self.MASK
+        return x ^ x >> 31
+
+    def grams(self, text):
+        found = []
+        for w in WORD.findall(text or ""):
+            raw = w.encode()
+            h = sum(self.table[b] * pow(self.base, i, 1 << 64) for i, b in enumerate(raw)) + len(raw) * 0x9E3779B97F4A7C15
+            found.append(self.mix(h & self.MASK))
+        pairs = [self.mix((a * self.pair_base + b) & self.MASK) for a, b in zip(found, found[1:])]
+        return [h * self.buckets >> 64 for h in found + pairs]
+
+    def fit(self, rows, good):
+        raw, target = collections.Counter(), collections.Counter()
+        for d, t in rows:
+            own = self.grams(t)
+            raw.update(own)
+            if d in good:
+                target.update(own)
+        share = lambda c, k: math.log((c[k] + 1) / (sum(c.values()) + self.buckets))
+        self.weight = {k: share(target, k) - share(raw, k) for k in raw} if target else dict.fromkeys(raw, 0.0)
+
+    def score(self, text):
+        own = self.grams(text)
+        return sum(self.weight[k] for k in own) / max(1, len(own))
+
+
+def cheapest_thresholds(good, bad, weight, step):
+    """Of the multiples of `step` from -4, those that cost least; rejecting a good score costs `weight` times as much as keeping a bad one."""
+    cost = {}
+    for k in range(int(8 / step) + 1):
+        t = -4 + k * step
+        cost[t] = weight * sum(g < t for g in good) / len(good) + sum(b >= t for b in bad) / len(bad)
+    least = min(cost.values())
+    return [t for t, c in cost.items() if c <= least + 1e-9]

@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,44 @@ def test_main_text_by_line_blocks(page, text):
     assert html.main_text(page) == text
 
 
+def test_main_text_outside_the_article():
+    """Window sums decide what stays beside an article, and that a page without one loses its thin ends."""
+    body = "<article><p>" + "words of it " * 40 + "</p><p>End.</p></article>"
+    gap = "<div></div><div></div>"
+    text = ("words of it " * 40).strip() + " End."
+    assert html.main_text(f"<div>thin line</div>{gap}{body}{gap}<div>thin line too</div>") == text
+    plain = body.replace("article", "div")
+    assert html.main_text(f"<div>thin line</div>{gap}{plain}{gap}<div>thin line too</div>") == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div class='ad'>", "<a \"", "<a '>\" ", "<script>", "<![CDATA[", "<!--", "</", "<form><main>", "<div class=menu><h1>", "<!", "& ", "\n\n<p>", "<title>", "<a b='", "<x"])
+def test_main_text_of_long_broken_pages(piece):
+    start = time.process_time()
+    html.main_text("<p>before</p>" + piece * (2_000_000 // len(piece)) + "<p>after</p>")
+    html.main_text("<p>before</p>" + piece * (2_000_000 // len(piece)))
+    assert time.process_time() - start < 60
+
+
+def test_main_text_of_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(empty).isEmpty()
+    rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]))
+
+
+def test_warc_rolls_archives_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(warc, "CHUNKS", 3)
+    pages = [(i, f"http://h{i % 3}/p{i}", "x" * (5000 if i % 10 == 0 else i)) for i in range(90)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write(frame, str(tmp_path / "w"))
+    runs = warc.read_runs(spark, str(tmp_path / "w"))
+    assert runs.groupBy("archive").count().count() > 10
+    rows = warc.merge(runs, range_rows=10).collect()
+    assert [(r["url_key"], r["captured"], r["page_id"]) for r in rows] == sorted((r["url_key"], r["captured"], r["page_id"]) for r in rows) and len(rows) == 90
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://h{i % 3}.example.com/p{i % 5}?q={i}", f"<p>é {i % 7}</p>") for i in range(200)]
     pages += [(500, None, None), (501, "x y\nz", ""), (None, "http://a", "<p>é 1</p>"), (-3, "HTTP://www.B.org:8080/A", "WARC/1.1\r\n\r\n\r\nContent-Length: 9"), (7, "http://again", "<p>é 0</p>"), (7, "http://again", "<p>é 0</p>")]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def test_sentencepiece(edges, documents):
         assert key(got) == key(expected)
 
 
-def test_sentencepiece_without_word_table(edges, monkeypatch):
+def test_sentencepiece_digests(edges):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     assert spiece.splits_at_markers(path)
     digests = spiece.encode_decode_digests(edges, path)
@@ -184,6 +185,32 @@ def test_quality_verdict_on_held_out_labels(spark):
     assert share[1] >= 0.97 and share[0] <= 0.1
 
 
+@pytest.mark.parametrize("sent_ids", [1_000_000, 3])
+def test_quality_score_and_verdict(spark, documents, sent_ids):
+    from flowquarry.llm import textcore
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = rows_of(documents)
+    out = {r["doc_id"]: r for r in quality.quality_rules(documents, labels, sent_ids=sent_ids).collect()}
+    plain = brute.LogRatio(*textcore._family(0), textcore._family(100)[1], quality.BUCKETS)
+    plain.fit(rows, {d for d, q in quality_of.items() if q == 1})
+    scores = {d: plain.score(t) for d, t in rows}
+    assert all(abs(out[d]["score"] - x) < 1e-9 for d, x in scores.items())
+    threshold = out[rows[0][0]]["threshold"]
+    worded = {d for d, t in rows if brute.WORD.search(t or "")}
+    step = 8 / quality.BINS
+    own = [[scores[d] for d, q in quality_of.items() if q == k and d in worded] for k in (1, 0)]
+    best = brute.cheapest_thresholds(*own, quality.GOOD_WEIGHT, step)
+    assert best[0] - step / 2 - 1e-9 <= threshold <= best[-1] + step / 2 + 1e-9
+    assert all(out[d]["kept"] == (not brute.base_rules(t)[-1] and out[d]["score"] >= threshold) for d, t in rows)
+
+
+def test_quality_buckets_follow_the_corpus(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1 << 20).alias("text"))
+    assert quality.bucket_count(docs) == quality.BUCKETS * 2 and quality.bucket_count(docs.limit(1)) == quality.BUCKETS
+
+
 def test_simhash(edges, documents):
     for docs in (edges, documents):
         own = rows_of(docs)
@@ -247,6 +274,22 @@ def test_license_templates(spark):
         5: ("Copyright (c) 2020 Some One. All rights reserved.", "reserved,rights-notice"),
         6: ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
     }
+    whole = {}
+    for label, word, markup in license.TEMPLATES:
+        if len(markup) > 400:  # a licence's text, its optional regions left out or in, free ones filled
+            for n in (0, 1):
+                own, depth = [], 0
+                for token in re.findall(r"\[\[|\]\]|[^\s\[\]]+", markup):
+                    depth += (token == "[[") - (token == "]]")
+                    if token not in ("[[", "]]") and (n or not depth):
+                        own += ["some", "one"] if token[0] == "{" else [token]
+                text = " ".join(own)
+                whole[f"{label}{n}"] = (text.upper(), label)
+                whole[f"{label}{n} late"] = (" ".join([*own[:-3], "not", *own[-2:]]), "")
+                whole[f"{label}{n} cut"] = (" ".join(own[:-1]), "")
+    assert len(whole) == 24
+    texts |= {100 + i: x for i, x in enumerate(whole.values())}
+    texts = {i: (t, x if "general public license" not in t.lower() else ",".join(sorted({x, "gpl"} - {""}))) for i, (t, x) in texts.items()}
     docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in license.license_scan(docs).collect()} == {i: x for i, (_, x) in texts.items()}
     for markup in ("[[a b", "[[all optional]]"):
