@@ -10,7 +10,8 @@ number of documents. Every piece then finds its window by its rank among the pie
 Ranks are counted per (length, salt), where the salt is a hash, and the salts' counts are added up
 before; a length that most documents share is thus spread over many tasks.
 
-Nulls count as empty texts (a document is then its end id alone). Repeated rows are packed each by itself.
+Nulls count as empty texts (a document is then its end id alone). Repeated rows are packed each by itself. A
+tokenizer file whose words are not separate by its own description is run over whole texts.
 """
 
 from __future__ import annotations
@@ -26,15 +27,28 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.stage import settled
 from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, giving_back, text_blocks, words
-from flowquarry.llm.tokencount import load
+from flowquarry.llm.tokencount import load, parts, plain_special
 
 SALTS = 256
 WINDOW_TOKENS = 4096
 
 
+#: The normaliser and the first pre-tokeniser of word-end vocabularies of this family.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 @functools.lru_cache(4)
 def words_are_separate(path: str) -> bool:
-    """Whether white space, and punctuation after a letter, only separate words: shown on many kinds of words."""
+    """Whether white space, and punctuation after a letter, only separate words.
+
+    The file's normaliser and pre-tokeniser have to be the known ones: composing, folding white space and case go
+    character by character and no composition crosses white space or a letter's end before `_CUT`; letters, digits
+    and other characters are pre-tokens of their own. Probes on many kinds of words are held against the library.
+    """
+    found = parts(path)
+    if not plain_special(found) or found["normalizer"] != NORMALIZER or (found["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] != SPLIT:
+        return False
     t = load(path)
     probes = ["Ab1", "'s", "é", "́x", "##", "中文", "İ", "ΑΣ", "1", "…", "x's"]
     alone = {p: t.encode(p, add_special_tokens=False).ids for p in probes}

@@ -7,7 +7,8 @@ back by position. A vocabulary that fails the proof, or whose normaliser is not
 dummy prefix, is encoded text by text instead.
 
 Nulls count as empty texts; an empty text encodes to the end id alone. Repeated rows each get their own
-result and extra columns of the input are ignored.
+result and extra columns of the input are ignored. A very long text is a block of its own; the word table is emptied
+beyond a bound, so memory does not follow the vocabulary of a corpus.
 """
 
 from __future__ import annotations
@@ -69,9 +70,13 @@ def encode_decode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", t
     return _run(docs, model, id_col, text_col, True)
 
 
-def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+def _names(id_col: str, digests: bool) -> list[str]:
+    return [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+
+
+def _task(model: str, id_col: str, digests: bool):
     finish = (lambda b: hashlib.sha256(b).hexdigest()) if digests else (lambda b: b.decode("utf-8", "replace"))
-    names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+    names = _names(id_col, digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
@@ -101,8 +106,13 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool)
                         decoded.append(finish(sp.decode(found).encode()))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
 
+    return run
+
+
+def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    return rows.mapInArrow(giving_back(run), f"`{id_col}` long, n_tokens long, `{names[2]}` string, `{names[3]}` string")
+    _, _, ids, decoded = _names(id_col, digests)
+    return rows.mapInArrow(giving_back(_task(model, id_col, digests)), f"`{id_col}` long, n_tokens long, `{ids}` string, `{decoded}` string")
 
 
 def _with_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,9 @@
 Method. A byte-level BPE splits a text into pre-tokens and merges each by itself. Vocabulary strings
 that the library encodes alone as one token are proved once from the vocabulary file (`whole_tokens`);
 a pre-token that is such a string counts one, and only the rest is merged by the library. Texts are cut
-before white-space runs, where no pre-token can cross, and each distinct piece is counted once per task.
+before white-space runs, where no pre-token can cross, and each distinct piece is counted once per task. That the
+file's own normaliser and pre-tokeniser are those that this rests on is read from the file (`splits_as_assumed`);
+any other vocabulary is counted text by text by the library.
 
 Nulls count as empty texts. Rows are never joined or grouped: repeated rows each get their own result,
 and extra columns of the input are ignored.
@@ -12,7 +14,9 @@ and extra columns of the input are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,29 @@ def load(path: str):
     return tokenizer
 
 
+def parts(path: str) -> dict:
+    """The tokenizer file's own description, without vocabulary and merges."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    return found | {"model": {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")}}
+
+
+def plain_special(found: dict) -> bool:
+    """Whether special strings are found as they stand, hold no white space and take none from around them."""
+    return not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in found["added_tokens"])
+
+
+@functools.lru_cache(4)
+def splits_as_assumed(path: str) -> bool:
+    """Whether the file splits texts by PRETOKEN and changes nothing before that."""
+    found = parts(path)
+    split = dict(found["pre_tokenizer"] or {})
+    return (
+        found["normalizer"] is None and plain_special(found) and found["model"].get("type") == "BPE" and not found["model"].get("dropout")
+        and split.pop("type", None) == "ByteLevel" and split.pop("add_prefix_space", True) is False and split.pop("use_regex", True) is True
+    )
+
+
 @functools.lru_cache(4)
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that are one pre-token and that the library encodes alone as exactly one token."""
@@ -86,10 +113,20 @@ class TokenCounter:
         return counts
 
 
+def _by_text(batches: Iterator[pa.RecordBatch], library, id_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        counts = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        yield pa.record_batch([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not splits_as_assumed(tokenizer):
+            yield from _by_text(batches, load(tokenizer), id_col)
+            return
         counter, table = TokenCounter(tokenizer), CountTable()
         for batch in batches:
             sizes, tokens = [], []

@@ -107,6 +107,41 @@ def test_token_counts(edges, documents):
         assert key(got) == key(expected)
 
 
+def test_other_vocabulary_files(spark, edges, tmp_path):
+    """Files whose description differs are run over whole texts, and give the library's results all the same."""
+    import json
+
+    for name, change in (("byte_bpe_50k.json", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("word_bpe_49k.json", {"normalizer": {"type": "NFC"}})):
+        path = queries.tokenizer_path(name)
+        assert tokencount.splits_as_assumed(path) == name.startswith("byte") and packing.words_are_separate(path) == name.startswith("word")
+        other = str(tmp_path / name)
+        with open(path) as f, open(other, "w") as g:
+            json.dump(json.load(f) | change, g)
+        assert not tokencount.splits_as_assumed(other) and not packing.words_are_separate(other)
+        library = tokencount.load(other)
+        counts = key([(d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows_of(edges)])
+        assert key([(r["doc_id"], r["n_tokens"]) for r in tokencount.token_counts(edges, other).collect()]) == counts
+        got = packing.pieces(edges, other, 2).groupBy("doc_id").agg(F.sum("length").alias("n"))
+        expected = {}
+        for d, n in counts:
+            expected[d] = expected.get(d, 0) + n + 1
+        assert {r["doc_id"]: r["n"] for r in got.collect()} == expected
+
+
+def test_sentencepiece_text_by_text(spark, documents, edges, monkeypatch):
+    """The way without the word table, as run in a task: in this process, so that the proof can be made to fail."""
+    import pyarrow as pa
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    monkeypatch.setattr(spiece, "splits_at_markers", lambda model: False)
+    library, rows = spiece.load(path), rows_of(edges)
+    run = spiece._task(path, "doc_id", False)
+    out = [r for b in run(iter([pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])])) for r in b.to_pylist()]
+    for (d, t), r in zip(rows, out, strict=True):
+        ids = library.encode(t or "", add_eos=True)
+        assert (r["doc_id"], r["n_tokens"], r["ids"], r["decoded"]) == (d, len(ids), " ".join(map(str, ids)), library.decode(ids))
+
+
 def test_sentencepiece(edges, documents):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     library = spiece.load(path)
