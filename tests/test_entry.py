@@ -8,7 +8,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith('flowquarry.llm') or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert len(e.queries()) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()) and 'pipeline' not in e.queries()
