@@ -89,9 +89,9 @@ def alert_description(label: Column | str, confidence: Column | str) -> Column:
 
 
 def identity(*columns: Column | str) -> Column:
-    """SHA-256 over a canonical string of the columns; nulls differ from every value."""
-    parts = [F.coalesce(_col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 over the columns' values as one JSON object: no two rows of different values read alike, and nulls differ from every text."""
+    fields = [_col(c).cast("string").alias(c if isinstance(c, str) else f"_{i}") for i, c in enumerate(columns)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 def time_text(c: Column | str) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,10 @@ from flowquarry.schema import CLASSES
 
 SEED, TREES, CANDIDATES = 42, 100, 20
 
-#: The search space.
+#: The search space. Trees deeper than 30 and a least number of rows to split are not offered by Spark's forest.
 SPACE = {
-    "numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
-    "featureSubsetStrategy": ["sqrt", "log2"], "impurity": ["gini"], "bootstrap": [True, False],
+    "numTrees": [100, 200, 300, 500], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
+    "featureSubsetStrategy": ["sqrt", "log2", "all"], "bootstrap": [True, False], "balanced": [True, False],
 }
 
 
@@ -63,13 +65,16 @@ class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParam
         return MedianImputerModel(names, [found[c][0] or 0.0 for c in names])
 
 
-class MedianImputerModel(Model):
-    def __init__(self, names: list[str], values: list[float]):
+class MedianImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    values = Param(Params._dummy(), "values", "the value that stands for what is missing, per input column", TypeConverters.toListFloat)
+
+    def __init__(self, names: list[str] | None = None, values: list[float] | None = None):
         super().__init__()
-        self.names, self.values = names, values
+        if names is not None:
+            self._set(inputCols=names, values=values)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        new = {c: F.coalesce(finite(q(c).cast("double")), F.lit(m)) for c, m in zip(self.names, self.values)}
+        new = {c: F.coalesce(finite(q(c).cast("double")), F.lit(m)) for c, m in zip(self.getInputCols(), self.getOrDefault(self.values))}
         return dataset.select(*[new[c].alias(c) if c in new else q(c) for c in dataset.columns])
 
 
@@ -78,16 +83,23 @@ class BalancedWeights(Estimator):
 
     def _fit(self, dataset: DataFrame) -> BalancedWeightsModel:
         rows = class_weights(dataset.withColumn("_i", q("label_index").cast("string")), "_i").collect()  # one row per class
-        return BalancedWeightsModel({float(r["label"]): r["weight"] for r in rows})
+        return BalancedWeightsModel([float(r["label"]) for r in rows], [r["weight"] for r in rows])
+
 
+class BalancedWeightsModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    classes = Param(Params._dummy(), "classes", "class indices", TypeConverters.toListFloat)
+    weights = Param(Params._dummy(), "weights", "the weight of each class", TypeConverters.toListFloat)
 
-class BalancedWeightsModel(Model):
-    def __init__(self, weights: dict[float, float]):
+    def __init__(self, classes: list[float] | None = None, weights: list[float] | None = None):
         super().__init__()
-        self.weights = weights
+        if classes is not None:
+            self._set(classes=classes, weights=weights)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        table = F.create_map(*[F.lit(x) for pair in self.weights.items() for x in pair])
+        """Rows without a class, as in scoring, weigh 1."""
+        if "label_index" not in dataset.columns:
+            return dataset.withColumn("weight", F.lit(1.0))
+        table = F.create_map(*[F.lit(x) for pair in zip(self.getOrDefault(self.classes), self.getOrDefault(self.weights)) for x in pair])
         return dataset.withColumn("weight", F.coalesce(F.element_at(table, q("label_index").cast("double")), F.lit(1.0)))
 
 
@@ -112,22 +124,26 @@ def with_index(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("label_index", label_index(q(label)).cast("double")).where("label_index is not null")
 
 
-def forest(**params) -> RandomForestClassifier:
+def forest(balanced: bool = True, **params) -> RandomForestClassifier:
     given = {"numTrees": TREES, "maxDepth": 10, "featureSubsetStrategy": "sqrt"} | params
-    return RandomForestClassifier(labelCol="label_index", featuresCol="features", weightCol="weight", seed=SEED, **given)
+    weight = {"weightCol": "weight"} if balanced else {}
+    return RandomForestClassifier(labelCol="label_index", featuresCol="features", seed=SEED, **weight, **given)
+
+
+def preparation(features: list[str]) -> list:
+    """The stages before the forest: impute, weigh, assemble; all fitted on the training rows alone."""
+    return [MedianImputer(features), BalancedWeights(), VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in features], outputCol="features")]
 
 
 def fit(train: DataFrame, features: list[str], **params) -> PipelineModel:
-    """Impute, weigh and fit on the training rows alone. Rows are put into a fixed order first, as trees depend on it."""
-    stages = [MedianImputer(features), BalancedWeights(), VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in features], outputCol="features"), forest(**params)]
-    return Pipeline(stages=stages).fit(train)
+    """A pipeline that can be saved whole. Trees depend on the order of rows: give rows that are stored in one, or sort them."""
+    return Pipeline(stages=[*preparation(features), forest(**params)]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, version: str) -> DataFrame:
     """Inputs with predicted_label, confidence, probabilities and model_version; one job, no row loop."""
-    ready = df if "label_index" in df.columns else df.withColumn("label_index", F.lit(0.0))
     names = F.array(*[F.lit(c) for c in CLASSES])
-    out = model.transform(ready)
+    out = model.transform(df)
     p = probability_map("probability", CLASSES)
     label = F.get(names, q("prediction").cast("int"))
     return out.select(*[q(c) for c in df.columns], label.alias("predicted_label"), F.element_at(p, label).alias("confidence"), p.alias("probabilities"), F.lit(version).alias("model_version"))
@@ -140,15 +156,28 @@ def candidates(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     return grid[:n]
 
 
-def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES) -> DataFrame:
-    """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column."""
-    spark, scorer, rows = train.sparkSession, MacroF1(), []
+def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES, parallel: int = 4) -> DataFrame:
+    """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column.
+
+    A fold is imputed, weighed and assembled once and kept; `parallel` forests grow at a time on the same executors.
+    """
+    spark, scorer = train.sparkSession, MacroF1()
+    chosen = list(enumerate(candidates(space or SPACE, n)))
     folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]
-    for i, params in enumerate(candidates(space or SPACE, n)):
-        for fold in folds:
-            own, other = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
-            model = fit(own, features, **params)
-            rows.append((i, str(params), int(fold), scorer.evaluate(model.transform(own)), scorer.evaluate(model.transform(other))))
+    rows = []
+    for fold in folds:
+        ready = Pipeline(stages=preparation(features)).fit(train.where(F.col("fold") != fold))
+        sides = [ready.transform(train.where(test)).select("label_index", "weight", "features").persist() for test in (F.col("fold") != fold, F.col("fold") == fold)]
+
+        def judged(candidate: tuple[int, dict], sides=sides, fold=fold) -> tuple:
+            i, params = candidate
+            model = forest(**params).fit(sides[0])
+            return (i, str(params), int(fold), *(scorer.evaluate(model.transform(side)) for side in sides))
+
+        with ThreadPool(parallel) as pool:
+            rows += pool.map(judged, chosen, chunksize=1)
+        for side in sides:
+            side.unpersist()
     return spark.createDataFrame(rows, "candidate long, params string, fold int, train_f1 double, test_f1 double")
 
 

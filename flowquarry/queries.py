@@ -95,19 +95,27 @@ def fn_parse_ts(s, d):
     return V.stored_flows(s, d).select("flow_id", C.time_text(C.parse_timestamp(text)).alias("at"))
 
 
-@query(
-    "select flow_id, sha256(concat_ws('|', source_file, source_ip, destination_ip, source_port::varchar, destination_port::varchar, protocol,"
-    " strftime(capture_time, '%Y-%m-%d %H:%M:%S'), coalesce((flow_id % 7)::varchar, '\\N'))) as fingerprint from stored"
-)
+def _identity_sql(**fields: str) -> str:
+    return "sha256(to_json(struct_pack(" + ", ".join(f"{k} := ({v})::varchar" for k, v in fields.items()) + "))::varchar)"
+
+
+LIVE_SQL = _identity_sql(
+    capture_session_id="source_file", source_ip="source_ip", destination_ip="destination_ip", source_port="source_port", destination_port="destination_port", protocol="protocol",
+    capture_time="strftime(capture_time, '%Y-%m-%d %H:%M:%S')", flow_duration="flow_id % 7",
+)
+RUN_SQL = _identity_sql(
+    capture_time="strftime(capture_time, '%Y-%m-%d %H:%M:%S')", destination_ip="destination_ip", destination_port="destination_port", protocol="protocol", source_ip="source_ip",
+    source_port="source_port", flow_duration="flow_id % 7", total_fwd_packets="null", total_backward_packets="flow_id % 3",
+)
+
+
+@query(f"select flow_id, {LIVE_SQL} as fingerprint from stored")
 def live_fingerprint(s, d):
     f = V.stored_flows(s, d).withColumnRenamed("source_file", "capture_session_id").withColumns({"capture_time": C.time_text("capture_time"), "flow_duration": F.col("flow_id") % 7})
     return f.select("flow_id", adapt.live_fingerprint().alias("fingerprint"))
 
 
-@query(
-    "select flow_id, case when flow_id % 5 = 0 then concat('own-', flow_id::varchar) else sha256(concat_ws('|', strftime(capture_time, '%Y-%m-%d %H:%M:%S'), destination_ip,"
-    " destination_port::varchar, protocol, source_ip, source_port::varchar, (flow_id % 7)::varchar, '\\N', (flow_id % 3)::varchar)) end as fingerprint from stored"
-)
+@query(f"select flow_id, case when flow_id % 5 = 0 then concat('own-', flow_id::varchar) else {RUN_SQL} end as fingerprint from stored")
 def flow_fingerprint(s, d):
     i = F.col("flow_id")
     f = V.stored_flows(s, d).withColumns(
@@ -462,7 +470,7 @@ def descriptive_statistics(s, d):
     return out.select("column_name", "n", *r6("mean", "std"), "min", *r6("p25", "p50", "p75"), "max")
 
 
-@query("select 'constant_value' as column_name from events limit 1")
+@query(f"select column_name from ({_union_all([f'select {chr(39)}{c}{chr(39)} as column_name, count(distinct {c}) as n from flows' for c in MISSING_COLS])}) where n <= 1")
 def constant_columns(s, d):
     return profile.constant_columns(V.flows(s, d))
 
@@ -512,7 +520,7 @@ def imbalance_check(s, d):
     return profile.imbalance(V.flows(s, d), "raw_label")
 
 
-@query("select * from (values (0::bigint, 'flow_id', 'flow or record identifier'), (3, 'source_ip', 'source identity metadata'), (4, 'destination_ip', 'destination identity metadata')) t(position, column_name, reason) where exists (select 1 from events)", views=False)
+@query("select * from (values (0::bigint, 'flow_id', 'names the row'), (3, 'source_ip', 'names the sender'), (4, 'destination_ip', 'names the receiver')) t(position, column_name, reason) where exists (select 1 from events)", views=False)
 def leakage_found(s, d):
     return profile.leakage_columns(V.flows(s, d), LEAKAGE)
 
@@ -548,7 +556,7 @@ def class_source_files(s, d):
     return audit.class_source_files(_confined(s, d), "raw_label")
 
 
-@query("select 'PortScan' as label, 'capture-9' as files from labelled where label = 'PortScan' limit 1")
+@query(f"select label, min({CONFINED}) as files from labelled where label is not null group by 1 having count(distinct {CONFINED}) = 1")
 def single_capture_classes(s, d):
     return audit.class_source_files(_confined(s, d), "raw_label").where("single_capture").select("label", "files")
 
@@ -655,39 +663,26 @@ def best_cv_candidate(s, d):
     return e.orderBy(F.desc("macro_f1"), "name").limit(1).select("name", "macro_f1")
 
 
-SPLIT_METRICS = _union_all([f"select '{side}' as side, round(avg((label = predicted_label)::int), 6) as accuracy from scored where flow_id % 5 {op} 0" for side, op in (("random", "="), ("blocks", "<>"))])
-
-
-@query(f"select 'accuracy' as metric, a.accuracy as a, b.accuracy as b, round(b.accuracy - a.accuracy, 6) as delta from ({SPLIT_METRICS}) a, ({SPLIT_METRICS}) b where a.side = 'random' and b.side = 'blocks'")
-def experiment_delta(s, d):
-    p = V.scored(s, d)
-    return metrics.delta(metrics.overall(p.where("flow_id % 5 = 0")), metrics.overall(p.where("flow_id % 5 <> 0")), ["accuracy"])
-
-
-@query("select label, round((select count(*) from scored)::double / (3 * count(*)), 6) as weight from scored group by 1")
-def class_weights(s, d):
-    from flowquarry.plans.ml import class_weights as weights
-
-    return weights(V.scored(s, d), "label").select("label", *r6("weight"))
-
-
-TRAIN = "flow_id % 5 <> 0"
-MEDIAN_SQL = f"(select quantile_cont({FIN}, 0.5) from flows where {TRAIN})"
-
-
-@query(f"select 'flow_duration' as column_name, round({MEDIAN_SQL}, 6) as median union all select 'packets', round(quantile_cont(packets, 0.5), 6) from flows where {TRAIN}")
-def train_medians(s, d):
-    from flowquarry.plans.ml import medians
+def _side_sql(test: str) -> str:
+    """The five metrics of the predictions for which `test` holds, on one row."""
+    classes = ", ".join(f"('{c}')" for c in CLASSES)
+    return (
+        f"(with p as (select * from scored where {test}), per as (select c.label, (select count(*) from p where label = c.label and predicted_label = c.label)::double as tp,"
+        f" (select count(*) from p where label = c.label)::double as n, (select count(*) from p where predicted_label = c.label)::double as said from (values {classes}) c(label)),"
+        " f as (select label, n, case when said > 0 then tp / said else 0 end as pr, case when n > 0 then tp / n else 0 end as rc from per),"
+        " g as (select *, case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end as f1 from f)"
+        " select round((select avg((label = predicted_label)::int) from p), 6) as accuracy, round(avg(pr), 6) as macro_precision, round(avg(rc), 6) as macro_recall, round(avg(f1), 6) as macro_f1,"
+        " round(sum(f1 * n) / sum(n), 6) as weighted_f1 from g)"
+    )
 
-    return medians(V.flows(s, d).where(TRAIN), ["flow_duration", "packets"]).select("column_name", *r6("median"))
 
+EXPERIMENT_METRICS = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1"]
 
-@query(f"select seq, round(coalesce({FIN}, {MEDIAN_SQL}), 6) as flow_duration from flows")
-def imputed_rows(s, d):
-    from flowquarry.plans.ml import impute
 
-    f = V.flows(s, d)
-    return impute(f.select("seq", "flow_id", "flow_duration"), f.where(TRAIN), ["flow_duration"]).select("seq", *r6("flow_duration"))
+@query(f"select metric, a, b, round(b - a, 6) as delta from (unpivot {_side_sql('flow_id % 5 = 0')} on {', '.join(EXPERIMENT_METRICS)} into name metric value a) x join (unpivot {_side_sql('flow_id % 5 <> 0')} on {', '.join(EXPERIMENT_METRICS)} into name metric value b) y using (metric)")
+def experiment_delta(s, d):
+    p = V.scored(s, d)
+    return metrics.delta(metrics.overall(p.where("flow_id % 5 = 0")), metrics.overall(p.where("flow_id % 5 <> 0")), EXPERIMENT_METRICS)
 
 
 # -- preparation, splits
@@ -775,7 +770,7 @@ def split_overlap(s, d):
     return splits.overlap(_blocks(s, d), "scenario_group")
 
 
-@query("select 'PortScan' as label where not exists (select 1 from labelled where label = 'PortScan' and flow_id % 2 = 9)")
+@query(f"select label from {CLASS_DIM} where label not in (select label from labelled where label is not null and label <> 'PortScan')")
 def missing_classes(s, d):
     return splits.missing_classes(single(s, d).where("label <> 'PortScan'"), "label", CLASSES)
 

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import re
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.functions.columns import normalize_name, normalize_python
+from flowquarry.functions.columns import finite, normalize_name, normalize_python
+
+
+def files_of(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
+    """(position of the path, file) of all files under the paths, in the paths' order and then by name; nothing is read."""
+    return [(i, f) for i, p in enumerate(paths) for f in sorted(spark.read.text(p).inputFiles())]
 
 
 def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, pos, name) of the first line of each file; a byte order mark is dropped and a repeated name gets '.1', '.2', ..."""
-    lines = spark.read.option("wholetext", False).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.where("start = 0").withColumn("i", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "i").alias("value"))
-    names = first.select("file", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), ",")).alias("pos", "name"))
-    return names.select(F.element_at(F.split("file", "/"), -1).alias("file"), "pos", "name")
+    """(file, pos, name) of the first line of each file, by its full path; a byte order mark is dropped and quoted names are read as such.
+
+    Only the first partition of a file is opened, up to its first line; the driver holds one line a file.
+    """
+
+    def first_line(file: str) -> tuple[str, list[str]]:
+        line = spark.read.text(unquote(file)).limit(1).collect()  # Spark names files as URLs
+        return file, next(csv.reader([line[0][0].removeprefix("\ufeff")]), []) if line else []
+
+    with ThreadPool(8) as pool:
+        found = pool.map(first_line, [f for _, f in files_of(spark, paths)])
+    rows = [(f, i, n) for f, names in found for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "file string, pos int, name string")
 
 
 def header_check(named: DataFrame) -> DataFrame:
@@ -35,11 +52,19 @@ def _mangled(names: list[str]) -> list[str]:
     return out
 
 
-def scan_csv(spark: SparkSession, paths: list[str], numeric: bool = True) -> DataFrame:
-    """Flow CSVs as one table with source_file and the row order (file position, block, row).
+def text_columns(raw: DataFrame, names: list[str]) -> set[str]:
+    """Columns that hold a text which is neither blank nor a number, anywhere in the files."""
+    odd = lambda c: F.coalesce((F.trim(c) != "") & F.trim(c).try_cast("double").isNull(), F.lit(False))
+    row = raw.agg(*[F.max(odd(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
+    return {c for i, c in enumerate(names) if row[i]}
+
+
+def scan_csv(spark: SparkSession, paths: list[str], numeric: bool = True, text: set[str] | None = None) -> DataFrame:
+    """Flow CSVs as one table with source_file and the row order (file_pos, file_path, block_start, row_seq).
 
-    Headers are compared after normalisation and must agree, in order. The schema is explicit: with
-    `numeric` all columns that are not text in the first file's sample stay text-free doubles.
+    Headers are compared after normalisation and must agree, in order. With `numeric`, columns of numbers become
+    doubles and all others stay text; which these are is found in a pass over all files, unless `text` names them.
+    row_seq orders the rows of a block within one run; `ingest` writes the order once for later runs.
     """
     if not paths:
         raise ValueError("at least one file is needed")
@@ -52,24 +77,30 @@ def scan_csv(spark: SparkSession, paths: list[str], numeric: bool = True) -> Dat
     if len(set(columns)) < len(columns):
         raise ValueError("columns collide after normalisation")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    order = None
-    for i, p in enumerate(paths):
-        own = F.contains(F.col("_file"), F.lit("/" + p.rstrip("/").rsplit("/", 1)[-1]))
-        order = F.when(own, i) if order is None else order.when(own, i)
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    meta = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_seq"))
-    out = meta.withColumn("file_pos", order).drop("_file")
-    if not numeric:
-        return out
-    text = {c for c in columns if c in ("label", "source_ip", "destination_ip", "flow_id", "timestamp", "protocol")}
-    return out.select(*[F.col(f"`{c}`") if c in text else F.col(f"`{c}`").try_cast("double").alias(c) for c in columns], "source_file", "file_pos", "block_start", "row_seq")
+    if numeric and text is None:
+        text = text_columns(raw, columns)
+    meta = raw.metadataColumn("_metadata")
+    typed = [F.col(f"`{c}`") if not numeric or c in text else F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) for c in columns]
+    out = raw.select(*typed, meta["file_name"].alias("source_file"), meta["file_path"].alias("file_path"), meta["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("row_seq"))
+    # the two ways of naming a local file differ in the slashes after its scheme
+    order = spark.createDataFrame([(re.sub("^file:/+", "file:/", f), i) for i, f in files_of(spark, paths)], "_file string, file_pos int")
+    return out.join(order, F.regexp_replace("file_path", "^file:/+", "file:/") == F.col("_file"), "left").drop("_file")
+
+
+def ingest(spark: SparkSession, paths: list[str], folder: str, **options) -> DataFrame:
+    """scan_csv, written once: the row order is stored with the rows, so every later scan has the same."""
+    scan_csv(spark, paths, **options).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """((path, size, sha256) per file, (n_files, bytes, sha256) over the ordered lines); contents are hashed on executors."""
+    """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the ordered lines); contents are hashed on executors."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    each = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    line = F.concat_ws("|", "file", "size", "sha256")
+    folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    own = F.col("path").substr(F.locate(folder, "path") + len(folder), F.length("path"))
+    each = files.select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    line = F.to_json(F.struct("file", "size", "sha256"))
     whole = each.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
     return each, whole
 
@@ -95,6 +126,9 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
+    """JSON lines; numbers that JSON has no word for (NaN, infinities) are null."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    df = df.select(*[finite(F.col(f"`{c}`")).alias(c) if isinstance(t, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`") for c, t in fields.items()])
     df.write.mode("overwrite").json(path)
 
 

@@ -24,7 +24,8 @@ def read_segments(spark: SparkSession, folder: str, schema: T.StructType, sessio
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
     raw = reader.option("header", True).csv(folder) if kind == "csv" else reader.format(kind).load(folder)
-    return raw.select("*", F.col("_metadata.file_name").alias("segment"), F.lit(session).alias("capture_session_id"))
+    row = F.col("_metadata.row_index") if kind == "parquet" else F.lit(None).cast("long")  # only Parquet numbers its rows
+    return raw.select("*", F.col("_metadata.file_name").alias("segment"), row.alias("segment_row"), F.lit(session).alias("capture_session_id"))
 
 
 def dedup(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -33,7 +34,10 @@ def dedup(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 class LastSeen(StatefulProcessor):
-    """Per session the last `capacity` accepted keys, oldest out first; a repeat does not make a key younger."""
+    """Per session the last `capacity` accepted keys, oldest out first; a repeat does not make a key younger. A null is a key like any other.
+
+    A session's rows of one batch are held together, so batches should be few segments.
+    """
 
     def __init__(self, capacity: int):
         if capacity < 1:
@@ -45,17 +49,19 @@ class LastSeen(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         order = deque(k[0] for k in self.keys.get())
-        seen, out = set(order), []
-        for frame in rows:
-            for seq, fp in sorted(zip(frame["seq"], frame["fingerprint"])):
-                fresh = fp not in seen
-                if fresh:
-                    order.append(fp)
-                    seen.add(fp)
-                    if len(order) > self.capacity:
-                        seen.discard(order.popleft())
-                out.append((key[0], seq, fp, fresh))
-        self.keys.put([(k,) for k in order])
+        seen, out, before = set(order), [], len(order)
+        # the batch's rows of a session come in several frames; their order is that of all of them together
+        batch = pd.concat([f[["seq", "fingerprint"]] for f in rows]).sort_values("seq", kind="stable", na_position="first")
+        for seq, fp in zip(batch["seq"], batch["fingerprint"].astype(object).where(batch["fingerprint"].notna(), None)):
+            fresh = fp not in seen
+            if fresh:
+                order.append(fp)
+                seen.add(fp)
+                if len(order) > self.capacity:
+                    seen.discard(order.popleft())
+            out.append((key[0], seq, fp, fresh))
+        if len(order) != before or any(x[3] for x in out):
+            self.keys.put([(k,) for k in order])
         yield pd.DataFrame(out, columns=["capture_session_id", "seq", "fingerprint", "accepted"])
 
     def close(self) -> None:
@@ -101,12 +107,13 @@ def score_batches(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, batch = batch.sparkSession, batch.persist()  # read for the rejects and for the scores
         good, bad = adapt.split_rejects(adapt.adapt(batch, required, keep=keep))
         put = lambda df, name: df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
         put(bad.select(*keep, "reject_reason"), "rejects")
         put(scorer(good), "scored")
-        spark = batch.sparkSession
-        spark.createDataFrame([(batch_id,)], "batch_id int").write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
+        spark.createDataFrame([(batch_id, threshold)], "batch_id int, threshold double").write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -117,8 +124,10 @@ def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}").join(done, "batch_id", "left_semi")
 
 
-def alerts(spark: SparkSession, path: str, threshold: float = 0.7) -> DataFrame:
-    return store.alerts_from(committed(spark, path, "scored"), threshold)
+def alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts of whole batches, by the threshold that each was scored with."""
+    done = spark.read.parquet(f"{path}/commits").select("batch_id", "threshold")
+    return store.alerts_from(spark.read.parquet(f"{path}/scored").join(done, "batch_id"), F.col("threshold"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -137,4 +146,4 @@ def drain_latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
         last.append(batch_id)
 
     stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}")
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], stream.schema)

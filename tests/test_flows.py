@@ -166,6 +166,91 @@ def test_csv_scan(spark, tmp_path):
     assert each.count() == 3 and whole.first()["n_files"] == 3
 
 
+def test_csv_scan_keeps_text_and_tells_files_of_one_name_apart(spark, tmp_path):
+    for folder, rows in (("cap-10", '1,"Bot, a",7\n2,x,\n'), ("cap-1", "3,y,nan\n"), ("cap 2", "4,,inf\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text('Flow ID,"attack_category", Packets \n' + rows)
+    paths = [str(tmp_path / f) for f in ("cap-10", "cap-1", "cap 2")]
+    out = S.ingest(spark, paths, str(tmp_path / "out")).orderBy("file_pos", "file_path", "block_start", "row_seq")
+    got = [(r["file_pos"], r["flow_id"], r["attack_category"], str(r["packets"])) for r in out.collect()]
+    assert got == [(0, 1.0, "Bot, a", "7.0"), (0, 2.0, "x", "None"), (1, 3.0, "y", "nan"), (2, 4.0, None, "inf")]
+    assert S.headers(spark, paths).select("file").distinct().count() == 3
+    assert dict(S.scan_csv(spark, paths, text={"flow_id"}).dtypes)["flow_id"] == "string"
+
+
+def test_fingerprints_tell_fields_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("\\N", "c"), ("", "c"), ('a","y":"b', "c")]
+    df = spark.createDataFrame(rows, "x string, y string").select(C.identity("x", "y").alias("f"))
+    assert df.distinct().count() == len(rows)
+
+
+def test_report_without_words_for_nan(spark, tmp_path):
+    S.write_report(spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (0.5, 3)], "x double, n int"), str(tmp_path / "r"))
+    lines = [json.loads(line) for f in (tmp_path / "r").glob("*.json") for line in f.read_text().splitlines()]
+    assert {r["n"]: r.get("x") for r in lines} == {1: None, 2: None, 3: 0.5}
+    S.write_sorted_csv(spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "k string, n int"), str(tmp_path / "c"), "n")
+    parts = sorted((tmp_path / "c").glob("*.csv"))
+    assert [line for f in parts for line in f.read_text().splitlines() if line != "k,n"] == ["b,3", "c,2", "a,1"]
+    (tmp_path / "p.json").write_text(json.dumps({"source_files": ["a"], "label_column": "label", "rows": 1}))
+    with pytest.raises(ValueError):
+        S.read_profile(spark, str(tmp_path / "p.json"))
+
+
+def test_saved_pipeline_scores_alike(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = [(c, 10.0 * k + i % 5, None if i == 0 else 10.0 * k) for k, c in enumerate(CLASSES) for i in range(20)]
+    df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double, `feature.b` double"), "label").coalesce(1)
+    model = ml.fit(df, ["feature_a", "feature.b"], numTrees=3, maxDepth=3)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    a, b = (ml.score(m, df.drop("label_index"), "v1").collect() for m in (model, again))
+    assert a == b and len(a) == 60
+
+
+def test_search_of_a_small_space(spark):
+    rows = [(c, 10.0 * k + i % 5, i % 2) for k, c in enumerate(CLASSES) for i in range(12)]
+    df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double, fold int"), "label").coalesce(1)
+    found = ml.search(df, ["feature_a"], {"numTrees": [2, 3], "maxDepth": [2], "balanced": [True, False]}, n=3)
+    assert found.count() == 6 and found.where("test_f1 >= 0.8").count() == 6 and ml.cv_results(found).count() == 3
+    assert len(ml.candidates(ml.SPACE, 20)) == 20 and set(ml.SPACE["balanced"]) == {True, False}
+
+
+def test_fifo_dedup_over_frames_with_a_full_cap(spark, tmp_path):
+    import random
+    from collections import deque
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *"abcdefgh"])) for i in range(400)]
+    df = spark.createDataFrame(rng.sample(rows, 400), "seq long, fingerprint string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    last, expected = deque(maxlen=4), []
+    for i, fp in rows:
+        expected.append((i, fp, fp not in last))
+        if fp not in last:
+            last.append(fp)
+    key, stream = "spark.sql.execution.arrow.maxRecordsPerBatch", G.read_segments(spark, str(tmp_path / "in"), df.schema, "s", "parquet")
+    spark.conf.set(key, 7)
+    try:
+        with G.rocksdb(spark):
+            out = G.drain(G.fifo_dedup(stream, 4), str(tmp_path / "out"), str(tmp_path / "ck"))
+    finally:
+        spark.conf.unset(key)
+    assert [tuple(r)[1:] for r in out.orderBy("seq").collect()] == expected
+
+
+def test_scoring_stream_uses_its_threshold(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a"), ("x", "b"), ("3", "c")], "`Flow Duration` string, flow_id string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = G.read_segments(spark, str(tmp_path / "in"), df.schema, "s", "parquet")
+    scorer = lambda d: d.select(F.col("flow_id").alias("prediction_id"), F.lit("DDoS").alias("predicted_label"), F.lit(0.6).alias("confidence"), F.lit(None).cast("timestamp").alias("prediction_time"))
+    for threshold, n in ((0.5, 2), (0.7, 0)):
+        path = str(tmp_path / f"out{threshold}")
+        G.score_batches(stream, ["flow_duration"], scorer, path, str(tmp_path / f"ck{threshold}"), ("flow_id", "segment_row"), threshold).awaitTermination()
+        assert G.alerts(spark, path).count() == n
+        assert [tuple(r) for r in G.committed(spark, path, "rejects").select("flow_id", "segment_row").collect()] == [("b", 1)]
+
+
 def test_medians_and_forest(spark):
     rows = [(c, 10.0 * k + i % 5, None if i == 0 else 10.0 * k) for k, c in enumerate(CLASSES) for i in range(20)]
     df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double, feature_b double"), "label")
