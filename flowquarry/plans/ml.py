@@ -125,7 +125,8 @@ def with_index(df: DataFrame, label: str) -> DataFrame:
 
 
 def forest(balanced: bool = True, **params) -> RandomForestClassifier:
-    given = {"numTrees": TREES, "maxDepth": 10, "featureSubsetStrategy": "sqrt"} | params
+    # rows remember the node they are in, so that a level of deep trees does not send the whole forest to the tasks again
+    given = {"numTrees": TREES, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "cacheNodeIds": True} | params
     weight = {"weightCol": "weight"} if balanced else {}
     return RandomForestClassifier(labelCol="label_index", featuresCol="features", seed=SEED, **weight, **given)
 
