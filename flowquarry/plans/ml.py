@@ -157,28 +157,30 @@ def candidates(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     return grid[:n]
 
 
-def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES, parallel: int = 4) -> DataFrame:
+def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES, parallel: int = 8) -> DataFrame:
     """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column.
 
-    A fold is imputed, weighed and assembled once and kept; `parallel` forests grow at a time on the same executors.
+    A fold is imputed, weighed and assembled once and kept; `parallel` forests, of any folds, grow at a time on the
+    same executors, the largest first.
     """
     spark, scorer = train.sparkSession, MacroF1()
-    chosen = list(enumerate(candidates(space or SPACE, n)))
     folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]
-    rows = []
+    sides = {}
     for fold in folds:
         ready = Pipeline(stages=preparation(features)).fit(train.where(F.col("fold") != fold))
-        sides = [ready.transform(train.where(test)).select("label_index", "weight", "features").persist() for test in (F.col("fold") != fold, F.col("fold") == fold)]
-
-        def judged(candidate: tuple[int, dict], sides=sides, fold=fold) -> tuple:
-            i, params = candidate
-            model = forest(**params).fit(sides[0])
-            return (i, str(params), int(fold), *(scorer.evaluate(model.transform(side)) for side in sides))
-
-        with ThreadPool(parallel) as pool:
-            rows += pool.map(judged, chosen, chunksize=1)
-        for side in sides:
-            side.unpersist()
+        sides[fold] = [ready.transform(train.where(test)).select("label_index", "weight", "features").persist() for test in (F.col("fold") != fold, F.col("fold") == fold)]
+
+    def judged(task: tuple[int, int, dict]) -> tuple:
+        fold, i, params = task
+        model = forest(**params).fit(sides[fold][0])
+        return (i, str(params), int(fold), *(scorer.evaluate(model.transform(side)) for side in sides[fold]))
+
+    tasks = [(fold, i, params) for fold in folds for i, params in enumerate(candidates(space or SPACE, n))]
+    tasks.sort(key=lambda t: -t[2].get("numTrees", TREES) * t[2].get("maxDepth", 10))
+    with ThreadPool(parallel) as pool:
+        rows = pool.map(judged, tasks, chunksize=1)
+    for side in itertools.chain(*sides.values()):
+        side.unpersist()
     return spark.createDataFrame(rows, "candidate long, params string, fold int, train_f1 double, test_f1 double")
 
 
