@@ -246,7 +246,7 @@ NEED = ["flow_duration", "packets"]
 def _scoring_stream(s, d) -> str:
     f = V.stored_flows(s, d).select(F.col("flow_id"), _number_text().alias("Flow Duration"), F.col("packets").cast("string").alias("Packets"))
     label = F.when(F.col("flow_id") % 3 == 0, "DDoS").otherwise("Normal")
-    scorer = lambda df: df.select(F.col("flow_id").alias("prediction_id"), label.alias("predicted_label"), F.lit(0.9).alias("confidence"), F.lit(None).cast("timestamp").alias("prediction_time"))
+    scorer = lambda df: df.select(F.col("flow_id").alias("prediction_id"), label.alias("predicted_label"), F.lit(0.9).alias("confidence"), F.lit(None).cast("timestamp").alias("prediction_time"), "capture_session_id")
     path = new_folder(s, "run")
     keep = ("flow_id", "segment", "segment_row", "capture_session_id")
     G.score_batches(_stream(s, d, "score", f), NEED, scorer, path, new_folder(s, "ck"), keep).awaitTermination()
@@ -263,3 +263,6 @@ def stream_score(s, d):
     return G.alerts(s, _scoring_stream(s, d)).select("alert_id", "severity")
 
 
+@query("select 'session-1' as capture_session_id, count(*) filter (flow_id % 9 not in (3, 4)) as scored, count(*) filter (flow_id % 9 in (3, 4)) as rejected, 'failed' as status from stored")
+def stream_session_status(s, d):
+    return G.session_status(s, _scoring_stream(s, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowquarry.functions.columns import finite, is_infinite, map_label, normalize_python
-from flowquarry.operators.profile import numeric_columns, q
+from flowquarry.operators.profile import numeric_columns, q, tidy
 from flowquarry.schema import CLASSES
 
 
@@ -115,5 +115,13 @@ def infinities(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(is_infinite(q(c))).alias(c) for c in features])
 
 
+def column_audit(df: DataFrame, leakage: dict[str, str], label: str) -> DataFrame:
+    """(column_name, outcome, infinities): why a column becomes no feature, or 'feature' with the infinities that become null."""
+    features = feature_names(df, leakage, label)
+    removed = dropped_columns(df, leakage, label).select("column_name", F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("infinities"))
+    kept = infinities(df, features).toDF(*[f"_{i}" for i in range(len(features))])
+    return tidy(kept, features, "infinities").select("column_name", F.lit("feature").alias("outcome"), "infinities").union(removed)
+
+
 def feature_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])

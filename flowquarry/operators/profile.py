@@ -40,6 +40,13 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("long"))
 
 
+def column_types(df: DataFrame) -> DataFrame:
+    """(column_name, n_values, position, data_type): each column's place, type and values that are not null."""
+    n = _per_column(df, df.columns, lambda c: F.count(q(c)), "n_values")
+    types = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return n.join(df.sparkSession.createDataFrame(types, "position long, column_name string, data_type string"), "column_name")
+
+
 def raw_class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows per raw label, null as <missing>."""
     return df.groupBy(F.coalesce(q(label), F.lit("<missing>")).alias("raw_label")).agg(F.count("*").alias("n"))

@@ -84,6 +84,20 @@ def overlap(split: DataFrame, group: str) -> DataFrame:
     return split.where("split = 'train'").select(group).intersect(split.where("split = 'test'").select(group))
 
 
+def block_guards(blocked: DataFrame, label: str, classes: tuple[str, ...], file_col: str = "source_file", least: int = 2) -> DataFrame:
+    """One row of faults of a split by blocks: strata under `least` rows, groups on both sides, (side, class) pairs without a row."""
+    small = strata(blocked, label, file_col).agg(F.count_if(F.col("n") < least).alias("small_strata"))
+    sides = blocked.groupBy("scenario_group").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_groups"))
+    there = blocked.where(q(label).isin(*classes)).agg((F.lit(2 * len(classes)) - F.countDistinct("split", q(label))).cast("long").alias("missing_sides"))
+    return small.crossJoin(F.broadcast(sides)).crossJoin(F.broadcast(there))  # one row each
+
+
+def check_blocks(blocked: DataFrame, label: str, classes: tuple[str, ...], file_col: str = "source_file") -> None:
+    faults = {k: n for k, n in block_guards(blocked, label, classes, file_col).first().asDict().items() if n}
+    if faults:
+        raise ValueError(f"the split by blocks fails: {faults}")
+
+
 def missing_classes(df: DataFrame, label: str, classes: tuple[str, ...]) -> DataFrame:
     every = df.sparkSession.createDataFrame([(c,) for c in classes], "label string")
     return every.subtract(df.select(q(label).alias("label")))

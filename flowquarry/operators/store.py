@@ -141,6 +141,19 @@ def ingestion_counters(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("disposition").agg(F.count("*").alias("n"))
 
 
+def orphan_alerts(alerts: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Alerts whose prediction is not there."""
+    return alerts.join(predictions.select("prediction_id"), "prediction_id", "left_anti")
+
+
+def session_counters(tagged: DataFrame, predictions: DataFrame, session: str) -> DataFrame:
+    """Per session of the tagged rows: rows per disposition, submitted (accepted) rows, predictions and these by class."""
+    kind = lambda k: F.count_if(F.col("disposition") == k)
+    rows = tagged.groupBy(session).agg(F.count("*").alias("extracted"), kind("accepted").alias("submitted"), kind("duplicate").alias("duplicates"), kind("rejected").alias("rejected"))
+    made = predictions.groupBy(session).agg(F.count("*").alias("successful"), *[_of_class(c).alias(c.lower()) for c in CLASSES])
+    return rows.join(made, session, "left").na.fill(0, [c for c in made.columns if c != session])
+
+
 def session_rates(predictions: DataFrame, alerts: DataFrame, session: str) -> DataFrame:
     """Per session: flows, attacks, share of Normal, share of candidate false alarms, alerts."""
     attack = F.col("predicted_label") != "Normal"

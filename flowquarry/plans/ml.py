@@ -150,6 +150,23 @@ def score(model: PipelineModel, df: DataFrame, version: str) -> DataFrame:
     return out.select(*[q(c) for c in df.columns], label.alias("predicted_label"), F.element_at(p, label).alias("confidence"), p.alias("probabilities"), F.lit(version).alias("model_version"))
 
 
+def score_batch(model: PipelineModel, df: DataFrame, version: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` with prediction, confidence, probabilities, model_version and ignored_features: all other columns that the model does not use.
+
+    Columns may come in any order. A missing or doubled feature is an error, and so is a batch without rows.
+    """
+    wanted = model.stages[0].getInputCols()
+    odd = sorted({c for c in wanted if df.columns.count(c) != 1})
+    if odd:
+        raise ValueError(f"features that are missing or doubled: {odd}")
+    if df.isEmpty():
+        raise ValueError("the batch has no rows")
+    ignored = [c for c in df.columns if c not in wanted and c not in keep]
+    used = df.select(*[q(c) for c in dict.fromkeys([*keep, *wanted])])
+    out = score(model, used, version).drop(*[c for c in wanted if c not in keep])
+    return out.withColumn("ignored_features", F.array(*[F.lit(c) for c in ignored]).cast("array<string>"))
+
+
 def candidates(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     """n distinct points of the space (all, if it has no more), in a fixed random order."""
     grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]

@@ -297,6 +297,11 @@ def orphan_predictions(s, d):
     return V.scored(s, d).join(V.stored_flows(s, d).where("flow_id % 10 <> 0"), "flow_id", "left_anti").select("prediction_id", "flow_id")
 
 
+@query("select alert_id, prediction_id from alerts where prediction_id in (select prediction_id from scored where flow_id % 10 = 0)")
+def orphan_alerts(s, d):
+    return store.orphan_alerts(V.alerts(s, d), V.scored(s, d).where("flow_id % 10 <> 0")).select("alert_id", "prediction_id")
+
+
 @query("select model_id, model_version from models where model_id in (select model_id from scored)")
 def referenced_models(s, d):
     return V.models(s).join(V.scored(s, d), "model_id", "left_semi").select("model_id", "model_version")
@@ -413,11 +418,24 @@ def model_info(s, d):
 # -- profile
 
 
+def _union_all(parts: list[str]) -> str:
+    return " union all ".join(parts)
+
+
 @query("select count(*) as n_rows, 15::bigint as n_columns from flows")
 def profile_shape(s, d):
     return profile.shape(V.flows(s, d))
 
 
+COLUMNS = [*KEYS.split(", ")[:1], "seq", "capture_time", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "source_file", "raw_label", *NUMERIC]
+TYPE_SQL = "replace(split_part(lower(any_value(typeof({c}))), ' ', 1), 'varchar', 'string')"
+
+
+@query(_union_all([f"select {i}::bigint as position, '{c}' as column_name, {TYPE_SQL.format(c=c)} as data_type, count({c}) as n_values from flows" for i, c in enumerate(COLUMNS)]))
+def column_types(s, d):
+    return profile.column_types(V.flows(s, d).select(*COLUMNS))
+
+
 @query("select coalesce(raw_label, '<missing>') as raw_label, count(*) as n from flows group by 1")
 def raw_class_distribution(s, d):
     return profile.raw_class_distribution(V.flows(s, d), "raw_label")
@@ -436,10 +454,6 @@ def mapped_class_distribution(s, d):
     return profile.mapped_class_distribution(V.flows(s, d), "raw_label")
 
 
-def _union_all(parts: list[str]) -> str:
-    return " union all ".join(parts)
-
-
 MISSING_COLS = ["flow_id", "seq", "capture_time", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "source_file", "raw_label", *NUMERIC]
 
 
@@ -708,6 +722,16 @@ def preparation_audit(s, d):
     return prepare.audit(V.flows(s, d), "raw_label", ORDER, KEY_IGNORE, split)
 
 
+REMOVED = {c: LEAKAGE[c] for c in ("flow_id", "source_ip", "destination_ip")} | {"source_file": "source-file provenance"} | dict.fromkeys(("capture_time", "protocol"), "non-numeric")
+KEPT = [c for c in COLUMNS if c not in REMOVED and c != "raw_label"]
+
+
+@query(SINGLE_SQL + _union_all([f"select '{c}' as column_name, 'feature' as outcome, count(*) filter ({f'isinf({c})' if c in NUMERIC else 'false'}) as infinities from single" for c in KEPT]
+                               + [f"select '{c}', '{why}', null from (select 1)" for c, why in REMOVED.items()]))
+def preparation_columns(s, d):
+    return prepare.column_audit(single(s, d).drop("raw_label").withColumnRenamed("label", "raw_label"), LEAKAGE, "raw_label")
+
+
 @query(f"select true as label_present, count(distinct label) = 3 as all_classes, (select min(n) >= 2 and count(*) = 3 from (select count(*) as n from labelled where label is not null group by label)) as two_rows_per_class, true as numeric_features, count({FIN}) > 0 and count(packets) > 0 as no_empty_feature from labelled")
 def preparation_guards(s, d):
     return prepare.guards(V.flows(s, d), "raw_label", ["flow_duration", "packets"])
@@ -770,6 +794,13 @@ def split_overlap(s, d):
     return splits.overlap(_blocks(s, d), "scenario_group")
 
 
+@query(BLOCK_SQL + "select (select count(*) from (select 1 from sides group by source_file, label having count(*) < 400)) as small_strata,"
+       " (select count(*) from (select scenario_group from sides group by 1 having count(distinct split) > 1)) as shared_groups,"
+       " (select 6 - count(*) from (select distinct split, label from sides)) as missing_sides")
+def scenario_guards(s, d):
+    return splits.block_guards(_blocks(s, d), "label", CLASSES, least=400)
+
+
 @query(f"select label from {CLASS_DIM} where label not in (select label from labelled where label is not null and label <> 'PortScan')")
 def missing_classes(s, d):
     return splits.missing_classes(single(s, d).where("label <> 'PortScan'"), "label", CLASSES)
@@ -927,6 +958,17 @@ def _tagged(s, d) -> DataFrame:
     return V.flows(s, d).withColumn("_again", again).select(kind.alias("disposition"), "source_file")
 
 
+@query(
+    f"select t.*, coalesce(successful, 0) as successful, coalesce(normal, 0) as normal, coalesce(ddos, 0) as ddos, coalesce(portscan, 0) as portscan from (select source_file, count(*) as extracted,"
+    f" count(*) filter (disposition = 'accepted') as submitted, count(*) filter (disposition = 'duplicate') as duplicates, count(*) filter (disposition = 'rejected') as rejected from ({TAGGED_SQL}) group by 1) t"
+    " left join (select source_file, count(*) as successful, count(*) filter (predicted_label = 'Normal') as normal, count(*) filter (predicted_label = 'DDoS') as ddos,"
+    " count(*) filter (predicted_label = 'PortScan') as portscan from scored join stored using (flow_id) where flow_id % 9 not in (3, 4) group by 1) p using (source_file)"
+)
+def session_counters(s, d):
+    p = V.scored(s, d).where(~(F.col("flow_id") % 9).isin(3, 4)).join(V.stored_flows(s, d).select("flow_id", "source_file"), "flow_id")
+    return store.session_counters(_tagged(s, d), p, "source_file")
+
+
 @query(f"select disposition, count(*) as n from ({TAGGED_SQL}) group by 1")
 def ingestion_counters(s, d):
     return store.ingestion_counters(_tagged(s, d))

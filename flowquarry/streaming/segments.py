@@ -124,6 +124,13 @@ def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}").join(done, "batch_id", "left_semi")
 
 
+def session_status(spark: SparkSession, path: str) -> DataFrame:
+    """(capture_session_id, scored, rejected, status) of whole batches; a session with a reject, or without a scored row, has failed."""
+    rows = [committed(spark, path, name).select("capture_session_id", F.lit(name).alias("_kind")) for name in ("scored", "rejects")]
+    n = rows[0].union(rows[1]).groupBy("capture_session_id").agg(F.count_if(F.col("_kind") == "scored").alias("scored"), F.count_if(F.col("_kind") == "rejects").alias("rejected"))
+    return n.withColumn("status", F.when((F.col("rejected") == 0) & (F.col("scored") > 0), "completed").otherwise("failed"))
+
+
 def alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of whole batches, by the threshold that each was scored with."""
     done = spark.read.parquet(f"{path}/commits").select("batch_id", "threshold")

@@ -216,6 +216,39 @@ def test_search_of_a_small_space(spark):
     assert len(ml.candidates(ml.SPACE, 20)) == 20 and set(ml.SPACE["balanced"]) == {True, False}
 
 
+def test_score_batch(spark):
+    rows = [(c, float(10 * i + k % 3), 5.0) for i, c in enumerate(CLASSES) for k in range(12)]
+    df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double, feature_b double"), "label").coalesce(1)
+    model = ml.fit(df, ["feature_a", "feature_b"], numTrees=3, maxDepth=3)
+    batch = spark.createDataFrame([(1, 5.0, 0.0, "x", "y"), (2, 5.0, 20.0, "x", "y")], "id long, feature_b double, feature_a double, other string, own string")
+    out = ml.score_batch(model, batch, "v1", ["id", "own"])
+    assert set(out.columns) == {"id", "own", "predicted_label", "confidence", "probabilities", "model_version", "ignored_features"}
+    assert [(r["id"], r["predicted_label"], r["ignored_features"]) for r in out.orderBy("id").collect()] == [(1, "Normal", ["other"]), (2, "PortScan", ["other"])]
+    assert ml.score_batch(model, batch.drop("other"), "v1", ["id", "own"]).first()["ignored_features"] == []
+    for bad in (batch.limit(0), batch.drop("feature_a")):
+        with pytest.raises(ValueError):
+            ml.score_batch(model, bad, "v1", ["id"])
+
+
+def test_block_guards(spark):
+    rows = [(i, c, "a.csv", i % 10) for i, c in enumerate(c for c in CLASSES for _ in range(30))]
+    df = spark.createDataFrame(rows, "seq long, label string, source_file string, x long")
+    splits.check_blocks(splits.blocks(df, "label", "seq", 5), "label", CLASSES)
+    one = splits.blocks(df.where("label <> 'DDoS' or seq = 30"), "label", "seq", 5)
+    assert splits.block_guards(one, "label", CLASSES).first().asDict() == {"small_strata": 1, "shared_groups": 0, "missing_sides": 1}
+    with pytest.raises(ValueError):
+        splits.check_blocks(one, "label", CLASSES)
+    none = splits.blocks(df.limit(0), "label", "seq", 5)
+    assert splits.block_guards(none, "label", CLASSES).first()["missing_sides"] == 6
+
+
+def test_session_counters_without_predictions(spark):
+    tagged = spark.createDataFrame([("a", "accepted"), ("a", "rejected")], "session string, disposition string")
+    none = spark.createDataFrame([], "session string, predicted_label string")
+    row = store.session_counters(tagged, none, "session").first().asDict()
+    assert row == {"session": "a", "extracted": 2, "submitted": 1, "duplicates": 0, "rejected": 1, "successful": 0, "normal": 0, "ddos": 0, "portscan": 0}
+
+
 def test_fifo_dedup_over_frames_with_a_full_cap(spark, tmp_path):
     import random
     from collections import deque
