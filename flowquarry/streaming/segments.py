@@ -21,9 +21,10 @@ def read_segments(spark: SparkSession, folder: str, schema: T.StructType, sessio
     """New files of the folder in batches, with session and segment; nothing of these becomes a feature.
 
     The file source orders by modification time, so segments should be moved in whole and one after another.
+    A CSV segment whose header is missing or differs from the schema ends the stream with an error; a byte order mark is dropped.
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
-    raw = reader.option("header", True).csv(folder) if kind == "csv" else reader.format(kind).load(folder)
+    raw = reader.option("header", True).option("enforceSchema", False).csv(folder) if kind == "csv" else reader.format(kind).load(folder)
     row = F.col("_metadata.row_index") if kind == "parquet" else F.lit(None).cast("long")  # only Parquet numbers its rows
     return raw.select("*", F.col("_metadata.file_name").alias("segment"), row.alias("segment_row"), F.lit(session).alias("capture_session_id"))
 

@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowquarry.functions import columns as C
 from flowquarry.operators import adapt, audit, metrics, prepare, profile, splits, store
@@ -249,6 +251,21 @@ def test_session_counters_without_predictions(spark):
     assert row == {"session": "a", "extracted": 2, "submitted": 1, "duplicates": 0, "rejected": 1, "successful": 0, "normal": 0, "ddos": 0, "portscan": 0}
 
 
+def test_csv_segments_with_a_byte_order_mark_and_wrong_headers(spark, tmp_path):
+    def run(name, text):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "segment-000001.csv").write_bytes(text)
+        stream = G.read_segments(spark, str(tmp_path / name), feature_types, "session-1")
+        return G.drain(stream, str(tmp_path / name / "out"), str(tmp_path / name / "ck")).collect()
+
+    feature_types = T.StructType([T.StructField(c, T.StringType()) for c in ("Flow Duration", "Destination Port")])
+    rows = run("marked", b"\xef\xbb\xbfFlow Duration,Destination Port\n100,80\n")
+    assert [(r["Flow Duration"], r["Destination Port"], r["segment"], r["capture_session_id"]) for r in rows] == [("100", "80", "segment-000001.csv", "session-1")]
+    for name, text in {"swapped": b"Destination Port,Flow Duration\n80,100\n", "none": b"100,80\n101,81\n"}.items():
+        with pytest.raises(StreamingQueryException):
+            run(name, text)
+
+
 def test_fifo_dedup_over_frames_with_a_full_cap(spark, tmp_path):
     import random
     from collections import deque
