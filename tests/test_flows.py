@@ -218,6 +218,21 @@ def test_search_of_a_small_space(spark):
     assert len(ml.candidates(ml.SPACE, 20)) == 20 and set(ml.SPACE["balanced"]) == {True, False}
 
 
+def test_macro_f1_of_counts(spark):
+    cases = [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 0.0)], [(1.0, 1.0)] * 3, [(0.0, 2.0), (2.0, 2.0), (None, 1.0)], []]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "label_index double, prediction double")
+        expected = metrics.overall(ml.named_predictions(df.where("label_index is not null"))).first()["macro_f1"]
+        assert ml.MacroF1().evaluate(df) == expected
+
+
+def test_forest_wraps_trees_late(spark):
+    rows = [(c, 10.0 * k + i % 5) for k, c in enumerate(CLASSES) for i in range(12)]
+    df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double"), "label").coalesce(1)
+    model = ml.fit(df, ["feature_a"], numTrees=3, maxDepth=2).stages[-1]
+    assert isinstance(model, ml.ForestModel) and len(model.trees) == model.getNumTrees == 3
+
+
 def test_score_batch(spark):
     rows = [(c, float(10 * i + k % 3), 5.0) for i, c in enumerate(CLASSES) for k in range(12)]
     df = ml.with_index(spark.createDataFrame(rows, "label string, feature_a double, feature_b double"), "label").coalesce(1)
