@@ -201,6 +201,15 @@ def stream_segments(s, d):
     return out.agg(F.count("*").alias("n"), F.countDistinct("capture_session_id").alias("sessions"))
 
 
+@query("select source_file, count(*) as n, sum(flow_id)::bigint as ids, round(sum(packets), 3) as packets, 1::bigint as sessions from stored group by 1")
+def stream_csv_segments(s, d):
+    """The segments as CSV files with headers, one a batch."""
+    f, path = V.stored_flows(s, d).select("flow_id", "source_file", "packets"), new_folder(s, "segcsv")
+    f.repartition(3).write.option("header", True).csv(path)
+    out = G.drain(G.read_segments(s, path, f.schema, "session-1"), new_folder(s, "out"), new_folder(s, "ck"))
+    return out.groupBy("source_file").agg(F.count("*").alias("n"), F.sum("flow_id").alias("ids"), F.round(F.sum("packets"), 3).alias("packets"), F.countDistinct("capture_session_id").alias("sessions"))
+
+
 @query("select distinct flow_id from flows")
 def stream_dedup(s, d):
     f = V.flows(s, d).select("flow_id", "capture_time", "seq")

@@ -95,7 +95,10 @@ def ingest(spark: SparkSession, paths: list[str], folder: str, **options) -> Dat
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the ordered lines); contents are hashed on executors."""
+    """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the ordered lines); contents are hashed on executors.
+
+    A file is read as one row, so files of 2 GB or more are an error, as are folders of so many files that their lines exceed a row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     own = F.col("path").substr(F.locate(folder, "path") + len(folder), F.length("path"))
