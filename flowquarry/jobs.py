@@ -11,7 +11,7 @@ from flowquarry.operators import metrics, splits, store
 from flowquarry.plans import ml
 from flowquarry.plans import views as V
 from flowquarry.plans.shared import new_folder
-from flowquarry.queries import _number_text, query, r6, single
+from flowquarry.queries import SINGLE_SQL, _number_text, query, r6, single
 from flowquarry.sources import flows as S
 from flowquarry.streaming import segments as G
 
@@ -139,8 +139,9 @@ def score_flows(s, d):
     return out.select("seq", "predicted_label", *r6("confidence"), "model_version")
 
 
-@query()
+@query(SINGLE_SQL + "select seq, 1::double as total, true as is_largest from single")
 def probability_map(s, d):
+    """What must hold of every row's probabilities: they add up to 1, and the confidence is the largest."""
     rows, model = _fitted(s, d)
     out = ml.score(model, rows, "v1")
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
@@ -155,12 +156,13 @@ def feature_importance_topk(s, d):
 
 @query()
 def publish_model(s, d):
-    """Save the whole pipeline, register it with the hash of its files, and make it the only active one."""
-    _, model = _fitted(s, d)
+    """Save the whole pipeline, register it with its macro F1 on the test rows and the hash of its files, and make it the only active one."""
+    rows, model = _fitted(s, d)
     path = new_folder(s, "model")
     model.write().overwrite().save(path)
+    reached = ml.MacroF1().evaluate(model.transform(rows.where("split = 'test'")))
     _, whole = S.manifest(s, path)
-    new = whole.select(F.lit("v4").alias("model_version"), F.lit("forest").alias("model_name"), F.lit(1.0).alias("macro_f1"))
+    new = whole.select(F.lit("v4").alias("model_version"), F.lit("forest").alias("model_name"), F.lit(reached).alias("macro_f1"), F.col("sha256").alias("files_sha256"))
     return store.model_upsert(V.models(s).drop("model_id"), new)
 
 
