@@ -10,8 +10,10 @@ number of documents. Every piece then finds its window by its rank among the pie
 Ranks are counted per (length, salt), where the salt is a hash, and the salts' counts are added up
 before; a length that most documents share is thus spread over many tasks.
 
-Nulls count as empty texts (a document is then its end id alone). Repeated rows are packed each by itself. A
-tokenizer file whose words are not separate by its own description is run over whole texts.
+Nulls count as empty texts (a document is then its end id alone). Repeated rows are packed each by itself, and so are
+equal ids; pieces of one length are ranked by id, start and the other columns, so ties change no piece's ids. An empty table
+has no pieces. A very long text is a block of its own and so many pieces. Extra columns are ignored by `pieces` and kept by
+`assign`. Words of a task are told apart by their bytes. A tokenizer file whose words are not separate by its own description is run over whole texts.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ back by position. A vocabulary that fails the proof, or whose normaliser is not
 dummy prefix, is encoded text by text instead.
 
 Nulls count as empty texts; an empty text encodes to the end id alone. Repeated rows each get their own
-result and extra columns of the input are ignored. A very long text is a block of its own; the word table is emptied
-beyond a bound, so memory does not follow the vocabulary of a corpus.
+result and extra columns of the input are ignored. A very long text is a block of its own. Words are told apart by
+their bytes; the word table is emptied beyond a bound, so memory does not follow the vocabulary of a corpus.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def _task(model: str, id_col: str, digests: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
-        eos, by_word, table = sp.eos_id(), splits_at_markers(model), DistinctTable(600_000)
+        eos, by_word, table = sp.eos_id(), splits_at_markers(model), DistinctTable()
         end = str(eos).encode()
         compute = _segment(sp)
         for batch in batches:

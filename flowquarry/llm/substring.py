@@ -26,6 +26,7 @@ hashed block by block of about 2 MB, a longer text as one block.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +150,7 @@ def _repeated(sorted_keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(width: int, bits: int, coarse: int, flush: int):
+def _anchors(width: int, bits: int, coarse: int, flush: int, seed: int):
     """Step 1, in tasks: probes and blocks of each bucket; blocks that repeat within the task as they are."""
     block = (width + 1) // 2
 
@@ -171,7 +172,7 @@ def _anchors(width: int, bits: int, coarse: int, flush: int):
             ids = batch.column(0).to_numpy()
             for a, _, data, offsets in text_blocks(batch.column(1)):
                 starts, ends, first = words(data, offsets)
-                h = window_hash(span_hash(data, starts, ends), block)
+                h = window_hash(span_hash(data, starts, ends, seed), block, seed)
                 ok = inside(first, block)
                 text = text_of(starts, first)[: len(h)]
                 ok &= (np.diff(first) >= width)[text]
@@ -199,7 +200,7 @@ def _hits(group: pa.Table) -> pa.Table:
     )
 
 
-def _candidates(width: int, bits: int, coarse: int, flush: int):
+def _candidates(width: int, bits: int, coarse: int, flush: int, seeds: tuple[int, int]):
     """Step 2, in tasks: windows that hold a hit block, with two hashes of all their words."""
     block = (width + 1) // 2
 
@@ -237,9 +238,8 @@ def _candidates(width: int, bits: int, coarse: int, flush: int):
                 ok &= np.cumsum(delta)[: len(ok)] > 0
                 at = np.flatnonzero(ok)
                 text = text_of(starts, first)[at]
-                h = window_hash(span_hash(data, starts, ends), width)[at]
-                g = window_hash(span_hash(data, starts, ends, 1), width, 1)[at].astype(np.uint32)
-                for part, x in zip(held, (h, g, ids[a + text], (at - first[text]).astype(np.int32))):
+                h, g = (window_hash(span_hash(data, starts, ends, seed), width, seed)[at] for seed in seeds)
+                for part, x in zip(held, (h, g.astype(np.uint32), ids[a + text], (at - first[text]).astype(np.int32))):
                     part.append(x)
                 n += len(at)
                 if n >= flush:
@@ -318,13 +318,14 @@ def substring_dedup(
         columns = [docs[c] for c in ("_text", *names)]
     place, size = file_place(docs)
     bits = max(4, int(size // bucket_bytes).bit_length())
+    seeds = secrets.randbits(60), secrets.randbits(60)
     # both joins below read the same columns, so that Spark deals the texts out once
     base = docs.select(place.alias("_row"), *columns)
-    index = base.select("_row", "_text").mapInArrow(giving_back(_anchors(width, bits, coarse, flush)), _schema(ANCHORS))
+    index = base.select("_row", "_text").mapInArrow(giving_back(_anchors(width, bits, coarse, flush, seeds[0])), _schema(ANCHORS))
     index = _dealt(index, ANCHORS, bits, coarse, True, flush)
     hits = index.groupBy("bucket").applyInArrow(_hits, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_hits"))
     near = base.join(hits, base["_row"] == hits["row"]).select("_row", "_text", "_hits", *names)
-    windows = near.mapInArrow(giving_back(_candidates(width, bits, coarse, flush)), _schema(WINDOWS))
+    windows = near.mapInArrow(giving_back(_candidates(width, bits, coarse, flush, seeds)), _schema(WINDOWS))
     windows = _dealt(windows, WINDOWS, bits, coarse, False, flush)
     repeats = windows.groupBy("bucket").applyInArrow(_repeats, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("_repeats"))
     none = F.array().cast("array<int>")

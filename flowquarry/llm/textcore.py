@@ -15,9 +15,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 2 << 20
-_SEGMENT = 1 << 18  # bytes hashed at once: the work arrays then fit the processor's cache
 _U = np.uint64
 
 
@@ -112,60 +112,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(8)
-def _family(seed: int) -> tuple[np.ndarray, int]:
-    rng = np.random.default_rng(0x5EED + seed)
-    table = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | _U(1)
-    base = (int(rng.integers(0, 1 << 62)) << 3 | 3) % (1 << 64)
-    return table, base
+@functools.lru_cache(32)
+def keys(seed: int, n: int) -> np.ndarray:
+    """n odd 64-bit numbers, drawn by the seed."""
+    return np.random.default_rng([0x5EED, seed]).integers(0, 1 << 64, n, dtype=np.uint64) | _U(1)
 
 
-@functools.lru_cache(16)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-def _size(n: int) -> int:
-    return 1 << max(10, (n + 1).bit_length())
+#: Of each lane, the bytes that a span fills: none to all eight.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LANES = 8  # spans of more lanes are hashed by XXH64
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span, from polynomial prefix sums; the same bytes hash alike everywhere."""
-    out = np.empty(len(starts), np.uint64)
-    table, base = _family(seed)
-    a = 0
-    while a < len(starts):
-        low = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, low + _SEGMENT, "right")))
-        n = int(ends[b - 1] - low)
-        size = _size(n)
-        powers, inverse = _powers(base, size), _powers(_inverse(base), size)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data[low : low + n]] * powers[:n], out=sums[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        h = (sums[e] - sums[s]) * inverse[s]
-        h += (e - s).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        out[a:b] = mix(h)
-        a = b
-    return out
+    """64-bit hash of each byte span; the same bytes hash alike everywhere with one seed.
+
+    A span is read in lanes of 8 bytes, each of which goes through a product with a drawn number and the finaliser before
+    the next one, so no structure of a span's bytes adds up to nothing; spans of one length and at most 8
+    bytes never collide. Longer ones do with a chance of about 2**-64 a pair. Results that must be exact compare bytes,
+    as `DistinctTable` does; where hashes alone decide, callers draw the seed anew in each run.
+    """
+    n = ends - starts
+    drawn = keys(seed, LANES + 1)
+    h = n.astype(np.uint64) * drawn[LANES]
+    if not len(n):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    own, at, left = np.arange(len(n)), starts, n
+    for k in range(LANES):
+        x = lanes[at]
+        x &= _FILLED[np.minimum(left, 8)]
+        x ^= h[own]
+        x *= drawn[k]
+        h[own] = mix(x)
+        more = left > 8
+        if not more.any():
+            return h
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    view = memoryview(np.ascontiguousarray(data))
+    for i in own.tolist():
+        h[i] = xxhash.xxh64_intdigest(view[starts[i] : ends[i]], seed)
+    h[own] = mix(h[own])
+    return h
 
 
 def window_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of every `width` consecutive word hashes; element i covers i .. i + width - 1."""
+    """Hash of every `width` consecutive word hashes; element i covers i .. i + width - 1. Each place has a factor of its own."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    _, base = _family(seed + 100)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= _U(base)
-        out += h[k : k + n]
+    out, own = np.zeros(n, np.uint64), np.empty(n, np.uint64)
+    for k, factor in enumerate(keys(seed + 1, LANES + 1 + width)[LANES + 1 :]):
+        np.multiply(h[k : k + n], factor, out=own)
+        out += own
     return mix(out)
 
 
@@ -202,44 +201,37 @@ def text_of(item: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class DistinctTable:
-    """Values by 64-bit key, kept over the blocks of a task; emptied beyond `limit` keys, so memory is bounded.
+    """Values of distinct byte strings, kept over the blocks of a task; emptied beyond `limit` strings or `limit_bytes` of them.
 
-    Keys are two sorted arrays (key and slot). Subclasses say how values are stored.
+    Strings are told apart by their bytes. Subclasses say how values are stored.
     """
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, limit: int = 500_000, limit_bytes: int = 32 << 20):
+        self.limit, self.limit_bytes = limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        self.known, self.held, self.values = {}, 0, []
 
     def extend(self, values) -> None:
         self.values.extend(values)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute) -> np.ndarray:
         """The slot of each span; compute(list of bytes) gives values for the spans not seen before."""
-        keys, at, back = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
+        if len(self.known) > self.limit or self.held > self.limit_bytes:
             self.clear()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        low = place < len(self.keys)
-        known[low] = self.keys[place[low]] == keys[low]
-        new = np.flatnonzero(~known)
-        slot = np.empty(len(keys), np.int64)
-        slot[known] = self.slots[place[known]]
-        if len(new):
-            raw = data.tobytes()
-            own = np.arange(len(self.keys), len(self.keys) + len(new))
-            self.extend(compute([raw[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]))
-            slot[new] = own
-            self.keys, self.slots = np.insert(self.keys, place[new], keys[new]), np.insert(self.slots, place[new], own)
-        return slot[back]
+        raw, known = data.tobytes(), self.known
+        found = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        new = [w for w in dict.fromkeys(found) if w not in known]
+        if new:
+            self.extend(compute(new))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.held += sum(map(len, new))
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
 class CountTable(DistinctTable):
-    """A number for each key."""
+    """A number for each string."""
 
     def clear(self) -> None:
         super().clear()
@@ -250,7 +242,7 @@ class CountTable(DistinctTable):
 
 
 class RunTable(DistinctTable):
-    """A run of numbers for each key; compute gives all numbers and the length of each run."""
+    """A run of numbers for each string; compute gives all numbers and the length of each run."""
 
     def clear(self) -> None:
         super().clear()

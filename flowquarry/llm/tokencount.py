@@ -7,7 +7,8 @@ before white-space runs, where no pre-token can cross, and each distinct piece i
 file's own normaliser and pre-tokeniser are those that this rests on is read from the file (`splits_as_assumed`);
 any other vocabulary is counted text by text by the library.
 
-Nulls count as empty texts. Rows are never joined or grouped: repeated rows each get their own result,
+Nulls count as empty texts. Pieces are told apart by their bytes. A very long text is a block of its own; an empty table
+gives no rows. Rows are never joined or grouped: repeated rows each get their own result,
 and extra columns of the input are ignored.
 """
 

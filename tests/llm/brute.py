@@ -106,27 +106,34 @@ def phrases(text):
 class LogRatio:
     """The log-likelihood ratio of hashed words and pairs, with the hash written out on whole numbers.
 
-    A word's hash is a polynomial in a base over a value for each byte, plus its length times a constant, mixed; a
-    pair's is a polynomial over its words' hashes, mixed.
+    A word of up to 64 bytes is read in 8-byte numbers, each met with the hash so far, multiplied and mixed; a longer one is
+    hashed by XXH64 and mixed. A pair is a sum over its words' hashes with a factor for each place, mixed.
     """
 
     MASK = (1 << 64) - 1
 
-    def __init__(self, table, base, pair_base, buckets):
-        self.table, self.base, self.pair_base, self.buckets = [int(x) for x in table], base, pair_base, buckets
+    def __init__(self, factors, pair_factors, buckets, smoothing):
+        self.factors, self.pair_factors, self.buckets, self.smoothing = [int(x) for x in factors], [int(x) for x in pair_factors], buckets, smoothing
 
     def mix(self, x):
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ x >> shift) * factor & self.MASK
         return x ^ x >> 31
 
+    def word(self, raw):
+        import xxhash
+
+        if len(raw) > 64:
+            return self.mix(xxhash.xxh64_intdigest(raw, 0))
+        h = len(raw) * self.factors[8] & self.MASK
+        for k in range(0, len(raw), 8):
+            h = self.mix((h ^ int.from_bytes(raw[k : k + 8], "little")) * self.factors[k // 8] & self.MASK)
+        return h
+
     def grams(self, text):
-        found = []
-        for w in WORD.findall(text or ""):
-            raw = w.encode()
-            h = sum(self.table[b] * pow(self.base, i, 1 << 64) for i, b in enumerate(raw)) + len(raw) * 0x9E3779B97F4A7C15
-            found.append(self.mix(h & self.MASK))
-        pairs = [self.mix((a * self.pair_base + b) & self.MASK) for a, b in zip(found, found[1:])]
+        found = [self.word(w.encode()) for w in WORD.findall(text or "")]
+        x, y = self.pair_factors
+        pairs = [self.mix(a * x + b * y & self.MASK) for a, b in zip(found, found[1:])]
         return [h * self.buckets >> 64 for h in found + pairs]
 
     def fit(self, rows, good):
@@ -136,19 +143,27 @@ class LogRatio:
             raw.update(own)
             if d in good:
                 target.update(own)
-        share = lambda c, k: math.log((c[k] + 1) / (sum(c.values()) + self.buckets))
+        share = lambda c, k: math.log((c[k] + self.smoothing) / (sum(c.values()) + self.smoothing * self.buckets))
+        self.raw, self.target = raw, target
         self.weight = {k: share(target, k) - share(raw, k) for k in raw} if target else dict.fromkeys(raw, 0.0)
 
     def score(self, text):
         own = self.grams(text)
         return sum(self.weight[k] for k in own) / max(1, len(own))
 
+    def score_left_out(self, text):
+        """The score with this text taken out of the target."""
+        own = self.grams(text)
+        rest = self.target - collections.Counter(own)
+        share = lambda c, k: math.log((c[k] + self.smoothing) / (sum(c.values()) + self.smoothing * self.buckets))
+        return sum(n * (share(rest, k) - share(self.raw, k)) for k, n in collections.Counter(own).items()) / max(1, len(own))
+
 
-def cheapest_thresholds(good, bad, weight, step):
-    """Of the multiples of `step` from -4, those that cost least; rejecting a good score costs `weight` times as much as keeping a bad one."""
+def cheapest_thresholds(good, bad, weight, step, low):
+    """Of the multiples of `step` from `low` to its opposite, those that cost least; rejecting a good score costs `weight` times as much as keeping a bad one."""
     cost = {}
-    for k in range(int(8 / step) + 1):
-        t = -4 + k * step
+    for k in range(int(-2 * low / step) + 1):
+        t = low + k * step
         cost[t] = weight * sum(g < t for g in good) / len(good) + sum(b >= t for b in bad) / len(bad)
     least = min(cost.values())
     return [t for t, c in cost.items() if c <= least + 1e-9]

@@ -228,24 +228,21 @@ def test_quality_score_and_verdict(spark, documents, sent_ids):
     quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
     rows = rows_of(documents)
     out = {r["doc_id"]: r for r in quality.quality_rules(documents, labels, sent_ids=sent_ids).collect()}
-    plain = brute.LogRatio(*textcore._family(0), textcore._family(100)[1], quality.BUCKETS)
+    plain = brute.LogRatio(textcore.keys(0, 9), textcore.keys(1, 11)[9:], quality.BUCKETS, quality.SMOOTHING)
     plain.fit(rows, {d for d, q in quality_of.items() if q == 1})
     scores = {d: plain.score(t) for d, t in rows}
     assert all(abs(out[d]["score"] - x) < 1e-9 for d, x in scores.items())
     threshold = out[rows[0][0]]["threshold"]
     worded = {d for d, t in rows if brute.WORD.search(t or "")}
-    step = 8 / quality.BINS
-    own = [[scores[d] for d, q in quality_of.items() if q == k and d in worded] for k in (1, 0)]
-    best = brute.cheapest_thresholds(*own, quality.GOOD_WEIGHT, step)
+    step = (quality.HIGH - quality.LOW) / quality.BINS
+    texts = dict(rows)
+    # good documents are part of the target: their scores are those without their own counts
+    own = [[plain.score_left_out(texts[d]) if k else scores[d] for d, q in quality_of.items() if q == k and d in worded] for k in (1, 0)]
+    best = brute.cheapest_thresholds(*own, quality.GOOD_WEIGHT, step, quality.LOW)
     assert best[0] - step / 2 - 1e-9 <= threshold <= best[-1] + step / 2 + 1e-9
     assert all(out[d]["kept"] == (not brute.base_rules(t)[-1] and out[d]["score"] >= threshold) for d, t in rows)
 
 
-def test_quality_buckets_follow_the_corpus(spark):
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1 << 20).alias("text"))
-    assert quality.bucket_count(docs) == quality.BUCKETS * 2 and quality.bucket_count(docs.limit(1)) == quality.BUCKETS
-
-
 def test_simhash(edges, documents):
     for docs in (edges, documents):
         own = rows_of(docs)
@@ -332,6 +329,56 @@ def test_license_templates(spark):
             license.Automaton(markup)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Words that polynomial hashes modulo a power of two take for one, alone and in passages that differ in such a word only."""
+    pairs = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 4096)] + [(thue_morse(64), thue_morse(64, "b", "a"))]
+    head, tail = (" ".join(f"{x}{i}" for i in range(17)) for x in "pq")
+    texts = [w for p in pairs for w in p]
+    texts += [f"{head} {w} {tail}" for p in pairs for w in p] + [f"some words\n{a}\n{b}\n{a} {b} end" for a, b in pairs]
+    texts += [" ".join(thue_morse(1024, "x", "y")), " ".join(thue_morse(1024, "y", "x"))]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+
+
+def test_words_that_weak_hashes_take_for_one(alike):
+    rows = rows_of(alike)
+    out = substring.substring_dedup(alike).collect()
+    assert key([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out]) == key(brute.substring(rows))
+    path = queries.tokenizer_path
+    library = tokencount.load(path("byte_bpe_50k.json"))
+    assert key([(r["doc_id"], r["n_tokens"]) for r in tokencount.token_counts(alike, path("byte_bpe_50k.json")).collect()]) == key([(d, len(library.encode(t, add_special_tokens=False).ids)) for d, t in rows])
+    library = tokencount.load(path("word_bpe_49k.json"))
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 2] for d, t in rows}
+    pieces = packing.pack(alike, path("word_bpe_49k.json"), 2).collect()
+    assert all(r["ids"] == b"".join(i.to_bytes(4, "little") for i in ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in pieces)
+    library = spiece.load(path("piece_bpe_32k.model"))
+    found = {r["doc_id"]: (r["ids"], r["decoded"]) for r in spiece.encode_decode(alike, path("piece_bpe_32k.model")).collect()}
+    for d, t in rows:
+        own = library.encode(t, add_eos=True)
+        assert found[d] == (" ".join(map(str, own)), library.decode(own))
+    labels = alike.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(alike, labels).collect()
+    assert key([(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got]) == key([(d, *brute.base_rules(t)) for d, t in rows])
+
+
+def test_distinct_table_forgets_within_its_bounds():
+    import numpy as np
+
+    from flowquarry.llm import textcore
+
+    table, asked = textcore.CountTable(limit=3, limit_bytes=1 << 20), []
+    for turn in range(4):
+        texts = [b"one", b"two", b"one", b"%d" % turn, b"three"]
+        bounds = np.cumsum([0, *map(len, texts)])
+        slots = table.lookup(np.frombuffer(b"".join(texts), np.uint8), bounds[:-1], bounds[1:], lambda new: asked.append(new) or [len(w) for w in new])
+        assert table.values[slots].tolist() == [3, 3, 3, 1, 5] and len(table.known) <= 8
+    assert sum(map(len, asked)) > 7
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = queries.tokenizer_path
