@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import string
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import ann, html, license, packing, quality, simhash, spiece, substring, tokencount, warc
+from flowquarry.llm import ann, hardneg, html, langid, license, merkle, packing, quality, simhash, spiece, substring, tokencount, warc
 from flowquarry.llm.stage import settled, shared_dir
 
 #: Fixed value: the end id of op4's contract.
@@ -74,6 +75,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate(docs["text"], string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.audit(docs, F.crc32(docs["doc_id"].cast("string")) % 3 == 0, lower)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, F.pmod(rows["label"] + 1, F.lit(10))).otherwise(rows["label"])
+    return hardneg.hard_negatives(rows, label, F.col("id") % 100 == 0)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_main_text": op2_main_text,
@@ -85,6 +103,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_language": op13_language,
 }
 
 
@@ -140,5 +161,58 @@ select doc_id, len(w) as n_words, len(places) as n_base, list_min(places) - 1 as
 """
 
 
+_field = lambda c: f"coalesce(strlen(({c})::varchar)::varchar || ':' || ({c})::varchar, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_CRC32 = (
+    "xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint), "
+    "lambda acc, b: list_reduce(range(8), lambda r, k: xor(r >> 1, 3988292384::ubigint * (r & 1))::ubigint, xor(acc, b)::ubigint), 4294967295::ubigint), 4294967295::ubigint)"
+)
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_levels(name: str, rows: str) -> str:
+    """All levels of the trees over rows (g, i, n, h): every 8 consecutive nodes of a group become one."""
+    return (
+        f"{name} as (select g, 0 as l, i, n, h from ({rows}) union all "
+        f"select g, l + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by g, l, i // 8)"
+    )
+
+
+MERKLE_SQL = f"""
+with recursive d as (
+  select row_number() over () as r, doc_id, {_leaf("text")} as leaf, case when {_CRC32} % 3 = 0 then {_leaf(_LOWER)} else {_leaf("text")} end as other,
+    coalesce('1' || lang, '0') as g from documents),
+ranked as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from d),
+{_merkle_levels("lv", "select g, i, n, leaf as h from ranked")},
+sub as (select g, h as subroot, row_number() over (order by g) - 1 as i, count(*) over () as n from lv where n = 1),
+{_merkle_levels("top", "select '' as g, i, n, subroot as h from sub")},
+levels as (select g, max(l) as height from lv group by g),
+sides as (
+  select r.r, s.l, string_agg(s.h, '' order by s.i) filter (s.i < a) as before, string_agg(s.h, '' order by s.i) filter (s.i > a) as after
+  from (select r, g, l, i // (8 ** l)::bigint as a from ranked join levels using (g), lateral (select unnest(range(0, height)) as l)) r join lv s on s.g = r.g and s.l = r.l and s.i // 8 = r.a // 8
+  group by r.r, s.l, a
+  union all
+  select r.r, 1000 + s.l, string_agg(s.h, '' order by s.i) filter (s.i < a), string_agg(s.h, '' order by s.i) filter (s.i > a)
+  from (select r, l, sub.i // (8 ** l)::bigint as a from ranked join sub using (g), (select unnest(range(0, (select max(l) from top))) as l)) r join top s on s.l = r.l and s.i // 8 = r.a // 8
+  group by r.r, s.l, a),
+paths as (select r, list({{'b': coalesce(before, ''), 'a': coalesce(after, '')}} order by l) as path from sides group by r)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.b || x.a), ''), '')) as proof_sha256,
+  coalesce(list_reduce(list_transform(path, lambda x: [x.b, x.a]), lambda acc, x: [sha256(x[1] || acc[1] || x[2])], [other])[1], other) as folded_root, folded_root = root as verified
+from ranked join sub using (g) left join paths using (r), (select h as root from top where n = 1)
+"""
+
+HARD_NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select a.vec_id as anchor_id, a.label, c.vec_id as other_id, c.label as other_label, list_sum(list_transform(list_zip(a.q, c.q), lambda z: z[1] * z[2]))::bigint as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+pos as (select anchor_id, other_id as positive_id, score as positive_score from p where label = other_label qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from pos join p using (anchor_id) where label <> other_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other_id) <= 10
+"""
+
 #: The others tokenise, hash with XXH64, fit a score, search a graph or read markup; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_warc": WARC_SQL, "op10_licenses": _license_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_warc": WARC_SQL, "op10_licenses": _license_sql(), "op11_merkle": MERKLE_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

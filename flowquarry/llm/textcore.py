@@ -136,8 +136,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     h = n.astype(np.uint64) * drawn[LANES]
     if not len(n):
         return h
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    lanes = _lanes(np.concatenate([data, np.zeros(8, np.uint8)]))
     own, at, left = np.arange(len(n)), starts, n
     for k in range(LANES):
         x = lanes[at]
@@ -200,34 +199,94 @@ def text_of(item: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on, as numbers; data must have 8 bytes to spare at its end."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def _differ(data: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of data (from `at`, n bytes) differ from those of `other` (from `begin`, size bytes). Both arrays have 8 bytes to spare."""
+    out = n != size
+    a, b, own, left = _lanes(data), _lanes(other), np.arange(len(n)), n
+    for k in range(LANES + 1):
+        if k == LANES:
+            for i in own.tolist():
+                out[i] |= not np.array_equal(data[at[i] : at[i] + n[i]], other[begin[i] : begin[i] + n[i]])
+            break
+        x = a[at[own] + 8 * k]
+        x ^= b[begin[own] + 8 * k]
+        x &= _FILLED[np.minimum(left, 8)]
+        out[own] |= x != 0
+        own = own[(left > 8) & ~out[own]]
+        if not len(own):
+            break
+        left = n[own] - 8 * (k + 1)
+    return out
+
+
 class DistinctTable:
     """Values of distinct byte strings, kept over the blocks of a task; emptied beyond `limit` strings or `limit_bytes` of them.
 
-    Strings are told apart by their bytes. Subclasses say how values are stored.
+    Strings are found by their hash, and their bytes are compared with those kept. A string that shares its hash with another
+    one gets a value of its own. Keys are two sorted arrays (hash and slot). Subclasses say how values are stored.
     """
 
-    def __init__(self, limit: int = 500_000, limit_bytes: int = 32 << 20):
+    def __init__(self, limit: int = 1_000_000, limit_bytes: int = 48 << 20):
         self.limit, self.limit_bytes = limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.held, self.values = {}, 0, []
+        self.keys, self.slots, self.values, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def extend(self, values) -> None:
         self.values.extend(values)
 
+    def _add(self, raw: bytes, starts: list[int], ends: list[int], compute) -> np.ndarray:
+        """Slots of new strings."""
+        new = [raw[s:e] for s, e in zip(starts, ends)]
+        self.extend(compute(new))
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        total = int(size.sum())
+        if self.filled + total + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.filled], np.zeros(self.filled + 2 * total + 64, np.uint8)])
+        self.bytes[self.filled : self.filled + total] = np.frombuffer(b"".join(new), np.uint8)
+        self.begin, self.size = np.append(self.begin, self.filled + np.cumsum(size) - size), np.append(self.size, size)
+        self.filled += total
+        self.used += len(new)
+        return np.arange(self.used - len(new), self.used)
+
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute) -> np.ndarray:
         """The slot of each span; compute(list of bytes) gives values for the spans not seen before."""
-        if len(self.known) > self.limit or self.held > self.limit_bytes:
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        if self.used > self.limit or self.filled > self.limit_bytes:
             self.clear()
-        raw, known = data.tobytes(), self.known
-        found = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        new = [w for w in dict.fromkeys(found) if w not in known]
-        if new:
-            self.extend(compute(new))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.held += sum(map(len, new))
-        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        h = span_hash(data, starts, ends)
+        order = np.argsort(h)
+        lead = np.concatenate([[True], np.diff(h[order]) != 0])
+        number, at = np.cumsum(lead) - 1, order[lead]
+        keys = h[at]
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        low = place < len(self.keys)
+        known[low] = self.keys[place[low]] == keys[low]
+        new, slot, raw = np.flatnonzero(~known), np.empty(len(keys), np.int64), data.tobytes()
+        slot[known] = self.slots[place[known]]
+        if len(new):
+            slot[new] = self._add(raw, starts[at[new]].tolist(), ends[at[new]].tolist(), compute)
+            self.keys, self.slots = np.insert(self.keys, place[new], keys[new]), np.insert(self.slots, place[new], slot[new])
+        out = np.empty(len(h), np.int64)
+        out[order] = slot[number]
+        spare = np.concatenate([data, np.zeros(8, np.uint8)])
+        odd = np.flatnonzero(_differ(spare, starts, ends - starts, self.bytes, self.begin[out], self.size[out]))
+        if len(odd):  # spans whose hash another string has
+            first = {raw[starts[i] : ends[i]]: i for i in odd.tolist()}
+            own = self._add(raw, [starts[i] for i in first.values()], [ends[i] for i in first.values()], compute)
+            at = dict(zip(first, own.tolist()))
+            out[odd] = [at[raw[starts[i] : ends[i]]] for i in odd.tolist()]
+        return out
 
 
 class CountTable(DistinctTable):

@@ -365,17 +365,21 @@ def test_words_that_weak_hashes_take_for_one(alike):
     assert key([(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got]) == key([(d, *brute.base_rules(t)) for d, t in rows])
 
 
-def test_distinct_table_forgets_within_its_bounds():
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_distinct_table_forgets_within_its_bounds(same_hash, monkeypatch):
+    """Also where every string has one and the same hash."""
     import numpy as np
 
     from flowquarry.llm import textcore
 
+    if same_hash:
+        monkeypatch.setattr(textcore, "span_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
     table, asked = textcore.CountTable(limit=3, limit_bytes=1 << 20), []
     for turn in range(4):
-        texts = [b"one", b"two", b"one", b"%d" % turn, b"three"]
+        texts = [b"one", b"two", b"one", b"%d" % turn, b"three", b"x" * 90, b"y" + b"x" * 89, b"x" * 90]
         bounds = np.cumsum([0, *map(len, texts)])
         slots = table.lookup(np.frombuffer(b"".join(texts), np.uint8), bounds[:-1], bounds[1:], lambda new: asked.append(new) or [len(w) for w in new])
-        assert table.values[slots].tolist() == [3, 3, 3, 1, 5] and len(table.known) <= 8
+        assert table.values[slots].tolist() == [3, 3, 3, 1, 5, 90, 90, 90] and slots[5] == slots[7] != slots[6] and table.used <= 12
     assert sum(map(len, asked)) > 7
 
 
