@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import random
 from collections import Counter
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel, RandomForestClassifier
@@ -21,6 +20,7 @@ from flowquarry.functions.columns import finite, label_index, probability_map
 from flowquarry.operators import metrics
 from flowquarry.operators.profile import q
 from flowquarry.operators.quantiles import exact_quantiles
+from flowquarry.plans import forest as flat
 from flowquarry.schema import CLASSES
 
 SEED, TREES, CANDIDATES = 42, 100, 20
@@ -164,7 +164,13 @@ def fit(train: DataFrame, features: list[str], **params) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame, version: str) -> DataFrame:
-    """Inputs with predicted_label, confidence, probabilities and model_version; one job, no row loop."""
+    """Inputs with predicted_label, confidence, probabilities and model_version, by the forest in flat arrays; by the pipeline, if it is too large for that."""
+    compiled = flat.compiled(model)
+    return flat.score(compiled, df, version) if compiled else score_by_pipeline(model, df, version)
+
+
+def score_by_pipeline(model: PipelineModel, df: DataFrame, version: str) -> DataFrame:
+    """As `score`, by the pipeline's own stages."""
     names = F.array(*[F.lit(c) for c in CLASSES])
     out = model.transform(df)
     p = probability_map("probability", CLASSES)
@@ -196,31 +202,9 @@ def candidates(space: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     return grid[:n]
 
 
-def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES, parallel: int = 8) -> DataFrame:
-    """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column.
-
-    A fold is imputed, weighed and assembled once and kept; `parallel` forests, of any folds, grow at a time on the
-    same executors, the largest first.
-    """
-    spark, scorer = train.sparkSession, MacroF1()
-    folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]
-    sides = {}
-    for fold in folds:
-        ready = Pipeline(stages=preparation(features)).fit(train.where(F.col("fold") != fold))
-        sides[fold] = [ready.transform(train.where(test)).select("label_index", "weight", "features").persist() for test in (F.col("fold") != fold, F.col("fold") == fold)]
-
-    def judged(task: tuple[int, int, dict]) -> tuple:
-        fold, i, params = task
-        model = forest(**params).fit(sides[fold][0])
-        return (i, str(params), int(fold), *(scorer.evaluate(model.transform(side)) for side in sides[fold]))
-
-    tasks = [(fold, i, params) for fold in folds for i, params in enumerate(candidates(space or SPACE, n))]
-    tasks.sort(key=lambda t: -t[2].get("numTrees", TREES) * t[2].get("maxDepth", 10))
-    with ThreadPool(parallel) as pool:
-        rows = pool.map(judged, tasks, chunksize=1)
-    for side in itertools.chain(*sides.values()):
-        side.unpersist()
-    return spark.createDataFrame(rows, "candidate long, params string, fold int, train_f1 double, test_f1 double")
+def search(train: DataFrame, features: list[str], space: dict[str, list] | None = None, n: int = CANDIDATES) -> DataFrame:
+    """(candidate, params, fold, train_f1, test_f1) for each candidate and value of train's `fold` column; see `forest.search`."""
+    return flat.search(train, features, candidates(space or SPACE, n))
 
 
 def cv_results(found: DataFrame) -> DataFrame:
@@ -228,6 +212,11 @@ def cv_results(found: DataFrame) -> DataFrame:
     return found.groupBy("candidate", "params").agg(*mean)
 
 
+def best_candidate(results: DataFrame) -> DataFrame:
+    """The row of `cv_results` with the largest mean on the test folds; of equal ones the first candidate."""
+    return results.orderBy(F.desc("mean_test_f1"), "candidate").limit(1)
+
+
 def importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")

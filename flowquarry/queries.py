@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions import columns as C
 from flowquarry.operators import adapt, audit, metrics, prepare, profile, splits, store
+from flowquarry.plans import ml
 from flowquarry.plans import views as V
 from flowquarry.schema import CLASSES, FEATURE_ALIASES, FEATURES, LEAKAGE, METADATA_ALIASES, REPRODUCED, REPRODUCTION, STRICT
 
@@ -665,6 +666,26 @@ def select_best_model(s, d):
 DELTA_SQL = EXPERIMENT_SQL + _union_all([f"select '{c}' as metric, a.{c} as a, b.{c} as b, round(b.{c} - a.{c}, 6) as delta from experiments a, experiments b where a.name = 'capture-0' and b.name = 'capture-1'" for c in EXPERIMENT_COLS])
 
 
+@query("select label, round((select count(*) from scored)::double / (3 * count(*)), 6) as weight from scored group by 1")
+def class_weights(s, d):
+    return ml.class_weights(V.scored(s, d), "label").select("label", *r6("weight"))
+
+
+TRAIN = "flow_id % 5 <> 0"
+MEDIAN_SQL = f"(select quantile_cont({FIN}, 0.5) from flows where {TRAIN})"
+
+
+@query(f"select 'flow_duration' as column_name, round({MEDIAN_SQL}, 6) as median union all select 'packets', round(quantile_cont(packets, 0.5), 6) from flows where {TRAIN}")
+def train_medians(s, d):
+    return ml.medians(V.flows(s, d).where(TRAIN), ["flow_duration", "packets"]).select("column_name", *r6("median"))
+
+
+@query(f"select seq, round(coalesce({FIN}, {MEDIAN_SQL}), 6) as flow_duration from flows")
+def imputed_rows(s, d):
+    f = V.flows(s, d)
+    return ml.impute(f.select("seq", "flow_id", "flow_duration"), f.where(TRAIN), ["flow_duration"]).select("seq", *r6("flow_duration"))
+
+
 @query(DELTA_SQL)
 def model_delta(s, d):
     e = _experiments(s, d)
