@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Method. A text's words are its runs of letters. Each word has features: its first and last bytes (affixes of 1 to 4), its byte
-n-grams of 1 to 4 with the word's ends marked, the word itself, and how well it is known in each language's lexicon, in
+Method. A text's words are its runs of letters. Each word has features: its first and last bytes (affixes of 1 to 3), its byte
+n-grams of 2 to 4 with the word's ends marked, the word itself, and how well it is known in each language's lexicon, in
 steps. A language's weight for a word is the sum over the features; between neighbouring words stand learned transition
 weights. Weights maximise the likelihood of labelled word sequences, in which stretches of different texts follow one another,
 so that switches of language are learned too. Forward-backward gives each word's distribution over languages, which labels
@@ -52,23 +52,39 @@ def _base_letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters (marks after them included) of a block of UTF-8 texts, as `spans` gives them."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    size = np.diff(np.append(lead, len(data)))
-    tail = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64) & 0x3F
+def _points(data: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The code points of the characters that begin at `lead` and have `size` bytes."""
     code = data[lead].astype(np.int64)
     for n, bits in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
         own = size == n
         point = code[own] & bits
         for k in range(1, n):
-            point = point << 6 | tail[lead[own] + k]
+            point = point << 6 | data[lead[own] + k].astype(np.int64) & 0x3F
         code[own] = point
-    code = np.minimum(code, 0x10FFFF)
-    starts, ends, first = spans(np.repeat(letters()[code], size), offsets)
+    return np.minimum(code, 0x10FFFF)
+
+
+_ASCII = np.array([chr(c).isalpha() if c < 128 else False for c in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters (marks after them included) of a block of UTF-8 texts, as `spans` gives them."""
+    keep = _ASCII[data]
+    real = keep
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0).astype(np.int64)
+        size = np.minimum(size, len(data) - lead)
+        code = _points(data, lead, size)
+        at = np.repeat(lead - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        real = keep.copy()
+        keep[at], real[at] = np.repeat(letters()[code], size), np.repeat(_base_letters()[code], size)
+    starts, ends, first = spans(keep, offsets)
+    if real is keep:
+        return starts, ends, first
     # a run of marks alone is no word
-    real = np.concatenate([[0], np.cumsum(np.repeat(_base_letters()[code], size))])
-    ok = real[ends] > real[starts]
+    count = np.concatenate([[0], np.cumsum(real, dtype=np.int32)])
+    ok = count[ends] > count[starts]
     if ok.all():
         return starts, ends, first
     return starts[ok], ends[ok], np.concatenate([[0], np.cumsum(ok)])[first]
@@ -83,44 +99,47 @@ def lexicon_levels(lexicon: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def word_features(texts: list[bytes], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each word, one after another, and where each word's begin (and the last one's end)."""
+    """Features, and the word that each belongs to."""
     n, size = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(b"\x02" + t + b"\x03" for t in texts), np.uint8)
+    data = np.frombuffer(b"".join([b"\x02" + t + b"\x03" for t in texts]), np.uint8)
     ends = np.cumsum(size + 2)
     starts = ends - size - 2
     word = np.repeat(np.arange(n), size + 2)
     left = ends[word] - np.arange(len(data))  # bytes to the word's end
-    parts, owners = [], []
+    every, parts, owners = np.arange(n), [], []
 
     def add(value: np.ndarray, own: np.ndarray, kind: int) -> None:
-        parts.append((mix(value + _U(kind * 0x9E3779B97F4A7C15 % 2**64)) >> _U(64 - 15)).astype(np.int64))
+        value *= _U(0x9E3779B97F4A7C15)
+        parts.append((mix(value + _U(kind * 0xBF58476D1CE4E5B9 % 2**64)) >> _U(64 - 15)).astype(np.int64))
         owners.append(own)
 
-    gram = np.zeros(len(data), np.uint64)
+    gram = data.astype(np.uint64)
     for width in range(1, 5):
-        gram = gram[: len(data) - width + 1] << _U(8) | data[width - 1 :].astype(np.uint64)
-        ok = left[: len(gram)] >= width
-        add(gram[ok], word[: len(gram)][ok], width)
-        for edge, at in ((5, starts + 1), (9, ends - 1 - width)):  # affixes
-            long_enough = size >= width
-            add(gram[at[long_enough]], np.flatnonzero(long_enough), edge + width)
+        if width > 1:
+            gram = gram[:-1] << _U(8) | data[width - 1 :]
+            ok = left[: len(gram)] >= width
+            add(gram[ok], word[: len(gram)][ok], width)
+        if width < 4:
+            for edge, at in ((5, starts + 1), (9, ends - 1 - width)):  # affixes
+                long_enough = size >= width
+                add(gram[at[long_enough]], every[long_enough], edge + width)
     whole = span_hash(data, starts + 1, ends - 1)
-    add(whole, np.arange(n), 15)
+    add(whole.copy(), every, 15)
     levels = lexicon_levels(lexicon, (whole >> _U(64 - 18)).astype(np.int64))
     for k in range(levels.shape[1]):
-        add(levels[:, k].astype(np.uint64), np.arange(n), 16 + k)
-    features, owners = np.concatenate(parts), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return features[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))])
+        add(levels[:, k].astype(np.uint64), every, 16 + k)
+    return np.concatenate(parts), np.concatenate(owners)
 
 
-def emissions(features: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A weight for each word and language; every word has features."""
-    return np.add.reduceat(weights[features], first[:-1], axis=0) if len(first) > 1 else np.zeros((0, weights.shape[1]))
+def emissions(features: np.ndarray, owners: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """A weight for each of n words and each language."""
+    return np.stack([np.bincount(owners, w.take(features), n) for w in np.ascontiguousarray(weights.T)], axis=1)
 
 
 class Chains:
-    """Forward-backward over many sequences at once."""
+    """Forward-backward over many sequences at once, in stretches of `STRETCH` words side by side."""
+
+    EVERY = 8  # steps between two scalings; a step shrinks the largest entry by a bounded factor, as each word's best potential is 1
 
     def __init__(self, emission: np.ndarray, first: np.ndarray, transition: np.ndarray):
         """emission: a row a word; first: where each sequence's words begin, and the end."""
@@ -132,11 +151,19 @@ class Chains:
         size = np.minimum(STRETCH, first[self.sequence + 1] - start)
         # the longest stretches first, so that those that still go on are the first ones
         order = np.argsort(-size, kind="stable")
-        self.sequence, self.turn, self.start, self.size = self.sequence[order], self.turn[order], start[order], size[order]
-        self.active = [int(np.searchsorted(-self.size, -t, "left")) for t in range(int(self.size.max(initial=0)))]
-        self.potential = np.exp(emission - emission.max(axis=1, keepdims=True)) if len(emission) else emission
+        self.sequence, self.turn, start, self.size = self.sequence[order], self.turn[order], start[order], size[order]
+        self.steps = int(self.size.max(initial=0))
+        self.active = np.searchsorted(-self.size, -np.arange(self.steps), "left").tolist()  # those of more than t words
+        # each word's place among (step, stretch)
+        piece = np.repeat(np.arange(len(self.size)), self.size)
+        t = np.arange(len(piece)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.place = np.empty(len(emission), np.int64)
+        self.place[start[piece] + t] = t * len(self.size) + piece
+        k = len(transition)
+        self.potential = np.ones((self.steps * len(self.size), k))
+        self.potential[self.place] = np.exp(emission - emission.max(axis=1, keepdims=True))
+        self.potential = self.potential.reshape(self.steps, len(self.size), k)
         self.step = np.exp(transition - transition.max())
-        self.length = len(emission)
 
     def _links(self) -> tuple[np.ndarray, np.ndarray]:
         """Messages that enter each stretch from the words before, and from those after."""
@@ -145,21 +172,24 @@ class Chains:
         if self.turn.max(initial=0) == 0:
             return into, back
         product = np.tile(np.eye(k), (s, 1, 1))
-        for t in range(len(self.active)):
-            a = int((self.size > t).sum())
-            m = product[:a] @ self.step * self.potential[self.start[:a] + t][:, None, :]
-            product[:a] = m / m.sum(axis=(1, 2), keepdims=True)
+        for t, a in enumerate(self.active):
+            m = (product[:a].reshape(-1, k) @ self.step).reshape(a, k, k)
+            m *= self.potential[t, :a, None, :]
+            if t % self.EVERY == 0:
+                m /= m.sum(axis=(1, 2), keepdims=True)
+            product[:a] = m
+        product /= product.sum(axis=(1, 2), keepdims=True)
         where = np.lexsort((self.turn, self.sequence))  # stretches in the order of their texts
         turn = self.turn[where]
         by_turn = np.argsort(turn, kind="stable")
         bounds = np.searchsorted(turn[by_turn], np.arange(turn.max() + 2))
         for j in range(1, len(bounds) - 1):
             at = by_turn[bounds[j] : bounds[j + 1]]
-            m = (into[where[at - 1]][:, None, :] @ product[where[at - 1]])[:, 0]
+            m = np.einsum("ni,nij->nj", into[where[at - 1]], product[where[at - 1]])
             into[where[at]] = m / m.sum(axis=1, keepdims=True)
         for j in range(len(bounds) - 2, 0, -1):
             at = by_turn[bounds[j] : bounds[j + 1]]
-            m = (product[where[at]] @ back[where[at]][:, :, None])[:, :, 0]
+            m = np.einsum("nij,nj->ni", product[where[at]], back[where[at]])
             back[where[at - 1]] = m / m.sum(axis=1, keepdims=True)
         return into, back
 
@@ -167,27 +197,30 @@ class Chains:
         """Each word's distribution over languages. pairs: gets the expected transitions added."""
         into, back = self._links()
         k = len(self.step)
-        forward, out = np.empty((self.length, k)), np.empty((self.length, k))
+        forward = np.empty_like(self.potential)
         message = into
-        for t in range(len(self.active)):
-            a = int((self.size > t).sum())
-            m = message[:a] @ self.step * self.potential[self.start[:a] + t]
-            message = m / m.sum(axis=1, keepdims=True)
-            forward[self.start[:a] + t] = message
+        for t, a in enumerate(self.active):
+            m = message[:a] @ self.step
+            m *= self.potential[t, :a]
+            if t % self.EVERY == 0:
+                m /= m.sum(axis=1, keepdims=True)
+            forward[t, :a] = message = m
+        out, turned = np.empty_like(forward), np.ascontiguousarray(self.step.T)
         message = back.copy()
-        for t in range(len(self.active) - 1, -1, -1):
-            a = int((self.size > t).sum())
-            at = self.start[:a] + t
-            own = forward[at] * message[:a]
-            out[at] = own / own.sum(axis=1, keepdims=True)
-            behind = self.potential[at] * message[:a]
+        for t in range(self.steps - 1, -1, -1):
+            a = self.active[t]
+            np.multiply(forward[t, :a], message[:a], out=out[t, :a])
+            behind = self.potential[t, :a] * message[:a]
             if pairs is not None:
-                before = into[:a] if t == 0 else forward[at - 1]
-                scale = np.einsum("ni,ij,nj->n", before, self.step, behind)
+                before = into[:a] if t == 0 else forward[t - 1, :a]
+                scale = ((before @ self.step) * behind).sum(axis=1)
                 pairs += self.step * ((before / scale[:, None]).T @ behind)
-            m = behind @ self.step.T
-            message[:a] = m / m.sum(axis=1, keepdims=True)
-        return out
+            m = behind @ turned
+            if t % self.EVERY == 0:
+                m /= m.sum(axis=1, keepdims=True)
+            message[:a] = m
+        found = out.reshape(-1, k)[self.place]
+        return found / (found @ np.ones(k))[:, None]
 
 
 class Model:
@@ -199,7 +232,8 @@ class Model:
     def word_weights(self, texts: list[bytes]) -> np.ndarray:
         out = [np.zeros((0, len(self.languages)))]
         for i in range(0, len(texts), 20_000):  # bounds the memory of the features
-            out.append(emissions(*word_features(texts[i : i + 20_000], self.lexicon), self.weights))
+            own = texts[i : i + 20_000]
+            out.append(emissions(*word_features(own, self.lexicon), self.weights, len(own)))
         return np.concatenate(out)
 
 
@@ -302,7 +336,7 @@ def fit(stretches: list[tuple[str, bytes]], languages: list[str], lexicon: np.nd
     bucket = (span_hash(data, ends - np.array([len(w) for w in distinct]), ends) >> _U(64 - 18)).astype(np.int64)
     rest = lexicon.copy()
     np.subtract.at(rest, (bucket[at], label), 1)
-    features, starts = word_features(distinct, np.maximum(rest, 0))
+    features, owner = word_features(distinct, np.maximum(rest, 0))
     weights, transition = np.zeros((FEATURES, k)), np.zeros((k, k))
     truth = np.eye(k)[label]
     inner = np.ones(len(label), bool)
@@ -311,13 +345,12 @@ def fit(stretches: list[tuple[str, bytes]], languages: list[str], lexicon: np.nd
     np.add.at(seen, (label[:-1][inner[1:]], label[1:][inner[1:]]), 1)
     seen += truth[first[:-1]].sum(axis=0) / k  # before a sequence stands any language alike
     squares, steps = np.full_like(weights, 1e-8), np.full_like(transition, 1e-8)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(starts))
     for _ in range(rounds):
         pairs = np.zeros((k, k))
-        own = emissions(features, starts, weights)
+        own = emissions(features, owner, weights, len(distinct))
         gap = truth - Chains(own[at], first, transition).posteriors(pairs)
         by_word = np.stack([np.bincount(at, gap[:, j], len(distinct)) for j in range(k)], axis=1)
-        gradient = np.stack([np.bincount(features, by_word[owner, j], FEATURES) for j in range(k)], axis=1) / len(label) - PENALTY * weights
+        gradient = np.stack([np.bincount(features, w.take(owner), FEATURES) for w in np.ascontiguousarray(by_word.T)], axis=1) / len(label) - PENALTY * weights
         squares += gradient * gradient
         weights += RATE * gradient / np.sqrt(squares)
         gradient = (seen - pairs) / len(label) - PENALTY * transition
@@ -359,9 +392,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             best, score = [], []
             for _, _, _, first, share in _labelled(own, batch.column(1), table):
                 n = np.diff(first)
-                mass = np.zeros((len(share) + 1, k))
-                np.cumsum(share, axis=0, out=mass[1:])
-                mean = (mass[first[1:]] - mass[first[:-1]]) / np.maximum(1, n)[:, None]
+                text = text_of(share, first)
+                mean = np.stack([np.bincount(text, share[:, j], len(n)) for j in range(k)], axis=1) / np.maximum(1, n)[:, None]
                 top = np.where(n > 0, mean.argmax(axis=1), k)
                 best.append(names[top])
                 score.append(np.where(n > 0, np.clip(mean.max(axis=1), 0.0, 1.0), 0.0))
