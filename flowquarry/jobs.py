@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquarry.functions import columns as C
@@ -15,6 +15,7 @@ from flowquarry.queries import SINGLE_SQL, _number_text, query, r6, single
 from flowquarry.schema import CLASSES
 from flowquarry.sources import flows as S
 from flowquarry.streaming import segments as G
+from flowquarry.streaming import source as N
 
 CSV_COLUMNS = ["flow_id", "source_ip", "flow_duration", "packets", "label"]
 
@@ -305,8 +306,8 @@ def stream_session_counts(s, d):
 NEED = ["flow_duration", "packets"]
 
 
-def _scoring_stream(s, d) -> str:
-    f = V.stored_flows(s, d).select(F.col("flow_id"), _number_text().alias("Flow Duration"), F.col("packets").cast("string").alias("Packets"))
+def _scoring_stream(s, d, only: str = "true") -> str:
+    f = V.stored_flows(s, d).select(F.col("flow_id"), _number_text().alias("Flow Duration"), F.col("packets").cast("string").alias("Packets")).where(only)
     label = F.when(F.col("flow_id") % 3 == 0, "DDoS").otherwise("Normal")
     scorer = lambda df: df.select(F.col("flow_id").alias("prediction_id"), label.alias("predicted_label"), F.lit(0.9).alias("confidence"), F.lit(None).cast("timestamp").alias("prediction_time"), "capture_session_id")
     path = new_folder(s, "run")
@@ -328,3 +329,56 @@ def stream_score(s, d):
 @query("select 'session-1' as capture_session_id, count(*) filter (flow_id % 9 not in (3, 4)) as scored, count(*) filter (flow_id % 9 in (3, 4)) as rejected, 'failed' as status from stored")
 def stream_session_status(s, d):
     return G.session_status(s, _scoring_stream(s, d))
+
+
+@query("select 'session-1' as capture_session_id, count(*) as scored, 0::bigint as rejected, 'completed' as status from stored where flow_id % 9 not in (3, 4)")
+def stream_session_completed(s, d):
+    """A session without rejects."""
+    return G.session_status(s, _scoring_stream(s, d, "flow_id % 9 not in (3, 4)"))
+
+
+@query(
+    "select count(*) as extracted, count(*) filter (flow_id % 9 not in (3, 4)) as scored, count(*) filter (flow_id % 9 in (3, 4)) as rejected, count(*) filter (flow_id % 9 not in (3, 4) and flow_id % 3 <> 0) as normal,"
+    " count(*) filter (flow_id % 9 not in (3, 4) and flow_id % 3 = 0) as ddos, 0::bigint as portscan from stored"
+)
+def stream_counters(s, d):
+    """Counters that were observed while the stream wrote its rows."""
+    return G.observed_counters(s, _scoring_stream(s, d))
+
+
+@query(
+    "select concat('segment-', lpad((2 - flow_id % 3)::varchar, 6, '0'), '.csv') as segment, row_number() over (partition by flow_id % 3 order by flow_id) - 1 as segment_row, flow_id,"
+    " count(*) over (order by 2 - flow_id % 3, flow_id) - 1 as place from stored"
+)
+def stream_segments_by_name(s, d):
+    """Segments in the order of their names, which is not that of their writing, with each row's number in its file."""
+    base, f = new_folder(s, "named"), V.stored_flows(s, d).select("flow_id", "packets")
+    for k in range(3):
+        part = f.where(F.col("flow_id") % 3 == k)
+        S.write_segment(part, f"{base}/in", f"segment-{2 - k:06d}.csv", "flow_id")
+    stream = N.by_name(s, f"{base}/in", ["flow_id", "packets"], "session-1")
+    out = G.drain(stream, f"{base}/out", f"{base}/ck")
+    # seq tells the order; places are counted per segment and added up
+    before = out.groupBy(F.col("segment").alias("_s")).agg(F.count("*").alias("_n"))
+    before = before.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_before"))  # one row a segment
+    rows = out.join(before, F.col("segment") == F.col("_s"))
+    return rows.select("segment", "segment_row", F.col("flow_id").cast("long").alias("flow_id"), (F.col("_before") + F.col("seq") % (1 << 32)).alias("place"))
+
+
+@query(
+    "select 1 - flow_id % 2 as capture, row_number() over (partition by flow_id % 2 order by flow_id) - 1 as row_seq, flow_id, concat(flow_id % 10, case when flow_id % 4 < 2 then 'd' else 'f' end) as code,"
+    " case when flow_id % 5 = 0 then 'nan' when flow_id % 5 = 1 then 'inf' when flow_id % 5 = 2 then 'blank' else 'number' end as kind, case when flow_id % 5 > 2 then flow_id / 4 end as amount from stored"
+)
+def csv_numbers(s, d):
+    """A column of texts that a lenient reader takes for numbers stays text; row numbers are those of the file."""
+    f = V.stored_flows(s, d).select("flow_id")
+    i = F.col("flow_id")
+    amount = F.when(i % 5 == 0, "NaN").when(i % 5 == 1, "inf").when(i % 5 == 2, " ").otherwise((i / 4).cast("string"))
+    f = f.select(i, F.concat((i % 10).cast("string"), F.when(i % 4 < 2, "d").otherwise("f")).alias("code"), amount.alias("amount"))
+    base = new_folder(s, "numbers")
+    for k in (1, 0):
+        S.write_segment(f.where(i % 2 == k), f"{base}/{1 - k}", "flows.csv", "flow_id")
+    rows = S.scan_csv(s, [f"{base}/0", f"{base}/1"])
+    a = F.col("amount")
+    kind = F.when(a.isNull(), "blank").when(F.isnan(a), "nan").when(F.abs(a) == float("inf"), "inf").otherwise("number")
+    return rows.select(F.col("file_pos").cast("long").alias("capture"), "row_seq", F.col("flow_id").cast("long").alias("flow_id"), "code", kind.alias("kind"), C.finite("amount").alias("amount"))

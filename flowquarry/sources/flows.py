@@ -5,14 +5,15 @@ from __future__ import annotations
 import csv
 import json
 import re
+import uuid
 from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowquarry.functions.columns import finite, normalize_name, normalize_python
+from flowquarry.functions.columns import finite, normalize_name, normalize_python, number_error
 
 
 def files_of(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
@@ -53,18 +54,30 @@ def _mangled(names: list[str]) -> list[str]:
 
 
 def text_columns(raw: DataFrame, names: list[str]) -> set[str]:
-    """Columns that hold a text which is neither blank nor a number, anywhere in the files."""
-    odd = lambda c: F.coalesce((F.trim(c) != "") & F.trim(c).try_cast("double").isNull(), F.lit(False))
-    row = raw.agg(*[F.max(odd(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
+    """Columns that hold a text which is neither blank nor a number, anywhere in the files. `1d` and `2f` are texts; `nan` and `inf` are numbers."""
+    row = raw.agg(*[F.max(number_error(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(names)]).first()
     return {c for i, c in enumerate(names) if row[i]}
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of a file scan (file_path, block_start, and _id from monotonically_increasing_id) with row_seq, the row's number in its file from 0.
+
+    A block is read in one stretch, so a row's number in its block is a difference of ids. Rows are counted per block, and the blocks before are
+    added up: the number is the same however the files are cut. The scan is read twice.
+    """
+    blocks = rows.groupBy(F.col("file_path").alias("_f"), F.col("block_start").alias("_b")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    met = rows.join(blocks, (F.col("file_path") == F.col("_f")) & (F.col("block_start") == F.col("_b")))
+    return met.withColumn("row_seq", F.col("_id") + F.col("_shift")).drop("_f", "_b", "_shift", "_id")
+
+
 def scan_csv(spark: SparkSession, paths: list[str], numeric: bool = True, text: set[str] | None = None) -> DataFrame:
-    """Flow CSVs as one table with source_file and the row order (file_pos, file_path, block_start, row_seq).
+    """Flow CSVs as one table with source_file and the row order (file_pos, file_path, row_seq), which no cut of the files changes.
 
     Headers are compared after normalisation and must agree, in order. With `numeric`, columns of numbers become
-    doubles and all others stay text; which these are is found in a pass over all files, unless `text` names them.
-    row_seq orders the rows of a block within one run; `ingest` writes the order once for later runs.
+    doubles and all others stay text; which these are is found in a pass over all files, unless `text` names them. In a column
+    that `text` does not name, what is no number is null.
     """
     if not paths:
         raise ValueError("at least one file is needed")
@@ -81,15 +94,16 @@ def scan_csv(spark: SparkSession, paths: list[str], numeric: bool = True, text:
     if numeric and text is None:
         text = text_columns(raw, columns)
     meta = raw.metadataColumn("_metadata")
-    typed = [F.col(f"`{c}`") if not numeric or c in text else F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) for c in columns]
-    out = raw.select(*typed, meta["file_name"].alias("source_file"), meta["file_path"].alias("file_path"), meta["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("row_seq"))
+    number = lambda c: F.when(~number_error(c), F.trim(c).try_cast("double"))
+    typed = [F.col(f"`{c}`") if not numeric or c in text else number(F.col(f"`{c}`")).alias(c) for c in columns]
+    rows = raw.select(*typed, meta["file_name"].alias("source_file"), meta["file_path"].alias("file_path"), meta["file_block_start"].alias("block_start"), F.monotonically_increasing_id().alias("_id"))
     # the two ways of naming a local file differ in the slashes after its scheme
     order = spark.createDataFrame([(re.sub("^file:/+", "file:/", f), i) for i, f in files_of(spark, paths)], "_file string, file_pos int")
-    return out.join(order, F.regexp_replace("file_path", "^file:/+", "file:/") == F.col("_file"), "left").drop("_file")
+    return numbered(rows).join(order, F.regexp_replace("file_path", "^file:/+", "file:/") == F.col("_file"), "left").drop("_file")
 
 
 def ingest(spark: SparkSession, paths: list[str], folder: str, **options) -> DataFrame:
-    """scan_csv, written once: the row order is stored with the rows, so every later scan has the same."""
+    """scan_csv, written once, so that later scans need no pass for kinds and numbers."""
     scan_csv(spark, paths, **options).write.parquet(folder)
     return spark.read.parquet(folder)
 
@@ -143,3 +157,16 @@ def write_scored(scored: DataFrame, path: str, batch_id: int) -> None:
     """One wide batch, whole or not at all: its partition is replaced, so a repeated batch changes nothing."""
     out = scored.withColumn("batch_id", F.lit(batch_id))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def write_segment(df: DataFrame, folder: str, name: str, by: str) -> None:
+    """df as one CSV file with a header, in the order of `by`: a segment, whose size a capture bounds. It is written aside and moved into place whole."""
+    spark, aside = df.sparkSession, f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    df.coalesce(1).sortWithinPartitions(by).write.option("header", True).csv(aside)
+    made = spark.read.text(aside).inputFiles()[0]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(conf)
+    system.mkdirs(place)
+    if not system.rename(jvm.org.apache.hadoop.fs.Path(unquote(made)), jvm.org.apache.hadoop.fs.Path(folder, name)):
+        raise OSError(f"{name} can't be moved to {folder}")

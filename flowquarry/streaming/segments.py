@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import json
+import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -20,7 +23,7 @@ from flowquarry.schema import CLASSES
 def read_segments(spark: SparkSession, folder: str, schema: T.StructType, session: str, kind: str = "csv", per_batch: int = 1) -> DataFrame:
     """New files of the folder in batches, with session and segment; nothing of these becomes a feature.
 
-    The file source orders by modification time, so segments should be moved in whole and one after another.
+    The file source orders by modification time, so segments should be moved in whole and one after another; `source.by_name` goes by name.
     A CSV segment whose header is missing or differs from the schema ends the stream with an error; a byte order mark is dropped.
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
@@ -98,31 +101,69 @@ def session_counts(predictions: DataFrame, session: str) -> DataFrame:
     return predictions.groupBy(session).agg(F.count("*").alias("n"), F.count_if(F.col("predicted_label") != "Normal").alias("attacks"))
 
 
+RECORD = "batch_id long, threshold double, kind string, folder string, columns string, n long, normal long, ddos long, portscan long"
+
+
 def score_batches(
-    stream: DataFrame, required: list[str], scorer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keep: tuple[str, ...], threshold: float = 0.7
+    stream: DataFrame, required: list[str], scorer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keep: tuple[str, ...], threshold: float = 0.7, retries: int = 2, pause: float = 1.0
 ) -> StreamingQuery:
-    """Adapt, score and store each micro-batch under batch_id: rejects, scored rows, and alerts that follow from these.
+    """Adapt, score and store each micro-batch: rejects, scored rows, and alerts that follow from these.
 
-    A batch that runs again replaces its own partitions, so retries leave each row once; a batch that fails
-    leaves no partition that readers take for whole, as its commit comes last.
+    A try of a batch writes folders of its own. The batch's record, written last, names them with their columns, row counts and counts by
+    class, which are observed while the rows are written; readers open what records name and nothing else. A batch that fails
+    is tried again up to `retries` times, after pauses that double; the stream ends with the last error. A batch that runs again
+    after its record was written replaces the record.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()  # read for the rejects and for the scores
-        good, bad = adapt.split_rejects(adapt.adapt(batch, required, keep=keep))
-        put = lambda df, name: df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
-        put(bad.select(*keep, "reject_reason"), "rejects")
-        put(scorer(good), "scored")
-        spark.createDataFrame([(batch_id, threshold)], "batch_id int, threshold double").write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            good, bad = adapt.split_rejects(adapt.adapt(batch, required, keep=keep))
+            record = []
+            for kind, make in (("rejects", lambda: bad.select(*keep, "reject_reason")), ("scored", lambda: scorer(good))):
+                rows = make()
+                said = F.col("predicted_label") if kind == "scored" else F.lit("")
+                seen, folder = Observation(), f"{path}/{kind}/batch-{batch_id}-{uuid.uuid4().hex}"
+                counts = [F.count_if(said == c).alias(c.lower()) for c in CLASSES]
+                rows.withColumn("batch_id", F.lit(batch_id).cast("long")).observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.parquet(folder)
+                found = seen.get
+                record.append((batch_id, threshold, kind, folder, T.StructType([*rows.schema.fields]).add("batch_id", "long").json(), *(found[c] for c in ("n", *(c.lower() for c in CLASSES)))))
+            spark.createDataFrame(record, RECORD).coalesce(1).write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    def tried(batch: DataFrame, batch_id: int) -> None:
+        for turn in range(retries + 1):
+            try:
+                return write(batch, batch_id)
+            except Exception:
+                if turn == retries:
+                    raise
+                time.sleep(pause * 2**turn)
+
+    return stream.writeStream.foreachBatch(tried).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """What whole batches hold: a row a batch and kind."""
+    return spark.read.schema(RECORD).parquet(f"{path}/records")
 
 
 def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Rows of whole batches."""
-    done = spark.read.parquet(f"{path}/commits").select("batch_id")
-    return spark.read.parquet(f"{path}/{name}").join(done, "batch_id", "left_semi")
+    """Rows of whole batches, in the columns that were stored; none, if no batch has any."""
+    own = records(spark, path).where(F.col("kind") == name).orderBy("batch_id").collect()  # one row a batch
+    if not own:
+        raise ValueError(f"no batch of {path} is whole")
+    schema = T.StructType.fromJson(json.loads(own[-1]["columns"]))
+    folders = [r["folder"] for r in own if r["n"]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def observed_counters(spark: SparkSession, path: str) -> DataFrame:
+    """One row of counters, from the records alone: extracted, scored, rejected and the scored rows by class."""
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    scored, rejected = of("scored", "n"), of("rejects", "n")
+    return records(spark, path).agg((scored + rejected).alias("extracted"), scored.alias("scored"), rejected.alias("rejected"), *[of("scored", c.lower()).alias(c.lower()) for c in CLASSES])
 
 
 def session_status(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +175,8 @@ def session_status(spark: SparkSession, path: str) -> DataFrame:
 
 def alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of whole batches, by the threshold that each was scored with."""
-    done = spark.read.parquet(f"{path}/commits").select("batch_id", "threshold")
-    return store.alerts_from(spark.read.parquet(f"{path}/scored").join(done, "batch_id"), F.col("threshold"))
+    done = records(spark, path).where("kind = 'scored'").select("batch_id", "threshold")
+    return store.alerts_from(committed(spark, path, "scored").join(done, "batch_id"), F.col("threshold"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
