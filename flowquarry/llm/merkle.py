@@ -19,7 +19,7 @@ table gives no rows and no root. Texts of any length are one leaf each. Extra co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowquarry.llm.stage import settled
+from flowquarry.llm.textcore import giving_back
 
 FAN, HEIGHT = 8, 4
 CAPACITY = FAN**HEIGHT
@@ -107,14 +108,38 @@ def fold(leaf: str, path: list[str]) -> str:
     return leaf
 
 
-def _field(value: Column) -> Column:
-    text = value.cast("string")
-    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+def _head(values: tuple[str | None, ...]) -> bytes:
+    return b"".join(b"-" if v is None else b"%d:%s" % (len(v.encode()), v.encode()) for v in values)
 
 
-def leaf_digest(docs: DataFrame, changed: dict[str, Column] | None = None) -> Column:
-    """The leaf of each row; `changed` has other values for some fields."""
-    return F.sha2(F.concat(*[_field((changed or {}).get(c, docs[c])) for c in FIELDS]).cast("binary"), 256)
+def leaf(head: bytes, text: memoryview | bytes | None) -> str:
+    """The digest of a row: the fields before the text, as they are written, and the text."""
+    h = hashlib.sha256(head)
+    if text is None:
+        h.update(b"-")
+    else:
+        h.update(b"%d:" % len(text))
+        h.update(text)
+    return h.hexdigest()
+
+
+def leaf_table(docs: DataFrame, is_tampered: Column, tamper: Callable[[bytes], bytes]) -> DataFrame:
+    """(g, doc_id, digest, other): group, id and leaf of each row, and the leaf of its tampered text where `is_tampered` holds, else the leaf again."""
+    g = F.coalesce(F.concat(F.lit("1"), docs["lang"].cast("string")), F.lit("0"))  # sorts as null first, then by bytes
+    heads = [docs[c].cast("string").alias(f"_{i}") for i, c in enumerate(FIELDS[:-1])]
+    rows = docs.select(g.alias("g"), docs["doc_id"].cast("long").alias("doc_id"), *heads, docs["text"].cast("string").alias("_text"), F.coalesce(is_tampered, F.lit(False)).alias("_tampered"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").cast(pa.large_binary())
+            own, other = [], []
+            for i, (*head, tampered) in enumerate(zip(*(batch.column(f"_{k}").to_pylist() for k in range(len(FIELDS) - 1)), batch.column("_tampered").to_pylist())):
+                first, text = _head(tuple(head)), texts[i].as_buffer() if texts[i].is_valid else None
+                own.append(leaf(first, None if text is None else memoryview(text)))
+                other.append(leaf(first, tamper(text.to_pybytes())) if tampered and text is not None else own[-1])
+            yield pa.record_batch([batch.column("g"), batch.column("doc_id"), pa.array(own, pa.string()), pa.array(other, pa.string())], names=["g", "doc_id", "digest", "other"])
+
+    return rows.mapInArrow(giving_back(run), "g string, doc_id long, digest string, other string")
 
 
 def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -131,7 +156,7 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], names=[*batch.schema.names, "_part", "_at"])
 
     schema = T.StructType([*rows.schema.fields]).add("_part", "integer").add("_at", "long")
-    sorted_ = settled(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(number, schema))
+    sorted_ = settled(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(giving_back(number), schema))
     counts = sorted_.groupBy("_part", group).agg(F.count("*").alias("_own"))
     own = Window.partitionBy(group)
     before = F.coalesce(F.sum("_own").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -190,7 +215,7 @@ def contexts(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
     alone = [t.where(F.col("n") <= CAPACITY).select("g", "block").join(above, "g") for t in tiers]
     found = alone[-1]
     for tier, own in zip(tiers[:0:-1], alone[-2::-1]):
-        found = own.unionByName(tier.join(found, ["g", "block"]).mapInArrow(_spread, _ABOVE))
+        found = own.unionByName(tier.join(found, ["g", "block"]).mapInArrow(giving_back(_spread), _ABOVE))
     return found
 
 
@@ -208,7 +233,7 @@ def proofs(leaves: DataFrame, extra: str) -> DataFrame:
     top = forest(tops.select(F.col("all").alias("g"), "rank", "n", "digest"))
     one = roots(top).first()
     nothing = spark.createDataFrame([("", [])], "g string, above array<string>")
-    beside = top[0].join(contexts(top, nothing), ["g", "block"]).mapInArrow(_spread, _ABOVE).select(F.col("block").alias("rank"), "above")
+    beside = top[0].join(contexts(top, nothing), ["g", "block"]).mapInArrow(giving_back(_spread), _ABOVE).select(F.col("block").alias("rank"), "above")
     own = tiers[0].join(contexts(tiers, tops.select("g", "rank").join(beside, "rank").select("g", "above")), ["g", "block"])
     own = own.join(groups.withColumnRenamed("root", "subroot"), "g").drop("root")
 
@@ -228,14 +253,10 @@ def proofs(leaves: DataFrame, extra: str) -> DataFrame:
     return found.withColumn("root", F.lit(one["root"] if one else None).cast("string"))
 
 
-def audit(docs: DataFrame, is_tampered: Column, tampered_text: Column) -> DataFrame:
+def audit(docs: DataFrame, is_tampered: Column, tamper: Callable[[bytes], bytes]) -> DataFrame:
     """Per row: doc_id, leaf, subroot, root, proof_sha256, folded_root and verified.
 
-    Rows that `is_tampered` picks (null: not) fold their path from a leaf with `tampered_text` in place of their text.
+    Rows that `is_tampered` picks (null: not) fold their path from a leaf of `tamper(text)` in place of their text; a null text stays.
     """
-    g = F.coalesce(F.concat(F.lit("1"), docs["lang"].cast("string")), F.lit("0"))  # sorts as null first, then by bytes
-    leaf = leaf_digest(docs)
-    other = F.when(is_tampered, leaf_digest(docs, {"text": tampered_text})).otherwise(leaf)
-    leaves = settled(docs.select(g.alias("g"), docs["doc_id"].cast("long").alias("doc_id"), leaf.alias("digest"), other.alias("other")))
-    found = proofs(leaves, "doc_id long").withColumnRenamed("digest", "leaf")
+    found = proofs(settled(leaf_table(docs, is_tampered, tamper)), "doc_id long").withColumnRenamed("digest", "leaf")
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
