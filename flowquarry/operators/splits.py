@@ -19,8 +19,7 @@ def shuffle_key(key: str, seed: int = SEED) -> Column:
 def ranked(df: DataFrame, label: str, key: str, seed: int = SEED) -> DataFrame:
     """Add rank_in_class (from 0) in the shuffled order and n_class; a class may hold nearly all rows."""
     shuffled = shuffle_key(key, seed)
-    # the first hex digits of the hash follow its order, so they cut a class into even buckets
-    return ranks.ranked(df, [q(label)], F.substring(shuffled, 1, 3), [shuffled, q(key)], "rank_in_class", "n_class")
+    return ranks.ranked(df, [q(label)], [shuffled, q(key)], "rank_in_class", "n_class")
 
 
 def quotas(df: DataFrame, label: str, take: Column) -> DataFrame:
@@ -61,8 +60,7 @@ def blocks(df: DataFrame, label: str, order: str, size: int, fraction: float = 0
     """
     if not 0 < fraction < 1 or size < 1:
         raise ValueError("fraction must lie between 0 and 1 and the block size must be positive")
-    wide, bucket = ranks.even_buckets(df, order)
-    out = ranks.ranked(wide, [q(file_col), q(label)], bucket, [q(order)], "_rank", "_n").drop("_low", "_high")
+    out = ranks.ranked(df, [q(file_col), q(label)], [q(order)], "_rank", "_n")
     edge = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(1.0 - fraction)))
     whole = F.ceil(F.col("_n") / F.lit(float(size)))
     block = F.when(whole == 1, (F.col("_rank") >= edge).cast("long")).otherwise(F.floor(F.col("_rank") / F.lit(float(size))))

@@ -90,6 +90,21 @@ def test_split_does_not_depend_on_partitions(spark):
     assert max(column(folds, "d")) <= 1
 
 
+def test_ranks_with_one_far_value_and_one_large_group(spark):
+    from flowquarry.operators import ranks
+
+    rows = [("big", i * 7 % 5000, i) for i in range(5000)] + [("big", 10**15, -1), (None, 3, -2), (None, 1, -3), ("one", None, -4)]
+    df = spark.createDataFrame(rows, "g string, v long, id long").repartition(6)
+    out = ranks.ranked(df, [F.col("g")], [F.col("v")], "rank", "n")
+    got = {(r["g"], r["v"]): (r["rank"], r["n"]) for r in out.collect()}
+    assert len(got) == 5004 and all(got["big", v] == (v, 5001) for v in range(5000)) and got["big", 10**15] == (5000, 5001)
+    assert got[None, 1] == (0, 2) and got[None, 3] == (1, 2) and got["one", None] == (0, 1)
+    assert ranks.ranked(df.limit(0), [F.col("g")], [F.col("v")], "rank", "n").isEmpty()
+    # the large group is spread evenly over the tasks that sort it
+    sizes = df.repartitionByRange(4, "g", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2500
+
+
 @pytest.mark.parametrize("size", [5, 100])
 def test_blocks(spark, size):
     rows = [(f"c{k}.csv", c, i + 1000 * k) for k, c in enumerate(CLASSES) for i in range(30)]
