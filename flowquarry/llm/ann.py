@@ -14,7 +14,9 @@ few lists change. Vectors travel whole, as floats where that loses nothing, and
 
 Searching. A query holds a pool of the `width` best nodes it has seen. Each step joins its best nodes not yet
 opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the best,
-until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own.
+until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own. As a fixed width
+finds less the more nodes there are, recall is measured in the run: a fixed number of queries is compared with all nodes, and while their
+pools hold too few of the best nodes, all pools are widened twofold and the search goes on.
 
 Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the method
 does, so a hub is no hot key. Nothing is collected but a fixed number of vectors for the planes; rounds are written
@@ -37,6 +39,8 @@ DEGREE, JOINED, REVERSE, ROUNDS = 24, 12, 8, 40
 WIDTH, OPENED, STEPS = 32, 16, 100
 #: Rounds and steps end when at most this share of all lists' or pools' entries is new; ROUNDS and STEPS only bound them.
 DONE = 0.02
+#: The pools are widened until this share of the best nodes of HELD queries (against all nodes) is in them; WIDEST only bounds the width.
+TARGET, HELD, WIDEST = 0.91, 100, 1 << 14
 #: Rough blocks: how often nodes are dealt into blocks of about BLOCK, and how many a node keeps of each of its blocks.
 TREES, BLOCK, FIRST, PLANES = 28, 1024, 10, 24
 #: The two orders of a node's lists.
@@ -233,8 +237,8 @@ def _score(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "query long, node long, score double")
 
 
-def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int = WIDTH, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
-    """(query, node, score): the pool of each query (query, qvec, start) after greedy search."""
+def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int = WIDTH, opened: int = OPENED, steps: int = STEPS, pool: DataFrame | None = None) -> DataFrame:
+    """(query, node, score): the pool of each query (query, qvec, start) after greedy search, which goes on from the nodes of `pool`, if that is given."""
     vec = distinct.withColumnRenamed("node", "_node")
     edges = graph.withColumnRenamed("node", "_from")
 
@@ -243,7 +247,8 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
         return _score(met.join(queries.select(F.col("query").alias("_q"), "qvec"), F.col("query") == F.col("_q")).select("query", "node", "qvec", "vec"))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    pool = settled(scored(queries.select("query", F.col("start").alias("node"))).withColumn("open", F.lit(True)))
+    first = scored(queries.select("query", F.col("start").alias("node"))) if pool is None else pool
+    pool = settled(first.withColumn("open", F.lit(True)))
     for _ in range(steps):
         turn = pool.withColumn("n", F.row_number().over(Window.partitionBy("query", "open").orderBy(F.desc("score"), "node")))
         now = F.col("open") & (F.col("n") <= opened)
@@ -258,14 +263,53 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
     return pool.select("query", "node", "score")
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
+def best_nodes(queries: DataFrame, distinct: DataFrame, k: int, sample: int) -> DataFrame:
+    """(query, least): the score of the k-th best node (the query's own left out) of at most `sample` queries, against all nodes."""
+    own = queries.orderBy(F.xxhash64("query"), "query").limit(sample).select("query", "start", "qvec").collect()  # a fixed number of rows
+    if not own:
+        return queries.select("query", F.lit(0.0).alias("least"), F.lit(0).alias("k")).limit(0)
+    asked = np.array([r["qvec"] for r in own], float)
+    starts = np.array([r["start"] for r in own], np.int64)
+    names = np.array([r["query"] for r in own], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(names), k), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                found = asked @ _matrix(batch.column(1)).T
+                found[starts[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+                best = -np.sort(-np.concatenate([best, found], axis=1), axis=1)[:, :k]
+        ok = np.isfinite(best)
+        yield pa.record_batch([pa.array(np.repeat(names, ok.sum(axis=1))), pa.array(best[ok])], names=["query", "score"])
+
+    met = distinct.select("node", "vec").mapInArrow(run, "query long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    return met.withColumn("n", rank).where(F.col("n") <= k).groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("k"))
+
+
+def recall(pool: DataFrame, queries: DataFrame, least: DataFrame) -> float:
+    """The share of the sampled queries' best nodes that their pools hold; 1 if nothing was sampled."""
+    # scores are added up in another order here and there
+    near = pool.join(queries.select(F.col("query").alias("_q"), "start"), F.col("query") == F.col("_q")).where(F.col("node") != F.col("start"))
+    hits = near.join(least, "query").where(F.col("score") >= F.col("least") - F.abs("least") * 1e-12 - 1e-300).groupBy("query").agg(F.count("*").alias("n"))
+    one = least.join(hits, "query", "left").agg(F.sum(F.least(F.coalesce("n", F.lit(0)), F.col("k"))).alias("found"), F.sum("k").alias("all")).first()
+    return one["found"] / one["all"] if one["all"] else 1.0
+
+
+def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", width: int = WIDTH, target: float = TARGET, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of `table` that `is_query` (on column id) picks, itself left out."""
     rows = settled(vectors(table, id_col, vec_col))
     distinct, members = nodes(rows, k + 1)
     graph = settled(build(distinct, **options))
     asked = rows.where(is_query).groupBy("id", "vec").count().select("id", "vec")
     queries = settled(asked.join(distinct.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select(F.col("id").alias("query"), F.col("vec").alias("qvec"), F.col("node").alias("start")))
-    pool = search(queries, distinct, graph, max(WIDTH, k + 12))
+    width = max(width, k + 12)
+    pool = search(queries, distinct, graph, width)
+    least = settled(best_nodes(queries, distinct, k, HELD))
+    most = min(WIDEST, distinct.count())
+    while width < most and recall(pool, queries, least) < target:
+        width *= 2
+        pool = search(queries, distinct, graph, width, width // 2, pool=pool)
     # nodes that the k + 1 members of better ones leave no place for go before members are put back; ties stay
     held = pool.join(members.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m")).select("query", "score", "ids", F.size("ids").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score"))) - F.sum("n").over(Window.partitionBy("query", "score"))

@@ -157,11 +157,11 @@ def test_nearest_edges(spark):
     assert ann.nearest(empty, F.col("id") % 20 == 0).isEmpty()
 
 
-def _recall(spark, v, k=20):
+def _recall(spark, v, k=20, **options):
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     hits, asked = 0, range(0, len(v), 20)
     bar = {q: np.sort(np.delete(v @ v[q], q))[-k] for q in asked}
-    for r in ann.nearest(table, F.col("id") % 20 == 0, k=k).collect():
+    for r in ann.nearest(table, F.col("id") % 20 == 0, k=k, **options).collect():
         hits += r["score"] >= bar[r["query_id"]] - 1e-13 * abs(bar[r["query_id"]])
     return hits / (k * len(asked))
 
@@ -182,6 +182,14 @@ def test_nearest_of_near_equal_and_large_vectors(spark, kind):
     assert _recall(spark, v) >= 0.9
 
 
+def test_pools_widen_until_recall_holds(spark):
+    """A graph that is too thin for its nodes: the first search finds too few, and measures so."""
+    v = np.random.default_rng(6).standard_normal((3000, 48))
+    thin = {"degree": 6, "joined": 4, "reverse": 4, "trees": 3, "rounds": 3}
+    assert _recall(spark, v, **thin, target=0.0) < 0.85
+    assert _recall(spark, v, **thin) >= 0.88  # the held queries' share is at least 0.91; these are all queries
+
+
 def test_nearest_needs_one_length(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
