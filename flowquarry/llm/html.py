@@ -5,8 +5,9 @@ between blocks leave empty lines. Menus, headers, footers, sidebars, notices, ad
 scripts and styles count as markup. Text lengths are summed over sliding windows of `WINDOW` lines. A surge
 point is where the sum rises from nothing, a dive point where it falls back to nothing; the text between them
 is a stretch. Dense stretches are those whose largest sum is at least `SHARE` of the page's largest. The region
-goes from the first dense stretch's surge to the last one's dive, and starts at the nearest h1 before it if
-there is one; every stretch between is kept, however short, and nothing in the region is dropped.
+goes from the first dense stretch's surge to the last one's dive; thin stretches next to it that are all paragraphs of sentences belong to it, and it
+starts at the nearest h1 (h2, if there is none) before it; every stretch between is kept, however short, and nothing in the region is
+dropped. Ends that may be left out (p, li, dd, dt, td, th, tr, option) are filled in.
 
 An article element (main, where there is none) is a prior: where its text is no less than that of the region that line
 blocks find outside it, its lines weigh `PRIOR` times as much in the sums, all of them are kept, and of the lines
@@ -34,6 +35,13 @@ PRIOR = 20
 #: Elements that hold no article text, inline elements, and words of class, id or role that mark other page parts.
 DROPPED = frozenset("head script style noscript template svg math iframe object canvas nav footer aside form button select textarea dialog menu audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Elements whose end may be left out, and those whose start ends them.
+_CELLS = frozenset("td th tr tbody tfoot".split())
+ENDS_WITH = {
+    "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
+    "li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "option": frozenset({"option", "optgroup"}),
+    "td": _CELLS, "th": _CELLS, "tr": frozenset({"tr", "tbody", "tfoot"}),
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OTHER_PARTS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login "
@@ -41,6 +49,8 @@ OTHER_PARTS = frozenset(
     "sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert search contentinfo complementary".split()
 )
 COMMENT_PARTS = frozenset("comment comments disqus replies reply".split())
+#: Endings that make one word with the name of a part, as in commentlist.
+ENDINGS = frozenset("s list lists box area wrap wrapper container section block form bar item items unit slot panel inner holder group feed thread row".split())
 MAIN_PARTS = frozenset("article body content entry main page post story text".split())
 
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -63,17 +73,22 @@ def _part_words(attributes: str) -> set[str] | None:
     return words
 
 
+def _named(words: set[str], parts: frozenset[str]) -> bool:
+    """Whether a word names one of the parts, alone or with an ending; names of under 6 letters only alone."""
+    return bool(words & parts) or any(w[:n] in parts and w[n:] in ENDINGS for w in words for n in range(6, len(w)))
+
+
 def _is_other(name: str, attributes: str, depth: int) -> tuple[bool, bool]:
     """Whether an element is no part of the article, and whether it holds comments."""
     if name in ("html", "body", "main"):
         return False, False
     words = _part_words(attributes) if attributes else set()
-    comments = bool(words and words & COMMENT_PARTS)
+    comments = bool(words and _named(words, COMMENT_PARTS))
     if name == "article":  # a reader's comment may be an article inside the article
         return comments and depth > 0, comments
     if name in DROPPED or name == "header" or words is None:
         return True, comments
-    return bool(words & OTHER_PARTS) and not words & MAIN_PARTS, comments
+    return _named(words, OTHER_PARTS) and not words & MAIN_PARTS, comments
 
 
 def _holds_article(name: str, mains: int, held: int, titles: int, articles: int, depth: int) -> bool:
@@ -134,8 +149,8 @@ def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
     return out
 
 
-def _partners(tags: list) -> list[int | None]:
-    """The tag that closes each element."""
+def _partners(tags: list) -> tuple[list[int | None], list[int | None]]:
+    """The tag that closes each element, and the tag before which it ends where its own end may be left out and is."""
     opened: dict[str, list[int]] = {}
     out: list[int | None] = [None] * len(tags)
     for j, (_, _, name, closes, _) in enumerate(tags):
@@ -143,7 +158,23 @@ def _partners(tags: list) -> list[int | None]:
             opened.setdefault(name, []).append(j)
         elif opened.get(name):
             out[opened[name].pop()] = j
-    return out
+    implied: list[int | None] = [None] * len(tags)
+    waiting: list[int] = []  # open elements of this kind, an end of one that holds others ends them too
+    for j, (_, _, name, closes, _) in enumerate(tags):
+        if not name or name in INLINE or name in VOID and name != "hr":
+            continue
+        while waiting:
+            last = waiting[-1]
+            own = tags[last][2]
+            if closes and name == own:
+                waiting.pop()
+            elif (name in ENDS_WITH[own]) if not closes else out[last] is None and name not in ENDS_WITH:
+                implied[waiting.pop()] = j
+                continue
+            break
+        if not closes and name in ENDS_WITH:
+            waiting.append(j)
+    return out, [i if x is None else None for i, x in zip(implied, out)]
 
 
 def _upto(tags: list, name: str) -> list[int]:
@@ -151,19 +182,27 @@ def _upto(tags: list, name: str) -> list[int]:
     return list(itertools.accumulate((t[2] == name and not t[3] for t in tags), initial=0))
 
 
-def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """The page's lines, which of them lie in an article element, and which in an h1."""
+#: What a line may lie in besides.
+TITLE, HEADING, PARAGRAPH = 1, 2, 4
+#: Words that end as a sentence does.
+SENTENCE = re.compile(r"\S\s.*[.!?…。:;][\"'”’»)\]]*$", re.S)
+KINDS = {"h1": TITLE, "h2": HEADING, "p": PARAGRAPH}
+
+
+def lines(page: str) -> tuple[list[str], list[bool], list[int]]:
+    """The page's lines, which of them lie in an article element, and which in an h1, an h2 or a paragraph of sentences."""
     tags = _tags(page)
-    partner = _partners(tags)
+    partner, implied = _partners(tags)
     opens = [_upto(tags, name) for name in ("main", "article", "h1")]
     articles = opens[1][-1]
     holder = "article" if articles else "main"
-    out, inside, titles, buffer, depth, title, at, i = [], [], [], [], 0, False, 0, 0
+    out, inside, kinds, buffer, depth, kind, at, i = [], [], [], [], 0, 0, 0, 0
 
     def end_line() -> None:
-        out.append(" ".join(html.unescape("".join(buffer)).split()))
+        text = " ".join(html.unescape("".join(buffer)).split())
+        out.append(text)
         inside.append(depth > 0)
-        titles.append(title)
+        kinds.append(kind if kind != PARAGRAPH or SENTENCE.search(text) else 0)
         buffer.clear()
 
     while i < len(tags):
@@ -173,6 +212,11 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         if not closes and name and name not in VOID:
             other, comments = _is_other(name, attributes, depth)
             j = partner[i] if other else None
+            if other and implied[i] is not None:
+                end_line()
+                end_line()
+                at, i = tags[implied[i]][0], implied[i]
+                continue
             if j is not None:
                 if comments or not _holds_article(name, *(n[j] - n[i + 1] for n in opens), articles, depth):
                     if name not in INLINE:
@@ -186,12 +230,12 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
             end_line()
         if name == holder:
             depth = max(0, depth + (-1 if closes else 1))
-        if name == "h1":
-            title = not closes
+        if name and name not in INLINE:
+            kind = 0 if closes else KINDS.get(name, 0)
         i += 1
     buffer.append(page[at:])
     end_line()
-    return out, inside, titles
+    return out, inside, kinds
 
 
 def _stretches(size: list[int]) -> list[tuple[int, int, bool]]:
@@ -209,22 +253,36 @@ def _stretches(size: list[int]) -> list[tuple[int, int, bool]]:
     return [(a, b, m >= least) for a, b, m in out]
 
 
-def _region(stretches: list[tuple[int, int, bool]], size: list[int], titles: list[bool]) -> tuple[int, int]:
-    """The lines from the first surge to the last dive of the dense stretches, with the title before them."""
-    dense = [(a, b) for a, b, d in stretches if d]
+def _region(stretches: list[tuple[int, int, bool]], size: list[int], kinds: list[int]) -> tuple[int, int]:
+    """The lines from the first surge to the last dive of the dense stretches, with the title before them and the thin stretches of paragraphs beside them."""
+    dense = [i for i, (_, _, d) in enumerate(stretches) if d]
     if not dense:
         return 0, 0
-    first, last = dense[0][0], dense[-1][1]
-    return max((i for i in range(first) if titles[i] and size[i]), default=first), last
+    first, last = dense[0], dense[-1]
+
+    def paragraphs(i: int) -> bool:
+        a, b, _ = stretches[i]
+        return all(kinds[k] & PARAGRAPH for k in range(a, b) if size[k])
+
+    while first and paragraphs(first - 1):
+        first -= 1
+    while last + 1 < len(stretches) and paragraphs(last + 1):
+        last += 1
+    a, b = stretches[first][0], stretches[last][1]
+    for kind in (TITLE, HEADING):
+        before = [i for i in range(a) if kinds[i] & kind and size[i]]
+        if before:
+            return before[-1], b
+    return a, b
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found, inside, titles = lines(page)
+    found, inside, kinds = lines(page)
     size = [len(x) for x in found]
     outside = [0 if y else n for n, y in zip(size, inside)]
-    a, b = _region(_stretches(outside), outside, titles)
+    a, b = _region(_stretches(outside), outside, kinds)
     within = sum(size) - sum(outside)
     if within and sum(outside[a:b]) <= within:
         dense = [d for d in _stretches([n * (PRIOR if y else 1) for n, y in zip(size, inside)]) if d[2]]
@@ -232,7 +290,7 @@ def main_text(page: str | None) -> str:
         for x, y, _ in dense:
             keep[x:y] = [True] * (y - x)
     else:
-        a, b = _region(_stretches(size), size, titles)
+        a, b = _region(_stretches(size), size, kinds)
         keep = [a <= k < b for k in range(len(size))]
     return " ".join(x for x, k in zip(found, keep) if k and x)
 

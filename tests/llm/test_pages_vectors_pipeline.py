@@ -58,6 +58,46 @@ def test_main_text_by_line_blocks(page, text):
     assert html.main_text(page) == text
 
 
+GAP = "<div></div><div></div><div></div>"
+LONG = "<p>" + "long text " * 600 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # pages without an article element or any class word
+        (f"<div>{LONG}</div>{GAP}<p>The last paragraph.</p>", ("long text " * 600).strip() + " The last paragraph."),
+        (f"<p>A first one.</p>{GAP}<div>{LONG}</div>{GAP}<div>imprint</div>", "A first one. " + ("long text " * 600).strip()),
+        (f"<h2>The title</h2>{GAP}<div>{LONG}</div>", "The title " + ("long text " * 600).strip()),
+        # readers' lists after the article, and adverts whose end is left out
+        (f"<article>{LONG}</article><ol class=commentlist><li><p>" + "reader text " * 700 + "</p></li></ol>", ("long text " * 600).strip()),
+        (f"<article><p class=advert>Buy this<p>{LONG[3:]}<ul><li class='promo'>more<li>kept item</ul></article>", ("long text " * 600).strip() + " kept item"),
+        ("<article><p>one<p class='ad'>two</article>", "one"),
+        ("<article><table><tr><td class=ad>no<td>yes<tr><td>two</table></article>", "yes two"),
+        ("<article><p class='commentary'>kept</p></article>", "kept"),
+    ],
+)
+def test_main_text_without_marks_and_without_ends(page, text):
+    assert html.main_text(page) == text
+
+
+def test_stretches_are_surges_and_dives():
+    """Against window sums written out."""
+    rng = random.Random(8)
+    for _ in range(300):
+        size = [rng.choice([0, 0, 0, 1, 5, 40]) for _ in range(rng.randint(0, 30))]
+        sums = [sum(size[i : i + html.WINDOW]) for i in range(len(size))]
+        runs, i = [], 0
+        while i < len(size):
+            if sums[i]:
+                j = next((j for j in range(i, len(size)) if not sums[j]), len(size))
+                runs.append((i, j, max(sums[i:j])))
+                i = j
+            i += 1
+        top = max((m for _, _, m in runs), default=0)
+        assert html._stretches(size) == [(a, b, m >= html.SHARE * top) for a, b, m in runs]
+
+
 def test_main_text_outside_the_article():
     """Window sums decide what stays beside an article, and that a page without one loses its thin ends."""
     body = "<article><p>" + "words of it " * 40 + "</p><p>End.</p></article>"
