@@ -20,7 +20,8 @@ pools hold too few of the best nodes, all pools are widened twofold and the sear
 
 Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the method
 does, so a hub is no hot key. Nothing is collected but a fixed number of vectors for the planes; rounds are written
-tables, and each is deleted when the next is there. Repeated ids with different vectors are rows like any other.
+tables, and each is deleted when the next is there. Repeated ids with different vectors are rows like any other. Extra
+columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations

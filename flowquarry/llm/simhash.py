@@ -14,7 +14,7 @@ forest of what it links). Components are found by contraction in Spark.
 
 Null texts and texts without words have fingerprint zero and are linked like any other. Null ids are
 ignored in the smallest id of a component (null if it has no other). Repeated rows are one class. Long texts are
-hashed in bounded runs of shingles.
+hashed in bounded runs of shingles. Extra columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
