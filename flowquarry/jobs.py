@@ -382,3 +382,18 @@ def csv_numbers(s, d):
     a = F.col("amount")
     kind = F.when(a.isNull(), "blank").when(F.isnan(a), "nan").when(F.abs(a) == float("inf"), "inf").otherwise("number")
     return rows.select(F.col("file_pos").cast("long").alias("capture"), "row_seq", F.col("flow_id").cast("long").alias("flow_id"), "code", kind.alias("kind"), C.finite("amount").alias("amount"))
+
+
+@query(
+    "select model_version, model_name, round(macro_f1, 6) as macro_f1, false as is_active from models where model_version <> 'v2' union all"
+    " select 'v4', 'forest', round(avg((label = predicted_label)::int), 6), false from scored union all select 'v2', 'forest-again', round(avg((label = predicted_label)::int), 6), true from scored"
+)
+def registry_published(s, d):
+    """The registry as stored versions: a new model is published, then an old one again, each of which becomes the only active one."""
+    path = new_folder(s, "registry")
+    S.write_snapshot(V.models(s).drop("model_id").withColumn("is_active", F.lit(False)), path)
+    right = V.scored(s, d).agg(F.avg((F.col("label") == F.col("predicted_label")).cast("int")).alias("macro_f1"))
+    for version, name in (("v4", "forest"), ("v2", "forest-again")):
+        incoming = right.select(F.lit(version).alias("model_version"), F.lit(name).alias("model_name"), "macro_f1")
+        S.write_snapshot(store.model_upsert(S.read_snapshot(s, path), incoming), path)
+    return S.read_snapshot(s, path).select("model_version", "model_name", *r6("macro_f1"), "is_active")

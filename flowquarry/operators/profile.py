@@ -48,8 +48,9 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def raw_class_distribution(df: DataFrame, label: str) -> DataFrame:
-    """Rows per raw label, null as <missing>."""
-    return df.groupBy(F.coalesce(q(label), F.lit("<missing>")).alias("raw_label")).agg(F.count("*").alias("n"))
+    """Rows per raw label, null as <missing>, the most frequent first."""
+    n = df.groupBy(F.coalesce(q(label), F.lit("<missing>")).alias("raw_label")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "raw_label")
 
 
 def _by_raw_label(df: DataFrame, label: str) -> DataFrame:

@@ -141,6 +141,16 @@ def ingestion_counters(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("disposition").agg(F.count("*").alias("n"))
 
 
+def orphan_predictions(predictions: DataFrame, flows: DataFrame) -> DataFrame:
+    """Predictions whose flow is not there."""
+    return predictions.join(flows.select("flow_id"), "flow_id", "left_anti")
+
+
+def referenced_models(models: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Models that a prediction names."""
+    return models.join(predictions.select("model_id"), "model_id", "left_semi")
+
+
 def orphan_alerts(alerts: DataFrame, predictions: DataFrame) -> DataFrame:
     """Alerts whose prediction is not there."""
     return alerts.join(predictions.select("prediction_id"), "prediction_id", "left_anti")

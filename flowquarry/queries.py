@@ -295,7 +295,7 @@ def reconcile_present(s, d):
 
 @query("select prediction_id, flow_id from scored where flow_id % 10 = 0")
 def orphan_predictions(s, d):
-    return V.scored(s, d).join(V.stored_flows(s, d).where("flow_id % 10 <> 0"), "flow_id", "left_anti").select("prediction_id", "flow_id")
+    return store.orphan_predictions(V.scored(s, d), V.stored_flows(s, d).where("flow_id % 10 <> 0")).select("prediction_id", "flow_id")
 
 
 @query("select alert_id, prediction_id from alerts where prediction_id in (select prediction_id from scored where flow_id % 10 = 0)")
@@ -305,7 +305,7 @@ def orphan_alerts(s, d):
 
 @query("select model_id, model_version from models where model_id in (select model_id from scored)")
 def referenced_models(s, d):
-    return V.models(s).join(V.scored(s, d), "model_id", "left_semi").select("model_id", "model_version")
+    return store.referenced_models(V.models(s), V.scored(s, d)).select("model_id", "model_version")
 
 
 PAGED = f"select {DETAIL} from scored s join stored f using (flow_id)"

@@ -170,3 +170,34 @@ def write_segment(df: DataFrame, folder: str, name: str, by: str) -> None:
     system.mkdirs(place)
     if not system.rename(jvm.org.apache.hadoop.fs.Path(unquote(made)), jvm.org.apache.hadoop.fs.Path(folder, name)):
         raise OSError(f"{name} can't be moved to {folder}")
+
+
+def write_snapshot(df: DataFrame, path: str) -> int:
+    """df as the next version of a small table that is replaced whole, such as the registry of models; its number.
+
+    The rows are written first and the version's record last. A record is never overwritten: of two writers of one version one fails.
+    """
+    spark, folder = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    last = _versions(spark, path)
+    number = last[0] + 1 if last else 1
+    df.write.parquet(f"{path}/{folder}")
+    spark.createDataFrame([(number, folder, df.schema.json())], "number long, folder string, columns string").coalesce(1).write.mode("error").parquet(f"{path}/versions/{number:09d}")
+    return number
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    """The last version's number, folder and columns."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path, "versions")
+    if not place.getFileSystem(conf).exists(place):
+        return None
+    found = spark.read.schema("number long, folder string, columns string").parquet(f"{path}/versions/*").orderBy(F.desc("number")).first()
+    return tuple(found) if found else None
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last version."""
+    last = _versions(spark, path)
+    if not last:
+        raise ValueError(f"no version of {path}")
+    return spark.read.schema(T.StructType.fromJson(json.loads(last[2]))).parquet(f"{path}/{last[1]}")

@@ -109,3 +109,17 @@ def test_segment_file(spark, tmp_path):
     S.write_segment(spark.createDataFrame([(2, "b"), (1, "a")], "n int, x string").repartition(2), str(tmp_path / "in"), "segment-1.csv", "n")
     assert (tmp_path / "in" / "segment-1.csv").read_text() == "n,x\n1,a\n2,b\n"
     assert json.dumps(os.listdir(tmp_path / "in")).count("segment-1.csv") >= 1
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    with pytest.raises(ValueError, match="no version"):
+        S.read_snapshot(spark, path)
+    for n in (1, 2, 0):
+        S.write_snapshot(spark.range(n), path)
+        assert S.read_snapshot(spark, path).count() == n  # also a version without rows
+    # rows of a writer that failed before its record are not read
+    spark.range(9).write.parquet(f"{path}/rows-lost")
+    assert S.read_snapshot(spark, path).isEmpty() and S.write_snapshot(spark.range(5), path) == 4
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        spark.range(1).write.mode("error").parquet(f"{path}/versions/000000004")
