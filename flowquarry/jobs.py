@@ -397,3 +397,20 @@ def registry_published(s, d):
         incoming = right.select(F.lit(version).alias("model_version"), F.lit(name).alias("model_name"), "macro_f1")
         S.write_snapshot(store.model_upsert(S.read_snapshot(s, path), incoming), path)
     return S.read_snapshot(s, path).select("model_version", "model_name", *r6("macro_f1"), "is_active")
+
+
+@query("select prediction_id, predicted_label from scored where prediction_id in (1234, 4321)")
+def stored_predictions_by_id(s, d):
+    """Look-ups in a store that is sorted by id."""
+    path = new_folder(s, "by-id")
+    store.write_by_id(V.scored(s, d), path, "prediction_id")
+    found = s.read.parquet(path)
+    return store.by_id(found, "prediction_id", 1234).union(store.by_id(found, "prediction_id", 4321)).select("prediction_id", "predicted_label")
+
+
+@query("select prediction_id, predicted_label from scored where prediction_id < 5000 order by prediction_id desc limit 20")
+def stored_predictions_page(s, d):
+    """A page by key in such a store."""
+    path = new_folder(s, "by-id")
+    store.write_by_id(V.scored(s, d).select("prediction_id", "predicted_label"), path, "prediction_id")
+    return store.page(s.read.parquet(path), "prediction_id", 20, before=5000)

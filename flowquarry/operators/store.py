@@ -49,6 +49,15 @@ def by_id(df: DataFrame, key: str, value: int) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
+def write_by_id(df: DataFrame, path: str, key: str, group_bytes: int = 8 << 20) -> None:
+    """df as Parquet files that are ranges of the key, sorted, in row groups of about `group_bytes` with Bloom filters on the key.
+
+    A look-up by id, or a page by key, then reads the row groups whose range holds the key; ids that are not there mostly none.
+    """
+    out = df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+    out.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", group_bytes).parquet(path)
+
+
 def alerts_from(predictions: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """An alert for every attack at or above the threshold."""
     hit = predictions.where((F.col("predicted_label") != "Normal") & (F.col("confidence") >= threshold))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from flowquarry.operators import store
 from flowquarry.sources import flows as S
 from flowquarry.streaming import segments as G
 from flowquarry.streaming import source as N
@@ -123,3 +124,25 @@ def test_snapshots(spark, tmp_path):
     assert S.read_snapshot(spark, path).isEmpty() and S.write_snapshot(spark.range(5), path) == 4
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         spark.range(1).write.mode("error").parquet(f"{path}/versions/000000004")
+
+
+def rows_scanned(df):
+    """Rows that the scan gave to the rest of the plan, and the rows found."""
+    found = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().startswith(("Scan", "BatchScan")):
+        plan = plan.finalPhysicalPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.child()
+    return plan.metrics().apply("numOutputRows").value(), len(found)
+
+
+def test_look_ups_read_few_row_groups(spark, tmp_path):
+    path, n = str(tmp_path / "by-id"), 200_000
+    df = spark.range(n).select((F.col("id") * 2).alias("prediction_id"), F.sha2(F.col("id").cast("string"), 256).alias("x")).orderBy("x")
+    store.write_by_id(df, path, "prediction_id", 1 << 16)
+    stored = spark.read.parquet(path)
+    scanned, found = rows_scanned(store.by_id(stored, "prediction_id", 123_456))
+    assert found == 1 and scanned < n // 10
+    # an id that is not there lies in a group's range, but not in its filter
+    assert rows_scanned(store.by_id(stored, "prediction_id", 123_457)) == (0, 0)
+    scanned, found = rows_scanned(stored.where("prediction_id < 1000"))
+    assert found == 500 and scanned < n // 10
