@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,18 +112,49 @@ def ingest(spark: SparkSession, paths: list[str], folder: str, **options) -> Dat
     return spark.read.parquet(folder)
 
 
-def manifest(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the ordered lines); contents are hashed on executors.
+#: Files up to this size are hashed as one row by Spark's reader, larger ones piece by piece.
+ROW_BYTES, PIECE = 1 << 30, 8 << 20
 
-    A file is read as one row, so files of 2 GB or more are an error, as are folders of so many files that their lines exceed a row.
+
+def _hashed_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, file, size) rows to (file, size, sha256): a file is read through its file system, a piece at a time."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            system, place = fs.FileSystem.from_uri(quote(unquote(path), safe=":/"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(found, pa.string())], names=["file", "size", "sha256"])
+
+
+def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all lines in their order, of which one batch is held at a time."""
+    digest, n, size = hashlib.sha256(), 0, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            digest.update(f"{row['file']}\0{row['size']}\0{row['sha256']}\n".encode())
+            n, size = n + 1, size + row["size"]
+    yield pa.record_batch([pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=["n_files", "bytes", "sha256"])
+
+
+def manifest(spark: SparkSession, path: str, pattern: str = "*", row_bytes: int = ROW_BYTES) -> tuple[DataFrame, DataFrame]:
+    """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the lines `file\\0size\\0sha256\\n` in the order of files).
+
+    Contents are hashed on executors. A file of more than `row_bytes` is read in pieces through pyarrow's file systems (local, s3, gs, hdfs),
+    so it may have any size; empty files are passed over, as Spark's listing does. A hash of all lines is a chain: one task takes them in order, a batch at a time.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     own = F.col("path").substr(F.locate(folder, "path") + len(folder), F.length("path"))
-    each = files.select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    line = F.to_json(F.struct("file", "size", "sha256"))
-    whole = each.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
-    return each, whole
+    small = files.where(F.col("length") <= row_bytes).select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > row_bytes).select("path", own.alias("file"), F.col("length").alias("size"))
+    each = small.union(large.mapInArrow(_hashed_in_pieces, "file string, size long, sha256 string"))
+    whole = each.repartition(1).sortWithinPartitions("file").mapInArrow(_hashed_lines, "n_files long, bytes long, sha256 string")
+    none = {"n_files": F.lit(0), "bytes": F.lit(0), "sha256": F.lit(hashlib.sha256(b"").hexdigest())}  # an empty plan may run no task
+    return each, whole.agg(*[F.coalesce(F.max(c), v).alias(c) for c, v in none.items()])
 
 
 def leakage_config(spark: SparkSession, path: str) -> dict[str, str]:

@@ -146,3 +146,24 @@ def test_look_ups_read_few_row_groups(spark, tmp_path):
     assert rows_scanned(store.by_id(stored, "prediction_id", 123_457)) == (0, 0)
     scanned, found = rows_scanned(stored.where("prediction_id < 1000"))
     assert found == 500 and scanned < n // 10
+
+
+@pytest.mark.parametrize("row_bytes", [1 << 30, 100])
+def test_manifest_of_files_of_any_size(spark, tmp_path, row_bytes):
+    import hashlib
+
+    (tmp_path / "d" / "sub folder").mkdir(parents=True)
+    contents = {"b.csv": b"x" * 50, "a.csv": bytes(range(256)) * 40_000, "sub folder/c é.csv": b"y", "other.txt": b"no"}
+    for name, data in contents.items():
+        (tmp_path / "d" / name).write_bytes(data)
+    each, whole = S.manifest(spark, str(tmp_path / "d"), "*.csv", row_bytes)
+    sums = {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items() if n.endswith(".csv")}
+    got = {r["file"]: (r["size"], r["sha256"]) for r in each.collect()}
+    assert {n.replace("%20", " ").replace("%C3%A9", "é"): v for n, v in got.items()} == sums
+    lines = "".join(f"{n}\0{got[n][0]}\0{got[n][1]}\n" for n in sorted(got)).encode()
+    assert tuple(whole.first()) == (3, sum(x for x, _ in sums.values()), hashlib.sha256(lines).hexdigest())
+
+
+def test_manifest_of_no_file(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    assert S.manifest(spark, str(tmp_path / "d"), "*.csv")[1].first()["n_files"] == 0
