@@ -31,9 +31,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; every document stays, its text rewritten."""
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    out = substring.substring_dedup(docs, keep=others, stored=True)
-    out = out.withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumnRenamed("kept_text", "text").select(*docs.columns)
+    # by place, as the documents may have columns of the operator's names
+    out = substring.substring_dedup(docs, keep=others, stored=True).toDF(*[f"_{i}" for i in range(len(others))], "_text", "_words", "_removed")
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType), **{c: F.col(f"_{i}") for i, c in enumerate(others)}}
+    return out.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
