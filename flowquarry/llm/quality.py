@@ -7,10 +7,10 @@ which is the same for all and comes from the scores of labelled documents: the p
 classes best, where rejecting a good document counts `GOOD_WEIGHT` times as much as keeping a bad one. A trusted
 document's score is taken without its own counts there, so that the threshold holds for documents without a label.
 
-Bounds. The threshold alone is fitted on a sample, of at most `sample` rows of each label (chosen by hash of the id,
-a documented parameter); both multinomials cover every document that belongs to them. The ids of up to `SENT_IDS`
-good labels are sent to the tasks; more of them are joined, with the same counts. Each task adds its counts up before
-they are shuffled, and the driver receives one sum a bucket and a histogram of `BINS` bins. A very long text is one
+Bounds. Nothing is sampled: both multinomials cover every document that belongs to them, and the threshold is fitted on every
+labelled one. The ids of up to `SENT_IDS` good labels are sent to the tasks; more of them are joined, with the same counts.
+Each task adds its counts up before they are shuffled. For the threshold every document is scored, and its scores' bins, not its
+text, meet the labels in a join. The driver receives one sum a bucket and a histogram of `BINS` bins. A very long text is one
 block of its own. Extra columns come back as `in_` and their name.
 
 Lines and windows of a text are compared by 64-bit hashes: two different ones count as equal with a chance of 2**-64 a pair.
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from flowquarry.llm.textcore import SPACE, byte_table, covered, giving_back, inside, mix, per_text, span_hash, spans, text_blocks, text_of, window_hash, words
 
 BUCKETS = 1 << 16
-LABELLED, SENT_IDS = 20_000, 1_000_000
+SENT_IDS = 1_000_000
 SMOOTHING = 0.05
 BINS = 4096
 LOW, HIGH = -8.0, 8.0
@@ -113,11 +113,6 @@ def labelled(labels: DataFrame, quality: int) -> DataFrame:
     return own.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def sampled_ids(own: DataFrame, limit: int = LABELLED) -> list[int]:
-    """At most `limit` of the ids, chosen by hash."""
-    return [r[0] for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
@@ -176,60 +171,60 @@ def block_scores(block: Block, weights: np.ndarray) -> np.ndarray:
     return np.bincount(text, weights[grams], len(block.n_words)) / np.maximum(n, 1)
 
 
-def left_out_scores(block: Block, trusted: np.ndarray, weights: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The scores of trusted texts as they would be, had each text's own n-grams not been counted in the target; others get none (0)."""
+def left_out_scores(block: Block, weights: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The scores as they would be, had each text's own n-grams not been counted in the target; of use for trusted texts alone."""
     grams, text = block.ngrams(len(weights))
-    grams, text = grams[trusted[text]], text[trusted[text]]
     n = np.bincount(text, minlength=len(block.n_words))
     _, back, own = np.unique(text * len(weights) + grams, return_inverse=True, return_counts=True)
-    part = weights[grams] + np.log((target[grams] - own[back] + SMOOTHING) / (target[grams] + SMOOTHING))
-    total = target.sum() + SMOOTHING * len(weights)
-    return np.bincount(text, part, len(n)) / np.maximum(n, 1) - np.log((total - n) / total)
+    # texts that are not trusted may have more of an n-gram, or more n-grams, than the target
+    part = weights[grams] + np.log((np.maximum(target[grams] - own[back], 0) + SMOOTHING) / (target[grams] + SMOOTHING))
+    room, total = SMOOTHING * len(weights), target.sum()
+    return np.bincount(text, part, len(n)) / np.maximum(n, 1) - np.log((np.maximum(total - n, 0) + room) / (total + room))
 
 
-def fit_threshold(docs: DataFrame, good: list[int], bad: list[int], weights: np.ndarray, target: np.ndarray) -> float:
-    """The score that separates the labelled classes best; minus infinity if a class is missing.
-
-    Trusted texts are scored without their own counts, as texts that the target has not seen are.
-    """
-    if not good or not bad or not weights.any():
-        return -math.inf
-    sc = docs.sparkSession.sparkContext
-    ids, w = sc.broadcast((np.array(sorted(good), np.int64), np.array(sorted(bad), np.int64))), sc.broadcast((weights, target))
+def score_bins(docs: DataFrame, weights: np.ndarray, target: np.ndarray) -> DataFrame:
+    """(doc_id, bad, good) of each row with words: the bins of its score, as a text that the target has not seen and as a trusted one."""
+    w = docs.sparkSession.sparkContext.broadcast((weights, target))
     width = (HIGH - LOW) / BINS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            labels = [_flags(batch, ids.value[1]), _flags(batch, ids.value[0])]
-            batch = batch.filter(pa.array(labels[0] | labels[1]))
-            labels = [x[labels[0] | labels[1]] for x in labels]
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 block = Block(data, offsets)
-                for k, scores in enumerate((block_scores(block, w.value[0]), left_out_scores(block, labels[1][a:b], *w.value))):
-                    at = np.clip((scores - LOW) / width, 0, BINS - 1).astype(np.int64)
-                    hist[k] += np.bincount(at[labels[k][a:b] & (block.n_words > 0)], minlength=BINS)
-        own = np.flatnonzero(hist.any(axis=0))
-        yield pa.record_batch([pa.array(own), pa.array(hist[0][own]), pa.array(hist[1][own])], names=["bin", "bad", "good"])
+                at = np.flatnonzero(block.n_words)
+                bins = [np.clip((x[at] - LOW) / width, 0, BINS - 1).astype(np.int32) for x in (block_scores(block, w.value[0]), left_out_scores(block, *w.value))]
+                yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(at)), *map(pa.array, bins)], names=["doc_id", "bad", "good"])
 
-    sums = _rows(docs).mapInArrow(giving_back(count), "bin long, bad long, good long").groupBy("bin").agg(F.sum("bad"), F.sum("good"))
+    return _rows(docs).where("doc_id is not null").mapInArrow(giving_back(count), "doc_id long, bad int, good int")
+
+
+def fit_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray, target: np.ndarray) -> float:
+    """The score that separates the labelled classes best; minus infinity if a class is missing.
+
+    Trusted texts are scored without their own counts, as texts that the target has not seen are.
+    """
+    if not weights.any():
+        return -math.inf
+    classes = labelled(labels, 0).withColumn("is_good", F.lit(False)).union(labelled(labels, 1).withColumn("is_good", F.lit(True)))
+    own = score_bins(docs, weights, target).join(classes, "doc_id")
+    sums = own.groupBy("is_good", F.when(F.col("is_good"), F.col("good")).otherwise(F.col("bad")).alias("bin")).count()
     hist = np.zeros((2, BINS + 1))
-    for at, b, g in sums.collect():  # at most BINS rows
-        hist[0, at + 1], hist[1, at + 1] = b, g
+    for good, at, n in sums.collect():  # at most 2 * BINS rows
+        hist[int(good), at + 1] = n
     if not hist[0].sum() or not hist[1].sum():
         return -math.inf
     below = np.cumsum(hist, axis=1) / hist.sum(axis=1, keepdims=True)
     gain = below[0] - GOOD_WEIGHT * below[1]
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return LOW + width * float(best[0] + best[-1]) / 2  # the middle of the best stretch, away from both classes
+    return LOW + (HIGH - LOW) / BINS * float(best[0] + best[-1]) / 2  # the middle of the best stretch, away from both classes
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = LABELLED, sent_ids: int = SENT_IDS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sent_ids: int = SENT_IDS) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, score and threshold, in the order of docs' rows within a task."""
     good = labelled(labels, 1)
     raw, target = ngram_counts(docs, good, buckets, sent_ids)
     weights = log_ratios(raw, target)
-    threshold = fit_threshold(docs, sampled_ids(good, sample), sampled_ids(labelled(labels, 0), sample), weights, target)
+    threshold = fit_threshold(docs, labels, weights, target)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
