@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from flowquarry.llm.stage import settled
 from tests.llm import brute
+from tests.llm.test_text_operators import kinds, many_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, kept string, component_id string, kept_text int, length int, _doc string, threshold double"
 
@@ -49,3 +50,10 @@ def test_stages(spark, tmp_path, n):
         own = [r for r in packed if r["doc_id"] == d]
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"]
     assert bool(packed) == bool(n)
+
+
+def test_quality_stage_uses_all_labels(spark, tmp_path):
+    rows = many_labels(spark)
+    rows.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality_stage(spark, rows.select("doc_id", "text"), str(tmp_path))
+    assert kinds(kept.join(rows, "doc_id")) == {("clean", 1): 20_000, ("plain", 1): 5_000, ("plain", 0): 2_000}
