@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm.stage import settled
-from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, giving_back, text_blocks, words
+from flowquarry.llm.textcore import SPACE, RunTable, byte_table, cut, gathered, giving_back, text_blocks, words
 from flowquarry.llm.tokencount import load, parts, plain_special
 
 SALTS = 256
@@ -61,6 +61,32 @@ def words_are_separate(path: str) -> bool:
 
 
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+@functools.lru_cache(4)
+def letter_words(path: str):
+    """(tokenizer, table) for words of LETTERS, or None if the file isn't of the known kind.
+
+    Composed letters are what NFC gives, they are lower-cased alike by Python, and such a word is one pre-token. So the library's
+    model gets them without its normaliser and pre-tokeniser: lower-cased, by the table of byte letters, cut at white space.
+    """
+    if not words_are_separate(path) or parts(path)["pre_tokenizer"]["pretokenizers"][1:] != [BYTE_LEVEL]:
+        return None
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    letters = [chr(c) for c in range(256) if LETTERS.fullmatch(chr(c))]
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    table = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in letters if ord(c) > 127}
+    found = Tokenizer.from_file(path)
+    found.no_padding()
+    found.no_truncation()
+    found.normalizer, found.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+    probes = " ".join(letters + [a + b for a in letters for b in letters] + ["".join(letters[k:] + letters[:k]) for k in range(0, len(letters), 7)])
+    same = found.encode(probes.lower().translate(table), add_special_tokens=False).ids == load(path).encode(probes, add_special_tokens=False).ids
+    return (found, table) if same else None
+
+
 #: Punctuation before which a word may be cut: no apostrophe, and nothing that special tokens hold.
 _CUT = byte_table(b',.;:!?%&*$#")(')
 _ASCII_WORD = byte_table(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
@@ -71,7 +97,7 @@ class WordEncoder:
     encoded at once and told apart by the vocabulary's word ends."""
 
     def __init__(self, path: str, chunk: int = 500):
-        self.tokenizer, self.chunk = load(path), chunk
+        self.tokenizer, self.chunk, self.letters = load(path), chunk, letter_words(path)
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -79,21 +105,34 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, texts: list[str]) -> list[np.ndarray]:
+        """The same of words of Latin letters with spaces between them."""
+        if self.letters is None:
+            return self._encode(texts)
+        tokenizer, table = self.letters
+        low = [t.lower() if t.isascii() else t.lower().translate(table) for t in texts]
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(low, add_special_tokens=False)]
+
     def __call__(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words_]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        simple = [i for i, t in enumerate(texts) if LETTERS.fullmatch(t)]
-        groups = [simple[i : i + self.chunk] for i in range(0, len(simple), self.chunk)]
-        for own, ids in zip(groups, self._encode([" ".join([texts[i] for i in g]) for g in groups])):
+        plain = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha()]  # these need no table
+        accented = [i for i, t in enumerate(texts) if not t.isascii() and LETTERS.fullmatch(t)]
+        groups = [own[i : i + self.chunk] for own in (plain, accented) for i in range(0, len(own), self.chunk)]
+        runs, order, lengths, done = [], [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for own, ids in zip(groups, self._encode_letters([" ".join([texts[i] for i in g]) for g in groups])):
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(own):  # else they are encoded one by one below
-                for i, part in zip(own, np.split(ids, ends[:-1])):
-                    out[i] = part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
-            out[i] = ids
-        lengths = np.fromiter((len(x) for x in out), np.int64, len(out))
-        return np.concatenate(out), lengths
+                runs.append(ids)
+                order.append(own)
+                lengths[own], done[own] = np.diff(ends, prepend=0), True
+        rest = np.flatnonzero(~done)
+        for i, ids in zip(rest.tolist(), self._encode([texts[i] for i in rest])):
+            runs.append(ids)
+            lengths[i] = len(ids)
+        order = np.concatenate([*order, rest]).astype(np.int64)
+        heads = np.empty(len(texts), np.int64)
+        heads[order] = np.cumsum(lengths[order]) - lengths[order]  # where each word's ids begin in the runs
+        return gathered(np.concatenate(runs), heads, lengths), lengths
 
 
 def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -187,6 +187,24 @@ def test_packing(edges, documents):
         assert min(room) >= 0 and sorted(room) == brute.best_fit_decreasing([r["length"] for r in rows], window)
 
 
+def test_packing_words_of_letters(monkeypatch):
+    """Words that go to the bare model, in any order with others, have the library's ids; without that way they have them too."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    assert packing.letter_words(path) is not None
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(256) if packing.LETTERS.fullmatch(chr(c))]
+    texts = ["".join(rng.choice(letters[: rng.choice([52, 114])]) for _ in range(rng.randint(1, 20))) for _ in range(3_000)]
+    texts += ["ß", "ẞ", "ÿ", "İ", "ﬁ", "é", "e\u0301", "12", "a1", "x's", "<|endoftext|>", "ab<|endoftext|>", "\u00aa", "µ", "中", "\x00", "A" * 5_000]
+    rng.shuffle(texts)
+    library = tokencount.load(path)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for own in (True, False):
+        if not own:
+            monkeypatch.setattr(packing, "letter_words", lambda path: None)
+        flat, lengths = packing.WordEncoder(path, chunk=7)([t.encode() for t in texts])
+        assert lengths.tolist() == [len(x) for x in expected] and flat.tolist() == [i for x in expected for i in x]
+
+
 def test_best_fit_plan_is_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(200):
