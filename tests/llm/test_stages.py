@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowquarry.llm.stage import settled
@@ -57,3 +59,16 @@ def test_quality_stage_uses_all_labels(spark, tmp_path):
     rows.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
     kept = corpus_pipeline.quality_stage(spark, rows.select("doc_id", "text"), str(tmp_path))
     assert kinds(kept.join(rows, "doc_id")) == {("clean", 1): 20_000, ("plain", 1): 5_000, ("plain", 0): 2_000}
+
+
+def test_quality_stage_uses_all_bad_labels(spark, tmp_path):
+    """Of 25,000 bad documents, the 5,000 of the highest hash look like 40 good ones, which have to go with them; no other bad one tells so."""
+    line = lambda letter: " ".join(f"{letter}{i}" for i in range(12))
+    ids = spark.range(27_000).select(F.col("id").alias("doc_id"), (F.col("id") >= 25_000).cast("int").alias("quality"))
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id")))
+    kind = F.when(F.col("quality") == 0, F.when(rank <= 20_000, "spoilt").otherwise("plain")).otherwise(F.when(rank <= 40, "plain").otherwise("clean"))
+    text = F.when(F.col("kind") == "clean", line("c")).when(F.col("kind") == "plain", line("p")).otherwise(line("b"))
+    rows = ids.withColumn("kind", kind).select("doc_id", "quality", "kind", text.alias("text")).localCheckpoint()
+    rows.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality_stage(spark, rows.select("doc_id", "text"), str(tmp_path))
+    assert kinds(kept.join(rows, "doc_id")) == {("clean", 1): 1_960}
