@@ -112,8 +112,38 @@ def ingest(spark: SparkSession, paths: list[str], folder: str, **options) -> Dat
     return spark.read.parquet(folder)
 
 
-#: Files up to this size are hashed as one row by Spark's reader, larger ones piece by piece.
-ROW_BYTES, PIECE = 1 << 30, 8 << 20
+#: Files up to this size are hashed as one row by Spark's reader, which holds a row several times over; larger ones piece by piece.
+ROW_BYTES, PIECE = 16 << 20, 8 << 20
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(quote(path, safe=":/"))  # the reader's paths are no URLs
+
+
+def _readable(path: str) -> bool:
+    try:
+        system, place = _opened(path)
+        return system.get_file_info(place).type == fs.FileType.File
+    except (OSError, ValueError):  # no such file system, or none that can be reached
+        return False
+
+
+def _streamed(spark: SparkSession, path: str) -> str:
+    """The file's SHA-256, by the driver's JVM: any store that Spark reads, a buffer at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def _resolved(spark: SparkSession, path: str) -> str:
+    """Where a path of a file system that only names others (viewfs, links) leads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf).resolvePath(place).toString()
 
 
 def _hashed_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +151,7 @@ def _hashed_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         found = []
         for path in batch.column(0).to_pylist():
-            system, place = fs.FileSystem.from_uri(quote(unquote(path), safe=":/"))
+            system, place = _opened(path)
             digest = hashlib.sha256()
             with system.open_input_stream(place) as stream:
                 while piece := stream.read(PIECE):
@@ -140,18 +170,34 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=["n_files", "bytes", "sha256"])
 
 
+def _elsewhere(spark: SparkSession, large: DataFrame) -> tuple[DataFrame, list[tuple[str, int, str]]]:
+    """(large with the places that its paths lead to, a file a task; lines of the files whose place pyarrow can't open either). The driver holds a path a file."""
+    rows = [(_resolved(spark, r["path"]), *r) for r in large.collect()]
+    known = [_readable(place) for place, *_ in rows]
+    with ThreadPool(8) as pool:
+        rest = pool.map(lambda r: (r[2], r[3], _streamed(spark, r[1])), [r for r, ok in zip(rows, known) if not ok])
+    there = [(place, file, size) for (place, _, file, size), ok in zip(rows, known) if ok]
+    return spark.createDataFrame(there, "path string, file string, size long").repartition(max(1, len(there))), rest
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*", row_bytes: int = ROW_BYTES) -> tuple[DataFrame, DataFrame]:
     """((path under the folder, size, sha256) per file, (n_files, bytes, sha256) over the lines `file\\0size\\0sha256\\n` in the order of files).
 
-    Contents are hashed on executors. A file of more than `row_bytes` is read in pieces through pyarrow's file systems (local, s3, gs, hdfs),
-    so it may have any size; empty files are passed over, as Spark's listing does. A hash of all lines is a chain: one task takes them in order, a batch at a time.
+    Contents are hashed on executors. A file of more than `row_bytes` is read in pieces through pyarrow's file systems (local, s3, gs, hdfs, abfs), by the
+    place that its own file system resolves it to if its name can't be opened; so it may have any size. Large files of a store that pyarrow doesn't
+    know are streamed through the driver's JVM, some at a time. Empty files are passed over, as Spark's listing does.
+    A hash of all lines is a chain: one task takes them in order, a batch at a time.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     own = F.col("path").substr(F.locate(folder, "path") + len(folder), F.length("path"))
     small = files.where(F.col("length") <= row_bytes).select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > row_bytes).select("path", own.alias("file"), F.col("length").alias("size"))
-    each = small.union(large.mapInArrow(_hashed_in_pieces, "file string, size long, sha256 string"))
+    large, line = files.where(F.col("length") > row_bytes).select("path", own.alias("file"), F.col("length").alias("size")), "file string, size long, sha256 string"
+    one = large.first()
+    if one and not _readable(one["path"]):
+        large, rest = _elsewhere(spark, large)
+        small = small.union(spark.createDataFrame(rest, line))
+    each = small.union(large.mapInArrow(_hashed_in_pieces, line))
     whole = each.repartition(1).sortWithinPartitions("file").mapInArrow(_hashed_lines, "n_files long, bytes long, sha256 string")
     none = {"n_files": F.lit(0), "bytes": F.lit(0), "sha256": F.lit(hashlib.sha256(b"").hexdigest())}  # an empty plan may run no task
     return each, whole.agg(*[F.coalesce(F.max(c), v).alias(c) for c, v in none.items()])

@@ -167,3 +167,26 @@ def test_manifest_of_files_of_any_size(spark, tmp_path, row_bytes):
 def test_manifest_of_no_file(spark, tmp_path):
     (tmp_path / "d").mkdir()
     assert S.manifest(spark, str(tmp_path / "d"), "*.csv")[1].first()["n_files"] == 0
+
+
+def test_manifest_holds_no_large_file_as_a_row(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    data = {"large é %41.bin": bytes(range(256)) * 70_000, "small.bin": b"x" * 1000}
+    for name, content in data.items():
+        (tmp_path / "d" / name).write_bytes(content)
+    lines = "".join(f"{n}\0{len(b)}\0{hashlib.sha256(b).hexdigest()}\n" for n, b in sorted(data.items())).encode()
+    plain = (2, sum(map(len, data.values())), hashlib.sha256(lines).hexdigest())
+    # the reader refuses a row over 17 MB; the large file has 17.9 MB
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 17 << 20)
+    try:
+        assert tuple(S.manifest(spark, str(tmp_path / "d"))[1].first()) == plain
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    # a store that pyarrow can't open, whose paths lead elsewhere, and one whose paths don't
+    readable = S._readable
+    for elsewhere in (True, False):
+        turns = iter([False])
+        monkeypatch.setattr(S, "_readable", lambda path, turns=turns, elsewhere=elsewhere: next(turns, elsewhere) and readable(path))
+        assert tuple(S.manifest(spark, str(tmp_path / "d"), "*", 1000)[1].first()) == plain
