@@ -15,8 +15,10 @@ few lists change. Vectors travel whole, as floats where that loses nothing, and
 Searching. A query holds a pool of the `width` best nodes it has seen. Each step joins its best nodes not yet
 opened with the graph, scores their neighbours exactly (double precision, original vectors) and keeps the best,
 until few pools have nodes left to open. Queries start at given nodes; rows of the table start at their own. As a fixed width
-finds less the more nodes there are, recall is measured in the run: a fixed number of queries is compared with all nodes, and while their
-pools hold too few of the best nodes, all pools are widened twofold and the search goes on.
+finds less the more nodes there are, recall is measured in the run: a fixed number of queries is compared with all nodes, and if their
+pools hold too few of the best nodes, an exact check follows: blocks of queries meet blocks of nodes, and each query gets what reaches the
+bar that its pool sets, the score of its k-th best node. Then nothing is missed. That is one product of matrices for each pair of blocks, with a pass over it; the work
+grows with queries times nodes, but far more pools, which a graph of nearly isotropic vectors asks for, cost more (README).
 
 Scale. Work is per node and per query; reverse lists are sampled to `reverse` members by hash, as the method
 does, so a hub is no hot key. Nothing is collected but a fixed number of vectors for the planes; rounds are written
@@ -40,8 +42,10 @@ DEGREE, JOINED, REVERSE, ROUNDS = 24, 12, 8, 40
 WIDTH, OPENED, STEPS = 32, 16, 100
 #: Rounds and steps end when at most this share of all lists' or pools' entries is new; ROUNDS and STEPS only bound them.
 DONE = 0.02
-#: The pools are widened until this share of the best nodes of HELD queries (against all nodes) is in them; WIDEST only bounds the width.
-TARGET, HELD, WIDEST = 0.91, 100, 1 << 14
+#: The exact check follows if less than this share of the best nodes of HELD queries (against all nodes) is in their pools.
+TARGET, HELD = 0.91, 100
+#: Components of vectors in a block of the exact check, and queries and nodes of a block that are compared at once.
+NUMBERS, ASKED, MET = 1 << 20, 512, 2048
 #: Rough blocks: how often nodes are dealt into blocks of about BLOCK, and how many a node keeps of each of its blocks.
 TREES, BLOCK, FIRST, PLANES = 28, 1024, 10, 24
 #: The two orders of a node's lists.
@@ -223,23 +227,27 @@ def build(distinct: DataFrame, degree: int = DEGREE, joined: int = JOINED, rever
     return near
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up in order, in double precision."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
 def _score(rows: DataFrame) -> DataFrame:
-    """(query, node, score) of rows (query, node, qvec, vec): inner products added up in order, in double precision."""
+    """(query, node, score) of rows (query, node, qvec, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-                total = np.zeros(len(a))
-                for k in range(a.shape[1]):
-                    total += a[:, k] * b[:, k]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], names=["query", "node", "score"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(_products(_matrix(batch.column(2)), _matrix(batch.column(3))))], names=["query", "node", "score"])
 
     return rows.mapInArrow(run, "query long, node long, score double")
 
 
-def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int = WIDTH, opened: int = OPENED, steps: int = STEPS, pool: DataFrame | None = None) -> DataFrame:
-    """(query, node, score): the pool of each query (query, qvec, start) after greedy search, which goes on from the nodes of `pool`, if that is given."""
+def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int = WIDTH, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
+    """(query, node, score): the pool of each query (query, qvec, start) after greedy search."""
     vec = distinct.withColumnRenamed("node", "_node")
     edges = graph.withColumnRenamed("node", "_from")
 
@@ -248,8 +256,7 @@ def search(queries: DataFrame, distinct: DataFrame, graph: DataFrame, width: int
         return _score(met.join(queries.select(F.col("query").alias("_q"), "qvec"), F.col("query") == F.col("_q")).select("query", "node", "qvec", "vec"))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    first = scored(queries.select("query", F.col("start").alias("node"))) if pool is None else pool
-    pool = settled(first.withColumn("open", F.lit(True)))
+    pool = settled(scored(queries.select("query", F.col("start").alias("node"))).withColumn("open", F.lit(True)))
     for _ in range(steps):
         turn = pool.withColumn("n", F.row_number().over(Window.partitionBy("query", "open").orderBy(F.desc("score"), "node")))
         now = F.col("open") & (F.col("n") <= opened)
@@ -297,6 +304,66 @@ def recall(pool: DataFrame, queries: DataFrame, least: DataFrame) -> float:
     return one["found"] / one["all"] if one["all"] else 1.0
 
 
+def _lengths(v: np.ndarray) -> np.ndarray:
+    most = np.abs(v).max(axis=1)  # so that no square leaves the range of a double
+    return most * np.linalg.norm(v / most[:, None], axis=1)
+
+
+def _reaching(k: int):
+    """The nodes of a block that reach the bars of a block's queries: (query, node, score), at most the k + 1 best of a query."""
+
+    def meet(queries: pa.Table, nodes: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if queries.num_rows and nodes.num_rows:
+            q, v, bar = _matrix(queries["qvec"]), _matrix(nodes["vec"]), queries["bar"].to_numpy()
+            size, norm = _lengths(q), _lengths(v)
+            order = np.argsort(norm)  # norms that are compared at once lie close together, so that floats tell them apart
+            v, norm, name, asked = v[order], norm[order], nodes["node"].to_numpy()[order], queries["query"].to_numpy()
+            unit, slack = (q / size[:, None]).astype(np.float32), (q.shape[1] + 16) * 2.0**-23
+            for a in range(0, len(q), ASKED):
+                own, other, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                bars = bar[a : a + ASKED].copy()
+                for b in range(len(v) - 1 - (len(v) - 1) % MET, -1, -MET):  # long vectors first
+                    most = norm[b : b + MET].max()
+                    rough = unit[a : a + ASKED] @ (v[b : b + MET] / most).astype(np.float32).T
+                    # a float that is no less than the bar comes out over this, whatever was rounded away
+                    least = np.fmax(bars / size[a : a + ASKED] / most - slack, -2.0).astype(np.float32)
+                    i, j = np.nonzero(rough >= np.nextafter(least, np.float32(-np.inf))[:, None])
+                    exact = np.concatenate([np.zeros(0), *[_products(q[a + i[x : x + (1 << 16)]], v[b + j[x : x + (1 << 16)]]) for x in range(0, len(i), 1 << 16)]])
+                    ok = exact >= bars[i]
+                    own, other, score = (np.concatenate(x) for x in ((own, i[ok]), (other, b + j[ok]), (score, exact[ok])))
+                    best = np.lexsort((name[other], -score, own))
+                    own, other, score = own[best], other[best], score[best]
+                    place = np.arange(len(own)) - np.searchsorted(own, own)
+                    full = own[place == k], score[place == k]
+                    bars[full[0]] = np.maximum(bars[full[0]], full[1])
+                    own, other, score = own[place <= k], other[place <= k], score[place <= k]
+                found.append((asked[a + own], name[other], score))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({n: pa.array(c) for n, c in zip(("query", "node", "score"), columns)})
+
+    return meet
+
+
+def completed(pool: DataFrame, queries: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """The pool with every node that scores no less than its query's k-th best node there (the query's own left out).
+
+    Both sides are dealt into blocks by a hash; a task holds two blocks and a part of their products. No row is made for a pair that stays under the bar.
+    """
+    others = pool.join(queries.select(F.col("query").alias("_q"), "start"), F.col("query") == F.col("_q")).where(F.col("node") != F.col("start"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    bars = others.withColumn("n", rank).where(F.col("n") == k).select(F.col("query").alias("_q"), F.col("score").alias("_bar"))
+    asked = queries.join(bars, F.col("query") == F.col("_q"), "left").select("query", "qvec", F.coalesce("_bar", F.lit(float("-inf"))).alias("bar"))
+    facts = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("size")).first()
+    a, b = (max(1, -(-n * (facts["size"] or 1) // NUMBERS)) for n in (queries.count(), facts["n"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.withColumn("_a", F.pmod(F.xxhash64("query"), F.lit(a))).withColumn("_b", every(b))
+    right = distinct.select("node", "vec", F.pmod(F.xxhash64("node"), F.lit(b)).alias("_b")).withColumn("_a", every(a))
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(_reaching(k), "query long, node long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    return settled(pool.union(found).distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 12).drop("n"))
+
+
 def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", width: int = WIDTH, target: float = TARGET, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of `table` that `is_query` (on column id) picks, itself left out."""
     rows = settled(vectors(table, id_col, vec_col))
@@ -304,13 +371,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     graph = settled(build(distinct, **options))
     asked = rows.where(is_query).groupBy("id", "vec").count().select("id", "vec")
     queries = settled(asked.join(distinct.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select(F.col("id").alias("query"), F.col("vec").alias("qvec"), F.col("node").alias("start")))
-    width = max(width, k + 12)
-    pool = search(queries, distinct, graph, width)
-    least = settled(best_nodes(queries, distinct, k, HELD))
-    most = min(WIDEST, distinct.count())
-    while width < most and recall(pool, queries, least) < target:
-        width *= 2
-        pool = search(queries, distinct, graph, width, width // 2, pool=pool)
+    pool = search(queries, distinct, graph, max(width, k + 12))
+    if recall(pool, queries, settled(best_nodes(queries, distinct, k, HELD))) < target:
+        pool = completed(pool, queries, distinct, k)
     # nodes that the k + 1 members of better ones leave no place for go before members are put back; ties stay
     held = pool.join(members.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m")).select("query", "score", "ids", F.size("ids").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score"))) - F.sum("n").over(Window.partitionBy("query", "score"))

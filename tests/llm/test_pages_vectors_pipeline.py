@@ -230,6 +230,35 @@ def test_pools_widen_until_recall_holds(spark):
     assert _recall(spark, v, **thin) >= 0.88  # the held queries' share is at least 0.91; these are all queries
 
 
+@pytest.mark.parametrize("kind", ["thin graph", "ties", "norms"])
+def test_what_pools_miss_is_found_by_an_exact_check(spark, monkeypatch, kind):
+    """No pool is widened, and nothing is missed; blocks so small that there are many."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((1500, 24))
+    if kind == "ties":
+        v = rng.integers(0, 2, (1500, 9)).astype(float)  # few distinct vectors, many equal scores
+    if kind == "norms":
+        v *= 10.0 ** rng.integers(-180, 150, (1500, 1))
+    searches, plain = [], ann.search
+    monkeypatch.setattr(ann, "search", lambda *a, **b: searches.append(1) or plain(*a, **b))
+    monkeypatch.setattr(ann, "NUMBERS", 24 * 400, raising=False)
+    monkeypatch.setattr(ann, "ASKED", 16, raising=False)
+    monkeypatch.setattr(ann, "MET", 64, raising=False)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    thin = {"degree": 3, "joined": 2, "reverse": 2, "trees": 1, "rounds": 1} if kind != "norms" else {}
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, F.col("id") % 50 == 0, k=10, target=2.0, **thin).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert len(searches) == 1
+    for q in range(0, 1500, 50):
+        if v[q].any():
+            total = np.zeros(len(v))
+            for c in range(v.shape[1]):
+                total += v[q, c] * v[:, c]
+            near = [i for i in np.lexsort((np.arange(len(v)), -total)) if i != q and v[i].any()][:10]
+            assert got[q] == [(i, total[i]) for i in near]
+
+
 def test_nearest_needs_one_length(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
