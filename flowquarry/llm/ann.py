@@ -114,42 +114,83 @@ def _coded(distinct: DataFrame, size: int, trees: int) -> DataFrame:
     return distinct.select("node", "vec").mapInArrow(run, "node long, code binary, places array<long>")
 
 
-_PAIRS = "node long, kind int, other long, far double"
+_LISTS = "node long, kind int, far array<double>, other array<long>, old array<boolean>"
+_NEAR = "node long, kind int, near array<struct<far: double, other: long, new: boolean>>"
 
 
-def _best(pairs: DataFrame, degree: int) -> DataFrame:
-    """(node, kind, near): the best `degree` of each node's (kind, other, far), nearest first, new unless a row with `old` names it."""
-    met = F.array_sort(F.collect_set(F.struct("far", "other"))).alias("met")
-    known = F.collect_set(F.when(F.col("old"), F.col("other"))).alias("known")
-    near = F.transform(F.slice("met", 1, degree), lambda x: F.struct(x["far"].alias("far"), x["other"].alias("other"), (~F.array_contains("known", x["other"])).alias("new")))
-    return pairs.groupBy("node", "kind").agg(met, known).select("node", "kind", near.alias("near"))
+def _merged(parts: list[tuple[np.ndarray, ...]], degree: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(node, kind, far, other, old) of the best `degree` of each node's (kind, other, far), nearest first, old if one of the same is; and where a list begins."""
+    node, kind, far, other, old = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((~old, other, far, kind, node))
+    node, kind, far, other, old = (x[order] for x in (node, kind, far, other, old))
+    head = np.ones(len(node), bool)
+    head[1:] = (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])
+    fresh = head.copy()
+    fresh[1:] |= (far[1:] != far[:-1]) | (other[1:] != other[:-1])
+    first = np.flatnonzero(head)
+    place = np.cumsum(fresh) - 1
+    keep = fresh & (place - np.repeat(place[first], np.diff(np.append(first, len(node)))) < degree)
+    return tuple(x[keep] for x in (node, kind, far, other, old)), np.flatnonzero(head[keep])
 
 
-def _local(degree: int, limit: int, size: int, kinds: tuple[int, ...]):
-    """Rows (place, node, code, new, bar, reach) sorted by place: each place's members as neighbours of each other, if under the bar of their list."""
+def _listed(first: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), values)
+
+
+def _best(lists: DataFrame, degree: int) -> DataFrame:
+    """(node, kind, near): the best `degree` of each node's (kind, other, far), nearest first, new unless a list names it as old. A task holds the entries of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(entries: tuple[np.ndarray, ...], first: np.ndarray) -> pa.RecordBatch:
+            node, kind, far, other, old = entries
+            values = pa.StructArray.from_arrays([pa.array(far), pa.array(other), pa.array(~old)], names=["far", "other", "new"])
+            return pa.record_batch([pa.array(node[first]), pa.array(kind[first]), _listed(first, values)], names=["node", "kind", "near"])
+
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                far, other, old = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                sizes = batch.column(2).value_lengths().to_numpy()
+                fresh = (*(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), far, other, old)
+                held, first = _merged([fresh] if held is None else [held, fresh], degree)
+                cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # rows come by node: all but the last are whole
+                if cut:
+                    yield near(tuple(x[:cut] for x in held), first[first < cut])
+                    held = tuple(x[cut:] for x in held)
+        if held is not None and len(held[0]):
+            yield near(*_merged([held], degree))
+
+    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _NEAR)
+
+
+def _local(degree: int, kept: int, limit: int, size: int, kinds: tuple[int, ...]):
+    """Rows (place, node, code, new, bar, reach) sorted by place: each place's `degree` nearest members, if under the bar of their list; a task keeps `kept` of a node."""
 
     def search(ids: np.ndarray, v: np.ndarray, new: np.ndarray, bars: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         out, n = [], len(ids)
         take = min(degree, n - 1)
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        passed = ~(new[:, None] | new[None, :])
+        passed = None if new.all() else ~(new[:, None] | new[None, :])
         for kind in kinds:
             if kind == ANGLE:
                 c = unit - unit[0]  # a common offset takes no digits away
-                squares = (c * c).sum(axis=1)
-                rough = squares[:, None] + squares[None, :] - 2.0 * (c @ c.T)
+                # squared distances but for the row's own square, in one product
+                rough = np.column_stack([c, np.ones(n)]) @ np.column_stack([-2.0 * c, (c * c).sum(axis=1)]).T
             else:
-                rough = -(v @ (v - v[0]).T)
-            rough[passed] = np.inf
+                rough = v @ (v[0] - v).T
+            if passed is not None:
+                rough[passed] = np.inf
             np.fill_diagonal(rough, np.inf)
             top = np.argpartition(rough, take - 1, axis=1)[:, :take]
             own, other = np.repeat(np.arange(n), take), top.ravel()
-            ok = ~passed[own, other] & (own != other)
+            ok = own != other
+            if passed is not None:
+                ok &= ~passed[own, other]
             own, other = own[ok], other[ok]
             # the same for a pair wherever it meets, so that it is one entry of a list
             far = ((unit[own] - unit[other]) ** 2).sum(axis=1) if kind == ANGLE else -(v[own] * v[other]).sum(axis=1)
             ok = far < bars[kind][own]
-            out.append((ids[own[ok]], np.full(int(ok.sum()), kind, np.int32), ids[other[ok]], far[ok]))
+            out.append((ids[own[ok]], np.full(int(ok.sum()), kind, np.int32), far[ok], ids[other[ok]], np.zeros(int(ok.sum()), bool)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +204,10 @@ def _local(degree: int, limit: int, size: int, kinds: tuple[int, ...]):
                     j = min(i + limit, b)
                     if j - i > 1:
                         out += search(ids[i:j], v[i:j], new[i:j], (bar[i:j], reach[i:j]))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.record_batch([pa.array(c) for c in cols], names=["node", "kind", "other", "far"])
+            # a task's own lists of a node are one, so a node that is met everywhere sends few
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
+            (node, kind, far, other, old), first = _merged([*out, none], kept)
+            return pa.record_batch([pa.array(node[first]), pa.array(kind[first]), *(_listed(first, pa.array(x)) for x in (far, other, old))], names=["node", "kind", "far", "other", "old"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -197,14 +240,13 @@ def build(distinct: DataFrame, degree: int = DEGREE, joined: int = JOINED, rever
     # members of a block come in the order of its further planes, which cut a block over the limit
     place = F.xxhash64("tree", F.col("place").bitwiseAND(F.lit((1 << bits) - 1)))
     spots = spots.select(place.alias("place"), "node", "code", F.lit(True).alias("new"), far_off.alias("bar"), far_off.alias("reach"), F.shiftright("place", bits).alias("further"), F.xxhash64("node").alias("h"))
-    first = spots.repartition("place").sortWithinPartitions("place", "further", "h").drop("further", "h").mapInArrow(_local(FIRST, BLOCK * 2, size, kinds), _PAIRS)
-    graph = settled(_best(first.withColumn("old", F.lit(False)), degree))
+    first = spots.repartition("place").sortWithinPartitions("place", "further", "h").drop("further", "h").mapInArrow(_local(FIRST, degree, BLOCK * 2, size, kinds), _LISTS)
+    graph = settled(_best(first, degree))
     codes = coded.select("node", "code")
     for turn in range(rounds):
         # the nearest `joined` entries of a list take part; what has taken part is old from then on
         pairs = graph.select("node", "kind", F.posexplode("near").alias("at", "x")).select("node", "kind", "at", "x.*")
-        pairs = pairs.withColumn("part", F.col("at") < joined)
-        part = pairs.where("part")
+        part = pairs.where(F.col("at") < joined)
         back = part.where("new").select(F.col("other").alias("place"), F.col("node").alias("who"), F.xxhash64("node", F.lit(turn)).alias("h"))
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("h"))).where(F.col("n") <= reverse)
         around = part.select(F.col("node").alias("place"), F.col("other").alias("who"), "new").union(back.select("place", "who", F.lit(True).alias("new")))
@@ -216,9 +258,9 @@ def build(distinct: DataFrame, degree: int = DEGREE, joined: int = JOINED, rever
         bars = ends.groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("end"))), far_off).alias(n) for k, n in ((ANGLE, "bar"), (PRODUCT, "reach"))])
         known = codes.join(bars.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "code", F.coalesce("bar", far_off).alias("bar"), F.coalesce("reach", far_off).alias("reach"))
         met = around.join(known, F.col("who") == F.col("node")).select("place", "node", "code", "new", "bar", "reach")
-        found = met.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_local(degree, 1 << 20, size, kinds), _PAIRS)
-        both = pairs.select("node", "kind", "other", "far", (F.col("part") | ~F.col("new")).alias("old")).union(found.withColumn("old", F.lit(False)))
-        before, graph = graph, settled(_best(both, degree))
+        found = met.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_local(degree, degree, 1 << 20, size, kinds), _LISTS)
+        known = graph.select("node", "kind", F.col("near.far").alias("far"), F.col("near.other").alias("other"), F.transform("near", lambda x, i: (i < joined) | ~x["new"]).alias("old"))
+        before, graph = graph, settled(_best(known.union(found), degree))
         dropped(before)
         fresh = F.size(F.filter(F.slice("near", 1, joined), lambda x: x["new"]))
         if (graph.agg(F.sum(fresh).alias("n")).first()["n"] or 0) <= DONE * joined * total * len(kinds):

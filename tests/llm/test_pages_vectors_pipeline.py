@@ -259,6 +259,23 @@ def test_what_pools_miss_is_found_by_an_exact_check(spark, monkeypatch, kind):
             assert got[q] == [(i, total[i]) for i in near]
 
 
+def test_merged_lists_are_the_best_of_all():
+    rng = np.random.default_rng(2)
+    for turn in range(20):
+        n, degree = int(rng.integers(0, 60)), int(rng.integers(1, 5))
+        node, kind, other = rng.integers(0, 4, n), rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 9, n)
+        far, old = (node * 7 + other * 3 + kind) % 5 / 2.0, rng.random(n) < 0.3  # a pair's distance is the same in every list
+        parts = [tuple(x[a::2] for x in (node, kind, far, other, old)) for a in (0, 1)]
+        entries, first = ann._merged(parts, degree)
+        plain = {}
+        for a, b, c, d, e in zip(node, kind, far, other, old):
+            own = plain.setdefault((a, b), {})
+            own[c, d] = own.get((c, d), False) or e
+        expected = [(*k, *f, o) for k in sorted(plain) for f, o in sorted(plain[k].items())[:degree]]
+        assert list(zip(*entries)) == expected and len(first) == len(plain)
+        assert ann._merged([entries, *parts], degree)[0][3].tolist() == entries[3].tolist()
+
+
 def test_nearest_needs_one_length(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
